@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeflow.llm import line_dedup, mixing, packing, token_records
+from routeflow.llm import gif, langid, licenses, line_dedup, mixing, packing, token_records, toxicity
 from routeflow.llm.storage import documents
 
 
@@ -22,6 +22,26 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif.digests(gif.text_gifs(documents(spark, sf_dir)))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held_out = langid.crc_fold(F.col("doc_id"), 4) == 2
+    model = langid.fit(docs.where(~held_out))
+    return langid.predict(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held_out = langid.crc_fold(F.col("doc_id"), 3) == 1
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.fit(docs.where(~held_out), labels.where(~held_out))
+    out = toxicity.score(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
+    return out.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
+
+
 def op5_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_records.write_records(documents(spark, sf_dir), vocabulary(), end_id=2)
     return token_records.read_records(manifest).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
@@ -31,6 +51,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary(), end_id=0)
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir)).drop("templates")
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
