@@ -138,12 +138,12 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     return Model(idf.astype(np.float32), np.array(centroids, np.float32), langs, np.array(floors))
 
 
-def _predict(model):
+def _predict(model, text_at: int, carried: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model | None = model.value
         for batch in batches:
-            langs, scores, rejected, cache = [], [], [], []
-            for text in batch.column(0).to_pylist():
+            langs, scores, rejected = [], [], []
+            for text in batch.column(text_at).to_pylist():
                 counts, letters = gram_counts(text)
                 if counts is None or m is None:
                     langs.append("und")
@@ -155,17 +155,22 @@ def _predict(model):
                 langs.append(m.langs[best])
                 scores.append(float(min(1.0, max(0.0, cosines[best]))))
                 rejected.append(bool(letters >= LEAST_LETTERS and cosines[best] < m.floors[best]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[str(i) for i in range(batch.num_columns + 2)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:carried], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[str(i) for i in range(carried + 3)])
 
     return run
 
 
-def predict(docs: DataFrame, model: Model | None, carry: list[str], text_col: str = "text") -> DataFrame:
-    """The columns in ``carry`` with ``lang_pred``, ``score`` (cosine) and ``rejected``, for every row."""
+def predict(docs: DataFrame, model: Model | None, carry: list[str], text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """The columns in ``carry``, then language, score (cosine) and rejection under ``names``, for every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: buckets times clusters times languages
-    rows = docs.select(F.col(text_col).alias("__text"), *carry)
-    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema.fields[1:])) + ", p string, s double, r boolean"
-    return rows.mapInArrow(_predict(shared), schema).toDF(*carry, "lang_pred", "score", "rejected")
+    rows = docs.select(*carry, *([] if text_col in carry else [text_col]))
+    schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema.fields[: len(carry)])) + ", p string, s double, r boolean"
+    return rows.mapInArrow(_predict(shared, rows.columns.index(text_col), len(carry)), schema).toDF(*carry, *names)
+
+
+def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows that the model rejects."""
+    return predict(docs, model, docs.columns, text_col, ("__lang", "__score", "__rejected")).where(~F.col("__rejected")).select(*docs.columns)
 
 
 def crc_fold(column: Column, folds: int) -> Column:

@@ -120,7 +120,8 @@ def _apply(text_at: int, bitmap_at: int):
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
-    """All rows and columns of ``docs`` with ``text`` reduced to the kept lines, plus ``n_lines`` and ``n_dropped``."""
+    """All rows and columns of ``docs`` with ``text`` reduced to the kept lines, plus ``n_lines`` and ``n_dropped`` (columns of these names are replaced)."""
+    docs = docs.drop("n_lines", "n_dropped")
     marks = keep_bitmaps(docs, id_col, text_col, min_chars).select(F.col("id").alias("__id"), F.col("n_dropped").alias("__dropped"), F.col("keep_bitmap").alias("__bitmap"))
     joined = docs.join(marks, F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
     fields = [f for f in joined.schema.fields if f.name != "__bitmap"]
