@@ -33,11 +33,11 @@ CAPACITY, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2048, 8192, 2, 2, 6,
 
 def _cut(tokenizer: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = coder(tokenizer, 2).encode, end_id.to_bytes(2, "little")
-        for batch in batches:
+        encode, end = coder(tokenizer, 2).encode_all, end_id.to_bytes(2, "little")
+        for batch in (whole.slice(a, 500) for whole in batches for a in range(0, whole.num_rows, 500)):
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(encode(text or "") + end, "<u2").astype("<u4")
+            for doc_id, coded in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+                ids = np.frombuffer(coded + end, "<u2").astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     piece = ids[at : at + capacity]
                     rows.append((doc_id, k, at, len(piece), zlib.crc32(piece.tobytes())))

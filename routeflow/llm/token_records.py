@@ -67,23 +67,24 @@ def read_record(f) -> tuple[int, np.ndarray] | None:
 def _writer(folder: str, tokenizer: str, end_id: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
-        name, encode, end = f"{shard:06d}-{uuid.uuid4().hex}", coder(tokenizer, width).encode, end_id.to_bytes(width, "little")
+        name, encode, end = f"{shard:06d}-{uuid.uuid4().hex}", coder(tokenizer, width).encode_all, end_id.to_bytes(width, "little")
         files, root = open_fs(folder)
         files.create_dir(root, recursive=True)
         at = total = docs = 0
         first = last = None
         out = index = None
         for batch in batches:
-            places = np.empty(batch.num_rows, INDEX)
-            for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                doc_id = NULL_ID if doc_id is None else doc_id
-                record = frame(doc_id, width, ids := encode(text or "") + end)
-                if out is None:
-                    out, index, first = files.open_output_stream(f"{root}/{name}.rec"), files.open_output_stream(f"{root}/{name}.idx"), doc_id
-                out.write(record)
-                places[i] = doc_id, at, len(ids) // width
-                at, total, docs, last = at + len(record), total + len(ids) // width, docs + 1, doc_id
-            if batch.num_rows:
+            for a in range(0, batch.num_rows, 500):
+                part = batch.slice(a, 500)
+                places = np.empty(part.num_rows, INDEX)
+                for i, (doc_id, ids) in enumerate(zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True)):
+                    doc_id = NULL_ID if doc_id is None else doc_id
+                    record = frame(doc_id, width, ids := ids + end)
+                    if out is None:
+                        out, index, first = files.open_output_stream(f"{root}/{name}.rec"), files.open_output_stream(f"{root}/{name}.idx"), doc_id
+                    out.write(record)
+                    places[i] = doc_id, at, len(ids) // width
+                    at, total, docs, last = at + len(record), total + len(ids) // width, docs + 1, doc_id
                 index.write(places.tobytes())
         if out is not None:
             out.close()
