@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from routeflow.llm.storage import slices
+
 WIDTH, ROWS, DELAY, BINS = 64, 2048, 4, 4
 _SINGLE = [bytes([i]) for i in range(256)]
 
@@ -307,7 +309,7 @@ _DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in _DIGESTS.split(", ")][2:]
-    for batch in batches:
+    for batch in slices(batches, 256):
         rows = []
         for media in batch.column(2).to_pylist():
             payload, counts, duration, n = [], 0, 0, 0

@@ -29,10 +29,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routeflow.llm.storage import shuffle_partitions, stored
+from routeflow.llm.storage import shuffle_partitions, slices, stored
 
 SHINGLE, THRESHOLD, COORDS, CHILDREN, LEAF, SUB, DEPTH, DENSE, TARGET = 5, 0.8, 32, 2, 256, 512, 8, 0.75, 0.999
-MEMO = 500_000
+MEMO = 100_000
 
 _words: dict[str, int] = {}
 _U = np.uint64
@@ -78,7 +78,7 @@ def signature(s: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         first, second, sizes, signatures = [], [], [], []
         for text in batch.column(1).to_pylist():
             s = shingles(text)

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from routeflow.llm.storage import slices
+
 BUCKETS, CLUSTERS, SAMPLE = 4096, 4, 600
 #: Rejection: a text is foreign if its cosine is under this share of the least cosine that all but 1 % of the centroid's training texts have.
 MARGIN = 0.4
@@ -69,7 +71,7 @@ def vector(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, n = np.zeros(BUCKETS, np.int64), 0
-    for batch in batches:
+    for batch in slices(batches):
         for text in batch.column(0).to_pylist():
             counts, _ = gram_counts(text)
             if counts is not None:
@@ -141,7 +143,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
 def _predict(model, text_at: int, carried: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model | None = model.value
-        for batch in batches:
+        for batch in slices(batches):
             langs, scores, rejected = [], [], []
             for text in batch.column(text_at).to_pylist():
                 counts, letters = gram_counts(text)

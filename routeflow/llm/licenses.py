@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from routeflow.llm.storage import slices
+
 #: Phrases of the base labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Short texts by which works state their license, with the label each stands for.
@@ -137,7 +139,7 @@ def _base(words: list[bytes]) -> tuple[int, int | None, int | None, set[str]]:
 def _count(vocabulary: set[bytes]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[bytes] = Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 if text:
                     counts.update(vocabulary.intersection(words_of(text)))
@@ -158,7 +160,7 @@ def _scan(templates: list[Template], window: int):
     phrase_words = {p.split()[-1].encode() for p in PHRASES}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 words = words_of(text or b"")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routeflow.llm.storage import shuffle_partitions, stored
+from routeflow.llm.storage import shuffle_partitions, slices, stored
 
 #: Fixed value: the white space that a key loses at both ends.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -99,7 +99,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _apply(text_at: int, bitmap_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, total = [], []
             for text, bitmap in zip(batch.column(text_at).to_pylist(), batch.column(bitmap_at).to_pylist(), strict=True):
                 text = text or ""
