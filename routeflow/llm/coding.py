@@ -11,12 +11,15 @@ import os
 
 import numpy as np
 
+from routeflow.llm.storage import memos
+
 #: Entries of the memo's younger half, and the length up to which chunks enter it.
 MEMO, LONGEST = 200_000, 48
 _BETWEEN = "\x01"
 #: Capitals whose lower case is one letter to any library, so that a chunk may be looked up without its capital.
 _LOWER = {chr(c): chr(c).lower() for c in (*range(65, 91), *range(0xC0, 0xD7), *range(0xD8, 0xDF))}
 _coders: dict[tuple[str, int], ChunkCoder] = {}
+memos.append(_coders.clear)
 
 
 class ChunkCoder:

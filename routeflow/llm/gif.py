@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routeflow.llm.storage import slices
+from routeflow.llm.storage import in_arrow, slices
 
 WIDTH, ROWS, DELAY, BINS = 64, 2048, 4, 4
 _SINGLE = [bytes([i]) for i in range(256)]
@@ -284,7 +284,7 @@ def _frames(bins: int):
 def gif_frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", bins: int = BINS) -> DataFrame:
     """One row a frame: place, size, delay, disposal, samples and the composed canvas's colour histogram."""
     kind = media.schema[id_col].dataType.simpleString()
-    return media.select(id_col, media_col).mapInArrow(_frames(bins), _FRAMES.format(id=id_col, kind=kind))
+    return media.select(id_col, media_col).transform(in_arrow, _frames(bins), _FRAMES.format(id=id_col, kind=kind))
 
 
 def padded(text: bytes) -> bytes:
@@ -301,7 +301,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def text_gifs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, media): each whole text's UTF-8 bytes, padded, stored as a GIF."""
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_store, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).transform(in_arrow, _store, "doc_id long, n_bytes long, media binary")
 
 
 _DIGESTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames int, duration_ms long"
@@ -326,4 +326,4 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digests(stored_media: DataFrame) -> DataFrame:
     """Digest columns of stored texts, all from the media's bytes: the payload read back, and its frames' histograms summed."""
-    return stored_media.mapInArrow(_digests, _DIGESTS)
+    return stored_media.transform(in_arrow, _digests, _DIGESTS)

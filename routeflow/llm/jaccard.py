@@ -29,12 +29,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routeflow.llm.storage import shuffle_partitions, slices, stored
+from routeflow.llm.storage import in_arrow, memos, shuffle_partitions, slices, stored
 
 SHINGLE, THRESHOLD, COORDS, CHILDREN, LEAF, SUB, DEPTH, DENSE, TARGET = 5, 0.8, 32, 2, 256, 512, 8, 0.75, 0.999
 MEMO = 100_000
 
 _words: dict[str, int] = {}
+memos.append(_words.clear)
 _U = np.uint64
 _MULTIPLIERS = (np.random.default_rng(20).integers(0, 1 << 63, COORDS, np.uint64) << _U(1)) | _U(1)
 
@@ -131,7 +132,7 @@ def _split(children: int):
 def leaves(sets: DataFrame, runs: int, children: int = CHILDREN, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     """(key, n, id): the members of all leaves of two or more sets; leaves with the same members once."""
     members = "id long, parent long, key long"
-    level = stored(sets.select("id", "sig").mapInArrow(_roots(runs, children), members), "jaccard-level-1")
+    level = stored(sets.select("id", "sig").transform(in_arrow, _roots(runs, children), members), "jaccard-level-1")
     found = []
     for at in range(1, depth + 1):
         # which members a node has, as two xors of hashes
@@ -142,7 +143,7 @@ def leaves(sets: DataFrame, runs: int, children: int = CHILDREN, leaf: int = LEA
         if at == depth or large.isEmpty():
             break
         inner = level.join(large.select("key", "n"), "key").select("id", "key", "n").join(sets.select("id", "sig"), "id")
-        below = stored(inner.select("id", "key", "sig").mapInArrow(_split(children), members), f"jaccard-level-{at + 1}")
+        below = stored(inner.select("id", "key", "sig").transform(in_arrow, _split(children), members), f"jaccard-level-{at + 1}")
         sizes = below.groupBy("parent", "key").agg(F.count("*").alias("c")).groupBy("parent").agg(F.max("c").alias("c"))
         dense = large.join(sizes, large["key"] == sizes["parent"]).where(F.col("c") >= DENSE * F.col("n")).select(large["*"])
         dense = stored(dense, f"jaccard-dense-{at}")
@@ -276,7 +277,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     the group that links connect; ``n_links``: how many different sets are similar to this one at the threshold."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = stored(rows.mapInArrow(_sketch, "id long, h1 long, h2 long, n int, sig binary"), "jaccard-sketches")
+    sketches = stored(rows.transform(in_arrow, _sketch, "id long, h1 long, h2 long, n int, sig binary"), "jaccard-sketches")
     reps = sketches.where(F.col("id").isNotNull()).groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min_by("sig", "id").alias("sig"))
     reps = stored(reps, "jaccard-sets")
     sets = reps.where(F.col("sig").isNotNull()).select(F.col("rep").alias("id"), "sig")
@@ -287,8 +288,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     needed = member.groupBy("id").agg(F.collect_list("key").alias("keys"), F.flatten(F.collect_list(places)).alias("places"))
     texts = rows.where(F.col("id").isNotNull()).join(needed, "id").dropDuplicates(["id"]).select("id", "text", "keys", "places")
     order = ("key", "i", "j", "id")
-    dealt = texts.mapInArrow(_sets, "key long, i int, j int, b int, id long, keys binary, low binary, high binary").repartition(shuffle_partitions(spark), "key", "i", "j").sortWithinPartitions(*order)
-    links = stored(dealt.mapInArrow(_verify(threshold), "id long, links long, least long"), "jaccard-links")
+    dealt = texts.transform(in_arrow, _sets, "key long, i int, j int, b int, id long, keys binary, low binary, high binary").repartition(shuffle_partitions(spark), "key", "i", "j").sortWithinPartitions(*order)
+    links = stored(dealt.transform(in_arrow, _verify(threshold), "id long, links long, least long"), "jaccard-links")
     counts = links.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("n_links"))
     named = groups(links.select("id", "least"))
     facts = reps.select("h1", "h2", "rep").join(counts, "rep", "left")

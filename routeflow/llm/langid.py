@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from routeflow.llm.storage import slices
+from routeflow.llm.storage import in_arrow, slices
 
 BUCKETS, CLUSTERS, SAMPLE = 4096, 4, 600
 #: Rejection: a text is foreign if its cosine is under this share of the least cosine that all but 1 % of the centroid's training texts have.
@@ -111,7 +111,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     sizes = {r["lang"]: r["n"] for r in train.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
-    stats = train.select(F.col(text_col).alias("text")).mapInArrow(_statistics, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    stats = train.select(F.col(text_col).alias("text")).transform(in_arrow, _statistics, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     df, n = np.zeros(BUCKETS), 0
     for r in stats:
         if r["bucket"] < 0:
@@ -124,7 +124,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     for lang, rows in sizes.items():
         pick = pick | ((F.col(lang_col) == lang) & (draw < int(min(1.0, sample / rows) * (1 << 30))))
     by: dict[str, list[np.ndarray]] = {}
-    for r in train.where(pick).select(lang_col, text_col).mapInArrow(_samples, "lang string, counts binary").collect():
+    for r in train.where(pick).select(lang_col, text_col).transform(in_arrow, _samples, "lang string, counts binary").collect():
         by.setdefault(r["lang"], []).append(vector(np.frombuffer(r["counts"], "<u4").astype(np.float64), idf))
     if not by:
         return None
@@ -167,7 +167,7 @@ def predict(docs: DataFrame, model: Model | None, carry: list[str], text_col: st
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: buckets times clusters times languages
     rows = docs.select(*carry, *([] if text_col in carry else [text_col]))
     schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema.fields[: len(carry)])) + ", p string, s double, r boolean"
-    return rows.mapInArrow(_predict(shared, rows.columns.index(text_col), len(carry)), schema).toDF(*carry, *names)
+    return rows.transform(in_arrow, _predict(shared, rows.columns.index(text_col), len(carry)), schema).toDF(*carry, *names)
 
 
 def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routeflow.llm.storage import slices
+from routeflow.llm.storage import in_arrow, slices
 
 #: Phrases of the base labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -150,7 +150,7 @@ def _count(vocabulary: set[bytes]):
 
 def word_counts(docs: DataFrame, vocabulary: set[bytes], text_col: str = "text") -> dict[bytes, int]:
     """In how many documents of the corpus each word of a fixed vocabulary stands; as many rows as that has words."""
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(_count(vocabulary), "word binary, n long")
+    counted = docs.select(F.col(text_col).alias("text")).transform(in_arrow, _count(vocabulary), "word binary, n long")
     return {bytes(r["word"]): r["n"] for r in counted.groupBy("word").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -185,7 +185,7 @@ def scan(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, thre
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, templates); score: the largest containment met, 1 with a base label."""
     vocabulary = {w for _, text in templates for w in words_of(text.encode())}
     ordered = ordered_templates(templates, word_counts(docs, vocabulary, text_col), threshold)
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_scan(ordered, window), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, templates array<int>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).transform(in_arrow, _scan(ordered, window), "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, templates array<int>")
 
 
 def brute_force(text: str | None, templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, window: int = WINDOW) -> set[str]:

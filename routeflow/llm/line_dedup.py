@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from routeflow.llm.storage import shuffle_partitions, slices, stored
+from routeflow.llm.storage import in_arrow, shuffle_partitions, slices, stored
 
 #: Fixed value: the white space that a key loses at both ends.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -89,12 +89,12 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n = shuffle_partitions(docs.sparkSession)
     keys = ("h1", "h2", "id", "pos")
     rows = line_hashes(docs, id_col, text_col, min_chars).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    hits = stored(rows.mapInArrow(_first_occurrences, "kind int, h1 long, h2 long, id long, pos int"), "line-hits")
+    hits = stored(rows.transform(in_arrow, _first_occurrences, "kind int, h1 long, h2 long, id long, pos int"), "line-hits")
     edges = hits.where(F.col("kind") != _DROP)
     firsts = edges.groupBy("h1", "h2").agg(F.min("id").alias("first"))
     late = edges.where(F.col("kind") == _CANDIDATE).join(firsts, ["h1", "h2"]).where(F.col("id") > F.col("first"))
     dropped = hits.where(F.col("kind") == _DROP).select("id", "pos").unionAll(late.select("id", "pos"))
-    return dropped.groupBy("id").agg(F.collect_list("pos").alias("pos")).mapInArrow(_pack, "id long, n_dropped long, keep_bitmap binary")
+    return dropped.groupBy("id").agg(F.collect_list("pos").alias("pos")).transform(in_arrow, _pack, "id long, n_dropped long, keep_bitmap binary")
 
 
 def _apply(text_at: int, bitmap_at: int):
@@ -125,6 +125,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marks = keep_bitmaps(docs, id_col, text_col, min_chars).select(F.col("id").alias("__id"), F.col("n_dropped").alias("__dropped"), F.col("keep_bitmap").alias("__bitmap"))
     joined = docs.join(marks, F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
     fields = [f for f in joined.schema.fields if f.name != "__bitmap"]
-    out = joined.mapInArrow(_apply(joined.columns.index(text_col), joined.columns.index("__bitmap")), ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)] + [f"c{len(fields)} long"]))
+    out = joined.transform(in_arrow, _apply(joined.columns.index(text_col), joined.columns.index("__bitmap")), ", ".join([f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)] + [f"c{len(fields)} long"]))
     out = out.toDF(*[f.name for f in fields], "n_lines")
     return out.withColumn("n_dropped", F.coalesce("__dropped", F.lit(0).cast("long"))).drop("__dropped")

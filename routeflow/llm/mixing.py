@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from routeflow.llm.storage import shuffle_partitions, stored
+from routeflow.llm.storage import in_arrow, shuffle_partitions, stored
 
 #: The weights of the sources in order, repeating; the mix's share of all words; most copies of a source.
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
@@ -85,7 +85,7 @@ def mix(docs: DataFrame, carry: Sequence[str] = (), id_col: str = "doc_id", text
     order = (F.col("source").asc_nulls_last(), F.col("size"), F.col("id"))
     dealt = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(dealt.schema.fields)) + ", part int, place long"
-    placed = stored(dealt.mapInArrow(_number(1), schema).toDF(*dealt.columns, "part", "place"), "mix-rows")
+    placed = stored(dealt.transform(in_arrow, _number(1), schema).toDF(*dealt.columns, "part", "place"), "mix-rows")
     parts = placed.groupBy("source", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("source", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routeflow.llm.coding import coder
-from routeflow.llm.storage import shuffle_partitions, stored
+from routeflow.llm.storage import in_arrow, shuffle_partitions, stored
 
 CAPACITY, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2048, 8192, 2, 2, 6, 4
 
@@ -50,7 +50,7 @@ def _cut(tokenizer: str, end_id: int, capacity: int):
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of all documents."""
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col))
-    return rows.mapInArrow(_cut(tokenizer, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.transform(in_arrow, _cut(tokenizer, end_id, capacity), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Packing:
@@ -240,7 +240,7 @@ def place(parts: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, island
     n, spread = max(1, -(-part.count() // block)), shuffle_partitions(parts.sparkSession)
     keyed = part.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(n)))
     order = ("block", "length", "doc_id", "piece")
-    blocks = stored(keyed.repartition(min(n, spread), "block").sortWithinPartitions(*order).mapInArrow(_blocks, "block long, doc_id binary, piece binary, start binary, length binary, ids_crc32 binary, nulls binary"), "pack-blocks")
+    blocks = stored(keyed.repartition(min(n, spread), "block").sortWithinPartitions(*order).transform(in_arrow, _blocks, "block long, doc_id binary, piece binary, start binary, length binary, ids_crc32 binary, nulls binary"), "pack-blocks")
     work = blocks.select("block", F.col("length").alias("lengths"), F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"))
     best = None
     for epoch in range(epochs):
@@ -248,10 +248,10 @@ def place(parts: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, island
         if best is not None:
             elite = best.select("block", ((F.col("island") + 1) % islands).alias("island"), F.col("own").alias("migrant"))
             rows = work.join(best.select("block", "island", "own"), ["block", "island"]).join(elite, ["block", "island"])
-        evolved = rows.repartition(min(n * islands, spread), "block", "island").mapInArrow(_island(capacity, epoch, generations, population), "block long, island int, bins long, fills long, own binary")
+        evolved = rows.repartition(min(n * islands, spread), "block", "island").transform(in_arrow, _island(capacity, epoch, generations, population), "block long, island int, bins long, fills long, own binary")
         best = stored(evolved, f"pack-epoch-{epoch}")
     winner = best.groupBy("block").agg(F.max_by("own", F.struct(-F.col("bins"), "fills", "island")).alias("own"))
-    placed = blocks.join(winner, "block").mapInArrow(_placed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    placed = blocks.join(winner, "block").transform(in_arrow, _placed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     alone = full.select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return placed.unionByName(alone)
 

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of an Arrow batch at most: whole texts are long, and the JVM and Python both hold a batch.
+RECORDS = 1000
+#: Functions that empty a module's memos; each module adds its own.
+memos: list[Callable[[], None]] = []
+_working = [""]
+
 
 def shared_folder(spark: SparkSession) -> str:
     """URI of the folder named by ``spark.checkpoint.dir``.
@@ -46,6 +53,39 @@ def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
 
 
+def _begin(module: str) -> None:
+    """Workers are used again and again; the memos of another operator's tasks go."""
+    if _working[0] != module:
+        for forget in memos:
+            forget()
+        _working[0] = module
+
+
+def _end() -> None:
+    """What a task has freed goes back to the machine, for the executor's other processes."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def in_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches of at most ``RECORDS`` rows, and with workers that keep no more memory than they use."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= RECORDS:
+        conf.set(key, RECORDS)
+    module = function.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _begin(module)
+        try:
+            yield from function(batches)
+        finally:
+            _end()
+
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """The same rows in smaller batches, so that few texts are Python objects at a time."""
     for batch in batches:

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from routeflow.llm.coding import coder
-from routeflow.llm.storage import fresh_path, open_fs, shuffle_partitions, stored
+from routeflow.llm.storage import fresh_path, in_arrow, open_fs, shuffle_partitions, stored
 
 #: The constant of masked checksums; the id that stands for a null document id.
 MASK_DELTA, NULL_ID = 0xA282EAD8, -(1 << 63)
@@ -101,7 +101,7 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, width: int =
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     order = F.col("id").asc_nulls_first()
     dealt = rows.repartitionByRange(shards or shuffle_partitions(spark), order).sortWithinPartitions(order)
-    return stored(dealt.mapInArrow(_writer(folder, tokenizer, end_id, width), "shard int, path string, n_docs long, n_tokens long, first_id long, last_id long"), "token-manifest")
+    return stored(dealt.transform(in_arrow, _writer(folder, tokenizer, end_id, width), "shard int, path string, n_docs long, n_tokens long, first_id long, last_id long"), "token-manifest")
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,7 +134,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = manifest.select("path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long").alias("base"))
     n = shuffle_partitions(manifest.sparkSession)
-    return shards.repartition(n, "path").mapInArrow(_reader, "id long, start long, n_tokens long, ids_crc32 long")
+    return shards.repartition(n, "path").transform(in_arrow, _reader, "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read_at(path: str, position: int) -> tuple[int, np.ndarray]:

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from routeflow.llm.storage import fresh_path, open_fs, shuffle_partitions, stored
+from routeflow.llm.storage import fresh_path, in_arrow, open_fs, shuffle_partitions, stored
 
 SCALE, PIVOTS, SAMPLE, BLOCK, QUERIES, GROUP = 1024, 48, 2048, 1024, 256, 16
 
@@ -56,7 +56,7 @@ def _floored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def floored(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, dims, norm2, v) with floored components, of the vectors that take part."""
-    return vectors.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(_floored, "vec_id long, dims int, norm2 long, v binary")
+    return vectors.select(F.col(id_col).cast("long"), F.col(vector_col)).transform(in_arrow, _floored, "vec_id long, dims int, norm2 long, v binary")
 
 
 def _matrix(column: list[bytes], dims: int) -> np.ndarray:
@@ -140,9 +140,9 @@ def build(rows: DataFrame, index: Index, block: int = BLOCK) -> DataFrame:
     """The index itself, stored: (block, pivot, inner, outer, ids, v), one row an annulus."""
     spark = rows.sparkSession
     shared, order = spark.sparkContext.broadcast(index), ("pivot", "distance", "vec_id")
-    keyed = rows.select("vec_id", "v").mapInArrow(_keyed(shared), "pivot int, distance double, vec_id long, v binary")
+    keyed = rows.select("vec_id", "v").transform(in_arrow, _keyed(shared), "pivot int, distance double, vec_id long, v binary")
     dealt = keyed.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    return stored(dealt.mapInArrow(_annuli(block, index.dims), "block long, pivot int, inner double, outer double, ids binary, v binary"), "topk-index")
+    return stored(dealt.transform(in_arrow, _annuli(block, index.dims), "block long, pivot int, inner double, outer double, ids binary, v binary"), "topk-index")
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -213,7 +213,7 @@ def search(blocks: DataFrame, queries: DataFrame, index: Index, k: int = 10, bat
     path = fresh_path(spark, f"topk-queries-{uuid.uuid4().hex[:6]}")
     queries.select("vec_id", "v").write.parquet(path)
     shared = spark.sparkContext.broadcast(index)  # pivots and sample, both of bounded size
-    found = blocks.mapInArrow(_search(shared, path, k, batch_rows, group), "query_id long, vec_id long, score long")
+    found = blocks.transform(in_arrow, _search(shared, path, k, batch_rows, group), "query_id long, vec_id long, score long")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
