@@ -8,12 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from routeflow.functions.messages import ACK, NONRETRYABLE, RETRYABLE
+from routeflow.operators.numbering import numbered, running_sum
 
 
 def batched(df: DataFrame, size: int, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Adds ``pos`` (from 1) and ``batch`` (from 0) in each partition ``by``. A global order is one sequence by nature; give ``by`` at scale."""
-    pos = F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")
-    return df.withColumn("pos", pos).withColumn("batch", F.floor((F.col("pos") - 1) / size).cast("long"))
+    """Adds ``pos`` (from 1) and ``batch`` (from 0) in each partition ``by``, or along one global order."""
+    return numbered(df, by, order).withColumn("batch", F.floor((F.col("pos") - 1) / size).cast("long"))
 
 
 def retry_delays(failures: Column, attempts: int = 5, initial_ms: int = 100, most_ms: int = 5000, multiplier: float = 2.0) -> Column:
@@ -59,8 +59,8 @@ def partition_commits(df: DataFrame, nack: Column, batch: str, partition: str, o
 
 def allocate(df: DataFrame, batch: str, base: int = 0) -> DataFrame:
     """Sequence ranges of batches in order: (batch, size, first, last)."""
-    sizes = df.groupBy(batch).agg(F.count("*").alias("size"))
-    last = F.sum("size").over(Window.orderBy(batch).rowsBetween(Window.unboundedPreceding, 0)) + base
+    sizes = running_sum(df.groupBy(batch).agg(F.count("*").alias("size")), [], [batch], "size", "last")
+    last = F.col("last") + base
     return sizes.select(batch, "size", (last - F.col("size") + 1).alias("first"), last.alias("last"))
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from routeflow.operators.numbering import numbered
+
 #: Events kept, seconds until a silent subscriber no longer counts, and an event's greatest age in seconds.
 KEEP, SILENT_S, AGE_S = 100_000, 300, 86_400
 
 
 def append(df: DataFrame, topic: str, *order: str, base: int = 0) -> DataFrame:
-    return df.withColumn("offset", F.row_number().over(Window.partitionBy(topic).orderBy(*order)).cast("long") + base)
+    return numbered(df, [topic], order, "offset").withColumn("offset", F.col("offset") + base)
 
 
 def since(log: DataFrame, topic: str, cursor: int, limit: int) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from routeflow.functions.messages import as_json_element, merged_array
+from routeflow.operators.numbering import numbered
 
 
 def first_of_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -56,8 +57,7 @@ def weak_join_groups(df: DataFrame, key: str, us: str, tie: str, count: int, tim
     """Adds ``grp``: a key's messages are buffered until ``count`` are there or, at the next arrival, ``timeout_us`` has
     passed since the group's first one."""
     if timeout_us is None:
-        order = Window.partitionBy(key).orderBy(us, tie)
-        return df.withColumn("grp", F.floor((F.row_number().over(order) - 1) / count).cast("long"))
+        return numbered(df, [key], [us, tie], "grp").withColumn("grp", F.floor((F.col("grp") - 1) / count).cast("long"))
     key_at, us_at, names = df.columns.index(key), df.columns.index(us), [*df.columns, "grp"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
