@@ -5,8 +5,9 @@ Words are runs of letters, lowered, between boundaries; the model predicts each
 below it both back off to one shared Kneser-Ney distribution (how many different contexts a letter follows, pooled over
 the classes), so that an expression that a class has hardly seen is judged by what all texts show.
 
-All counts are grouped sums over every training row. The resulting log-likelihood ratios, one for each n-gram, fold into
-a table of ``SLOTS`` slots with fingerprints: however many n-grams the corpus has, what tasks load has a fixed size.
+The resulting log-likelihood ratios, one for each n-gram and context, stay whole, in tables on the shared folder. A task
+gathers about ``CHUNK`` symbols of texts, reads through the tables once for the distinct n-grams among them, and scores
+those texts: no n-gram is dropped or taken for another, and what a task holds has a fixed size besides its longest text.
 
 A text's toxic and ordinary log-likelihoods are compared normalised by length: over the whole text, over its words, and
 over windows of ``WINDOW`` words. A logistic function fitted on training rows that the counts leave out (a bounded sample
@@ -24,12 +25,16 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from routeflow.llm.storage import in_arrow, slices, stored
+from routeflow.llm.storage import fresh_path, in_arrow, open_fs, slices, stored
 
-ORDER, SLOTS, DISCOUNT, WINDOW, CALIBRATION = 7, 1 << 20, 0.75, 8, 20_000
+ORDER, DISCOUNT, WINDOW, CALIBRATION = 7, 0.75, 8, 20_000
+#: Symbols of the texts that a task scores together, and of those whose n-grams are sorted together.
+CHUNK, PART = 1 << 24, 1 << 20
 #: How far a word's log-likelihood ratio must exceed its peers' to add to a feature.
 BARS = (1.0, 2.0, 4.0, 6.0)
 #: Every how manyth training row is left out of the counts, for calibration.
@@ -66,25 +71,26 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return keys, ends[:-1]
 
 
-def _mix(keys: np.ndarray) -> np.ndarray:
-    x = keys * np.uint64(0x9E3779B97F4A7C15)
-    return (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-
-
-def _place(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slot and fingerprint of each key."""
-    h = _mix(keys)
-    return (h >> np.uint64(44)).astype(np.int64) & (SLOTS - 1), (h >> np.uint64(20) & np.uint64(0xFFFF)).astype(np.uint16) | np.uint16(1)
-
-
 class Ratios(NamedTuple):
-    prints: np.ndarray  # 0: free
-    values: np.ndarray
+    path: str  # Parquet files of (gram, ratio), each sorted by gram
 
     def of(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        slot, prints = _place(keys)
-        known = self.prints[slot] == prints
-        return np.where(known, self.values[slot], np.float32(0)), known
+        """Ratios of distinct sorted keys, and which of them the table has."""
+        found, known = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
+        store, path = open_fs(self.path)
+        for file in store.get_file_info(fs.FileSelector(path)) if len(keys) else ():
+            if not file.path.endswith(".parquet"):
+                continue
+            with store.open_input_file(file.path) as source:
+                for batch in pq.ParquetFile(source).iter_batches(1 << 18):
+                    own = batch.column(0).to_numpy().astype(np.uint64)
+                    if not len(own):
+                        continue
+                    lo, hi = np.searchsorted(keys, own[0]), np.searchsorted(keys, own[-1], "right")
+                    at = np.searchsorted(own, keys[lo:hi])
+                    here = np.flatnonzero(own[at] == keys[lo:hi])
+                    found[lo + here], known[lo + here] = batch.column(1).to_numpy()[at[here]], True
+        return found, known
 
 
 class Model(NamedTuple):
@@ -95,17 +101,12 @@ class Model(NamedTuple):
     weights: np.ndarray  # of the features, the constant last
 
 
-def features(text: str | None, seen: Ratios, contexts: Ratios) -> np.ndarray:
+def features(ratio: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Toxic less ordinary log-likelihood, normalised by length: of the whole text, the best window, the best word; what stands out of words by each of ``BARS``."""
-    keys, starts = grams(text)
-    if not len(keys):
+    if not len(ratio):
         return np.zeros(3 + len(BARS))
-    ratio, known = seen.of(keys)
-    rest = np.flatnonzero(~known)
-    if len(rest):
-        ratio[rest] = contexts.of(keys[rest] >> np.uint64(8))[0]
     words = np.add.reduceat(ratio, starts)
-    sizes = np.diff(np.append(starts, len(keys)))
+    sizes = np.diff(np.append(starts, len(ratio)))
     sums, lengths = np.cumsum(np.append(0, words)), np.cumsum(np.append(0, sizes))
     w = min(WINDOW, len(words))
     window = ((sums[w:] - sums[:-w]) / (lengths[w:] - lengths[:-w])).max()
@@ -113,6 +114,60 @@ def features(text: str | None, seen: Ratios, contexts: Ratios) -> np.ndarray:
     return np.array([sums[-1] / lengths[-1], window, (words / (sizes + 1)).max(), *strong])
 
 
+class _Part(NamedTuple):
+    keys: np.ndarray  # distinct n-grams of some texts
+    places: np.ndarray  # each symbol's n-gram among them
+    ends: np.ndarray  # where each text ends
+    starts: list[np.ndarray]
+    carried: pa.RecordBatch
+
+
+def _part(found: list[tuple[np.ndarray, np.ndarray]], carried: pa.RecordBatch) -> _Part:
+    keys, places = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    return _Part(keys, places.astype(np.int32), np.cumsum([len(k) for k, _ in found]), [s for _, s in found], carried)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[_Part]:
+    """Rows with the text in the first column, as parts of at most ``PART`` symbols or one text."""
+    for batch in slices(batches):
+        found, size, at = [], 0, 0
+        carried = batch.select(range(1, batch.num_columns))
+        for i, text in enumerate(batch.column(0).to_pylist()):
+            own = grams(text)
+            if found and size + len(own[0]) > PART:
+                yield _part(found, carried.slice(at, i - at))
+                found, size, at = [], 0, i
+            found.append(own)
+            size += len(own[0])
+        if found:
+            yield _part(found, carried.slice(at))
+
+
+def _featured(batches: Iterator[pa.RecordBatch], seen: Ratios, contexts: Ratios) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+    """Features of each row, and the row's other columns; the first column is the text."""
+
+    def scored(parts: list[_Part]) -> Iterator[tuple[np.ndarray, pa.RecordBatch]]:
+        keys = np.unique(np.concatenate([p.keys for p in parts]))
+        ratio, known = seen.of(keys)
+        rest = np.flatnonzero(~known)
+        outer, place = np.unique(keys[rest] >> np.uint64(8), return_inverse=True)
+        ratio[rest] = contexts.of(outer)[0][place]
+        for p in parts:
+            own = ratio[np.searchsorted(keys, p.keys)][p.places]
+            yield np.array([features(x, s) for x, s in zip(np.split(own, p.ends[:-1]), p.starts, strict=True)]), p.carried
+
+    held: list[_Part] = []
+    size = 0
+    for part in _parts(batches):
+        held.append(part)
+        size += len(part.places)
+        if size >= CHUNK:
+            yield from scored(held)
+            held, size = [], 0
+    if held:
+        yield from scored(held)
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, 2000):
@@ -154,32 +209,23 @@ def shared_backoff(counts: DataFrame, discount: float = DISCOUNT) -> DataFrame:
 
 
 def log_ratios(counts: DataFrame, discount: float = DISCOUNT) -> tuple[DataFrame, DataFrame]:
-    """(gram, ratio, n) of seen n-grams and (gram, ratio, n) of contexts, for what was not seen after them."""
+    """(gram, ratio) of seen n-grams and (gram, ratio) of contexts, for what was not seen after them."""
     context = Window.partitionBy(F.shiftright("gram", 8))
     facts = counts.select("*", *[f.over(context).alias(name) for c in (0, 1) for name, f in ((f"s{c}", F.sum(f"n{c}")), (f"t{c}", F.sum(F.when(F.col(f"n{c}") > 0, 1).otherwise(0))))])
     share = [F.when(F.col(f"s{c}") > 0, discount * F.col(f"t{c}") / F.col(f"s{c}")).otherwise(F.lit(1.0)) for c in (0, 1)]
     backoff = shared_backoff(counts, discount).select(F.col("gram").alias("rest"), "p")
     own = [F.when(F.col(f"s{c}") > 0, F.greatest(F.col(f"n{c}") - discount, F.lit(0.0)) / F.col(f"s{c}")).otherwise(F.lit(0.0)) for c in (0, 1)]
     p = [own[c] + share[c] * F.col("p") for c in (0, 1)]
-    seen = facts.withColumn("rest", _suffix("gram", ORDER - 1)).join(backoff, "rest").select("gram", (F.log(p[1]) - F.log(p[0])).alias("ratio"), (F.col("n0") + F.col("n1")).alias("n"))
-    contexts = facts.groupBy(F.shiftright("gram", 8).alias("gram")).agg(F.max(F.log(share[1]) - F.log(share[0])).alias("ratio"), F.sum(F.col("n0") + F.col("n1")).alias("n"))
+    seen = facts.withColumn("rest", _suffix("gram", ORDER - 1)).join(backoff, "rest").select("gram", (F.log(p[1]) - F.log(p[0])).alias("ratio"))
+    contexts = facts.groupBy(F.shiftright("gram", 8).alias("gram")).agg(F.max(F.log(share[1]) - F.log(share[0])).alias("ratio"))
     return seen, contexts
 
 
-def _slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        slot, prints = _place(batch.column(0).to_numpy().astype(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(prints.astype(np.int32)), batch.column(1).cast(pa.float32()), batch.column(2)], names=["slot", "print", "ratio", "n"])
-
-
-def folded(ratios: DataFrame) -> Ratios:
-    """At most ``SLOTS`` rows come to the driver: of n-grams that share a slot, the most frequent stays."""
-    kept = ratios.transform(in_arrow, _slotted, "slot long, print int, ratio float, n long").groupBy("slot").agg(F.max_by(F.struct("print", "ratio"), F.struct("n", "print")).alias("x"))
-    rows = kept.select("slot", "x.print", "x.ratio").toArrow()
-    prints, values = np.zeros(SLOTS, np.uint16), np.zeros(SLOTS, np.float32)
-    at = rows.column("slot").to_numpy()
-    prints[at], values[at] = rows.column("print").to_numpy(), rows.column("ratio").to_numpy()
-    return Ratios(prints, values)
+def kept(ratios: DataFrame, name: str) -> Ratios:
+    """All rows, on the shared folder."""
+    path = fresh_path(ratios.sparkSession, name)
+    ratios.select("gram", F.col("ratio").cast("float")).sortWithinPartitions("gram").write.parquet(path)
+    return Ratios(path)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -194,12 +240,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return w
 
 
-def _featured(shared):
+def _sampled(seen: Ratios, contexts: Ratios):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, contexts = shared.value
-        for batch in slices(batches):
-            found = [features(t, seen, contexts).tolist() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], names=["toxic", "f"])
+        for found, rows in _featured(batches, seen, contexts):
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(found.tolist(), pa.list_(pa.float64()))], names=["toxic", "f"])
 
     return run
 
@@ -214,11 +258,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not all(sizes.get((False, c)) for c in (0, 1)):
         return None
     counts = stored(gram_counts(train.where(~held)), "toxicity-grams")
-    seen, contexts = (folded(x) for x in log_ratios(counts))
+    seen, contexts = (kept(x, "toxicity-ratios") for x in log_ratios(counts))
     n = sizes.get((True, 0), 0) + sizes.get((True, 1), 0)
     sample = train.where(held & (F.col("draw") < int(min(1.0, calibration / max(n, 1)) * (1 << 30))))
-    shared = docs.sparkSession.sparkContext.broadcast((seen, contexts))  # fixed size
-    rows = sample.select("toxic", "text").transform(in_arrow, _featured(shared), "toxic int, f array<double>").collect()
+    rows = sample.select("text", "toxic").transform(in_arrow, _sampled(seen, contexts), "toxic int, f array<double>").collect()
     x, y = np.array([r["f"] for r in rows]).reshape(-1, 3 + len(BARS)), np.array([r["toxic"] for r in rows], float)
     if not 0 < y.sum() < len(y):  # too few rows to calibrate: a word twice as likely a letter when toxic is the border
         return Model(seen, contexts, np.zeros(3 + len(BARS)), np.ones(3 + len(BARS)), np.array([0, 0, 4.0, *[0] * len(BARS), -4 * np.log(2)]))
@@ -226,24 +269,22 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(seen, contexts, mean, scale, _logistic((x - mean) / scale, y))
 
 
-def _scored(shared):
+def _scored(m: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model | None = shared.value
-        for batch in slices(batches):
-            if m is None or not batch.num_rows:
-                scores = np.zeros(batch.num_rows)
-            else:
-                x = np.array([features(t, m.grams, m.contexts) for t in batch.column(0).to_pylist()])
-                z = ((x - m.mean) / m.scale) @ m.weights[:-1] + m.weights[-1]
-                scores = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(scores)], names=[str(i) for i in range(batch.num_columns)])
+        if m is None:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.zeros(batch.num_rows))], names=[str(i) for i in range(batch.num_columns)])
+            return
+        for x, batch in _featured(batches, m.grams, m.contexts):
+            z = ((x - m.mean) / m.scale) @ m.weights[:-1] + m.weights[-1]
+            scores = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[str(i) for i in range(batch.num_columns + 1)])
 
     return run
 
 
 def score(docs: DataFrame, model: Model | None, carry: list[str], text_col: str = "text") -> DataFrame:
     """The columns in ``carry`` and ``score`` for every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: two tables of SLOTS slots
     rows = docs.select(F.col(text_col).alias("__text"), *carry)
     schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema.fields[1:])) + ", s double"
-    return rows.transform(in_arrow, _scored(shared), schema).toDF(*carry, "score")
+    return rows.transform(in_arrow, _scored(model), schema).toDF(*carry, "score")

@@ -140,6 +140,14 @@ def test_toxicity_held_out(spark, none):
     assert toxicity.score(none, model, ["doc_id"]).count() == 0
 
 
+def test_toxicity_keeps_every_ngram(spark):
+    n = 1 << 21  # more than any fixed number of slots before
+    ratios = spark.range(n).select(F.col("id").alias("gram"), (F.col("id") % 1009).cast("float").alias("ratio"))
+    found, known = toxicity.kept(ratios.repartition(3), "ratios").of(np.arange(0, n + 10, dtype=np.uint64))
+    assert known.sum() == n and known[:n].all()
+    assert (found[:n] == np.arange(n) % 1009).all()
+
+
 def test_shared_backoff_sums_to_at_most_one(spark):
     counts = spark.createDataFrame([(int(g), 1, 0) for g in np.unique(toxicity.grams("banana bandana cabana")[0])], "gram long, n0 long, n1 long")
     rows = toxicity.shared_backoff(counts).groupBy(F.shiftright("gram", 8).alias("c")).agg(F.sum("p").alias("p")).collect()
