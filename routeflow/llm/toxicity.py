@@ -10,8 +10,9 @@ gathers about ``CHUNK`` symbols of texts, reads through the tables once for the
 those texts: no n-gram is dropped or taken for another, and what a task holds has a fixed size besides its longest text.
 
 A text's toxic and ordinary log-likelihoods are compared normalised by length: over the whole text, over its words, and
-over windows of ``WINDOW`` words. A logistic function fitted on training rows that the counts leave out (a bounded sample
-of ``CALIBRATION`` rows in expectation) makes of these the score.
+over windows of ``WINDOW`` words. A logistic function makes of these the score. It is fitted on a bounded sample of training
+rows (``CALIBRATION`` in expectation, at most one in ``HELD_BACK``) with ratios from the counts of all others; the ratios
+that texts are scored with then come from the counts of every training row, those of the sample too.
 
 Defined cases: null texts and texts without letters score like the empty text; null labels and null ids teach nothing;
 if the training rows don't hold both classes, every score is 0; repeated rows are scored alike; an empty table gives an
@@ -37,7 +38,7 @@ ORDER, DISCOUNT, WINDOW, CALIBRATION = 7, 0.75, 8, 20_000
 CHUNK, PART = 1 << 24, 1 << 20
 #: How far a word's log-likelihood ratio must exceed its peers' to add to a feature.
 BARS = (1.0, 2.0, 4.0, 6.0)
-#: Every how manyth training row is left out of the counts, for calibration.
+#: Every how manyth training row calibrates at most, left out of the counts until then.
 HELD_BACK = 5
 
 _table: list[np.ndarray] = []
@@ -253,15 +254,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
     train = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, "id"), "toxicity-train")
     train = train.withColumn("draw", F.pmod(F.xxhash64(F.lit("toxicity"), "id"), F.lit(1 << 30)))
-    held = F.col("draw") % HELD_BACK == 0
-    sizes = {(r["held"], r["toxic"]): r["n"] for r in train.groupBy(held.alias("held"), "toxic").agg(F.count("*").alias("n")).collect()}
-    if not all(sizes.get((False, c)) for c in (0, 1)):
+    sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(sizes) < 2:
         return None
+    held = F.col("draw") < int(min(1 / HELD_BACK, calibration / sum(sizes.values())) * (1 << 30))
     counts = stored(gram_counts(train.where(~held)), "toxicity-grams")
     seen, contexts = (kept(x, "toxicity-ratios") for x in log_ratios(counts))
-    n = sizes.get((True, 0), 0) + sizes.get((True, 1), 0)
-    sample = train.where(held & (F.col("draw") < int(min(1.0, calibration / max(n, 1)) * (1 << 30))))
-    rows = sample.select("text", "toxic").transform(in_arrow, _sampled(seen, contexts), "toxic int, f array<double>").collect()
+    rows = train.where(held).select("text", "toxic").transform(in_arrow, _sampled(seen, contexts), "toxic int, f array<double>").collect()
+    both = counts.unionByName(gram_counts(train.where(held))).groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    seen, contexts = (kept(x, "toxicity-ratios") for x in log_ratios(stored(both, "toxicity-grams")))
     x, y = np.array([r["f"] for r in rows]).reshape(-1, 3 + len(BARS)), np.array([r["toxic"] for r in rows], float)
     if not 0 < y.sum() < len(y):  # too few rows to calibrate: a word twice as likely a letter when toxic is the border
         return Model(seen, contexts, np.zeros(3 + len(BARS)), np.ones(3 + len(BARS)), np.array([0, 0, 4.0, *[0] * len(BARS), -4 * np.log(2)]))

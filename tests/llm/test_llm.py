@@ -148,6 +148,13 @@ def test_toxicity_keeps_every_ngram(spark):
     assert (found[:n] == np.arange(n) % 1009).all()
 
 
+def test_toxicity_learns_from_every_row(spark):
+    own = [(i, f"same {chr(97 + i // 26)}{chr(97 + i % 26)}jq") for i in range(200)]  # n-grams that one row alone holds
+    docs = spark.createDataFrame(own, "doc_id long, text string")
+    model = toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
+    assert model.grams.of(np.unique(np.concatenate([toxicity.grams(t)[0] for _, t in own])))[1].all()
+
+
 def test_shared_backoff_sums_to_at_most_one(spark):
     counts = spark.createDataFrame([(int(g), 1, 0) for g in np.unique(toxicity.grams("banana bandana cabana")[0])], "gram long, n0 long, n1 long")
     rows = toxicity.shared_backoff(counts).groupBy(F.shiftright("gram", 8).alias("c")).agg(F.sum("p").alias("p")).collect()
