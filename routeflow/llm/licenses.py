@@ -1,9 +1,10 @@
 """License scan: exact set-similarity join of text blocks with license templates, by containment.
 
-Words are maximal runs of ASCII digits, ASCII letters and anything beyond ASCII, with A-Z lowered. A block is a line; a
-line of more than ``WINDOW`` words is cut into windows of ``WINDOW`` words, each starting ``WINDOW - longest template``
-words after the last, so that every run of words as long as a template lies whole in a block. A block matches a template
-if it holds at least ``threshold`` of the template's distinct words.
+Words are maximal runs of ASCII digits, ASCII letters and anything beyond ASCII, with A-Z lowered. Blocks are the lines
+and, since statements are wrapped, the whole text; what has more than ``WINDOW`` words is cut into windows of ``WINDOW``
+words, each starting ``WINDOW - longest template`` words after the last, so that every run of words as long as a template
+lies whole in a block, across lines too. A block matches a template if it holds at least ``threshold`` of the template's
+distinct words.
 
 The join is exact. All template words are ordered by how many documents of the whole corpus hold them, rarest first.
 A block that meets the threshold must share a word with the template's prefix (prefix filter), must have enough words
@@ -84,17 +85,22 @@ def prefix_index(templates: Sequence[Template]) -> dict[bytes, list[tuple[int, i
     return index
 
 
+def windows_of(words: list[bytes], window: int, longest: int) -> Iterator[list[bytes]]:
+    if len(words) <= window:
+        yield words
+        return
+    step = max(1, window - longest)
+    for at in range(0, max(1, len(words) - longest + step), step):
+        if at < len(words):
+            yield words[at : at + window]
+
+
 def blocks_of(data: bytes, window: int, longest: int) -> Iterator[list[bytes]]:
-    for line in data.split(b"\n"):
-        words = words_of(line)
-        if len(words) <= window:
-            if words:
-                yield words
-        else:
-            step = max(1, window - longest)
-            for at in range(0, max(1, len(words) - longest + step), step):
-                if at < len(words):
-                    yield words[at : at + window]
+    lines = [words for words in map(words_of, data.split(b"\n")) if words]
+    for words in lines:
+        yield from windows_of(words, window, longest)
+    if len(lines) > 1:
+        yield from windows_of([w for words in lines for w in words], window, longest)
 
 
 def matches(block: Sequence[bytes], templates: Sequence[Template], index: dict[bytes, list[tuple[int, int]]]) -> Iterator[tuple[int, float]]:
@@ -167,7 +173,7 @@ def _scan(templates: list[Template], window: int):
                 held = set(words)
                 n, first, last, base = _base(words) if held & phrase_words else (0, None, None, set())
                 labels, score, found = set(base), 1.0 if base else 0.0, set()
-                if not held.isdisjoint(index):
+                if any(matches(words, templates, index)):  # no block holds more than the text
                     for block in blocks_of(text, window, longest):
                         met = [(containment, len(templates[k].words), k) for k, containment in matches(block, templates, index)]
                         found.update(k for _, _, k in met)
@@ -192,7 +198,12 @@ def brute_force(text: str | None, templates: Sequence[tuple[str, str]] = TEMPLAT
     """Labels of a text without index or filters, for tests."""
     longest = max(len(set(re.findall(rb"[0-9a-z\x80-\xff]+", t.lower().encode()))) for _, t in templates) * 2
     out = {label for phrase, label in PHRASES.items() if f" {phrase} " in " " + b" ".join(words_of((text or "").encode())).decode() + " "}
-    for block in blocks_of((text or "").encode(), window, longest):
+    step, blocks = max(1, window - longest), []
+    for part in [*(text or "").split("\n"), text or ""]:
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), part.encode()))
+        starts = [0] if len(words) <= window else [i for i in range(len(words)) if i % step == 0 and i < len(words) - longest + step]
+        blocks += [words[i : i + window] for i in starts]
+    for block in blocks:
         met = []
         for k, (_, t) in enumerate(templates):
             own = set(words_of(t.encode()))

@@ -235,6 +235,20 @@ def test_license_scan_matches_brute_force(spark, docs, none):
     assert licenses.scan(none).count() == 0
 
 
+def test_license_statements_across_lines(spark):
+    filler = "\n".join(f"line {i} says word{i}" for i in range(60))
+    wrapped = {
+        "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met",
+        "gpl": "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General\nPublic License",
+        "apache": "You may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0",
+        "all-rights-reserved": "All rights\nreserved",
+    }
+    rows = [(label, f"{before}{text}{after}") for label, text in wrapped.items() for before, after in (("", ""), (f"{filler}\n", f"\n{filler}"))]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    for r in licenses.scan(df).collect():
+        assert r["labels"] == rows[r["doc_id"]][0] == ",".join(licenses.brute_force(rows[r["doc_id"]][1])), rows[r["doc_id"]]
+
+
 def test_mixing_targets_and_copies(spark, docs, none):
     rng = np.random.default_rng(8)
     rows = [(i, " ".join(["w"] * int(rng.integers(0, 60))), ["s0", "s1", "s2", "s3", None][min(4, i % 9)]) for i in range(4000)]
