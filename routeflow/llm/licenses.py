@@ -4,15 +4,15 @@ Words are maximal runs of ASCII digits, ASCII letters and anything beyond ASCII,
 and, since statements are wrapped, the whole text; what has more than ``WINDOW`` words is cut into windows of ``WINDOW``
 words, each starting ``WINDOW - longest template`` words after the last, so that every run of words as long as a template
 lies whole in a block, across lines too. A block matches a template if it holds at least ``threshold`` of the template's
-distinct words.
+distinct words, and all of those that tell licenses apart (``TELLING``).
 
 The join is exact. All template words are ordered by how many documents of the whole corpus hold them, rarest first.
 A block that meets the threshold must share a word with the template's prefix (prefix filter), must have enough words
 (length filter), and after a first shared word at place i can gain at most the template's words behind i (positional
 filter); only what passes is counted out. The corpus counts cover the templates' words, a table of fixed size.
 
-The label is that of a block's fullest match, of the longest template among equals; ``templates`` lists all matches.
-Besides, fixed phrases give base labels wherever their words stand one after another, across lines too.
+A block gives the labels of all its matches but those whose matched words another match holds too, and more: a license's
+variant hides the license there. ``templates`` lists all matches. Besides, fixed phrases give base labels wherever their words stand one after another, across lines too.
 
 Defined cases: null text is empty, has no words and no labels; repeated rows are labelled alike; an empty table gives an
 empty result; other columns are not read.
@@ -52,6 +52,8 @@ TEMPLATES = (
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
     ("all-rights-reserved", "All rights reserved"),
 )
+#: Words that a match of a template that has them can't lack.
+TELLING = frozenset((b"mit", b"apache", b"gnu", b"lesser", b"mozilla", b"cc", b"nc", b"sa", b"creative", b"commons"))
 THRESHOLD, WINDOW = 0.8, 64
 
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -115,13 +117,13 @@ def matches(block: Sequence[bytes], templates: Sequence[Template], index: dict[b
         if len(held) < t.need or len(t.words) - place < t.need:
             continue
         shared = sum(w in held for w in t.words[place:])
-        if shared >= t.need:
+        if shared >= t.need and all(w in held for w in TELLING.intersection(t.words)):
             yield k, shared / len(t.words)
 
 
-def best_labels(met: list[tuple[float, int, int]], templates: Sequence) -> set[str]:
-    """A block that meets several templates, such as a license and its variants, gets the label of the fullest and longest match."""
-    return {templates[k][0] for containment, n, k in met if (containment, n) == max(m[:2] for m in met)}
+def all_labels(met: list[tuple[float, frozenset[bytes], int]], templates: Sequence) -> set[str]:
+    """Labels of a block's matches (containment, matched words, template), less those that another match explains with more words, or the same ones more fully."""
+    return {templates[k][0] for part, own, k in met if not any(own < other or own == other and part < whole for whole, other, _ in met)}
 
 
 def _base(words: list[bytes]) -> tuple[int, int | None, int | None, set[str]]:
@@ -175,9 +177,9 @@ def _scan(templates: list[Template], window: int):
                 labels, score, found = set(base), 1.0 if base else 0.0, set()
                 if any(matches(words, templates, index)):  # no block holds more than the text
                     for block in blocks_of(text, window, longest):
-                        met = [(containment, len(templates[k].words), k) for k, containment in matches(block, templates, index)]
+                        met = [(containment, frozenset(block).intersection(templates[k].words), k) for k, containment in matches(block, templates, index)]
                         found.update(k for _, _, k in met)
-                        labels.update(best_labels(met, templates))
+                        labels.update(all_labels(met, templates))
                         score = max([score, *(m[0] for m in met)])
                 rows.append((doc_id, len(words), n, first, last, ",".join(sorted(base)), ",".join(sorted(labels)), score, sorted(found)))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.int32()))
@@ -207,7 +209,7 @@ def brute_force(text: str | None, templates: Sequence[tuple[str, str]] = TEMPLAT
         met = []
         for k, (_, t) in enumerate(templates):
             own = set(words_of(t.encode()))
-            if len(own & set(block)) / len(own) >= threshold - 1e-9:
-                met.append((len(own & set(block)) / len(own), len(own), k))
-        out |= best_labels(met, templates)
+            if len(own & set(block)) / len(own) >= threshold - 1e-9 and not own & TELLING - set(block):
+                met.append((len(own & set(block)) / len(own), frozenset(own & set(block)), k))
+        out |= all_labels(met, templates)
     return out

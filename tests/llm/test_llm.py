@@ -249,6 +249,17 @@ def test_license_statements_across_lines(spark):
         assert r["labels"] == rows[r["doc_id"]][0] == ",".join(licenses.brute_force(rows[r["doc_id"]][1])), rows[r["doc_id"]]
 
 
+def test_license_scan_gives_every_label(spark):
+    texts = {
+        "All rights reserved. Licensed under CC BY 4.0": "all-rights-reserved,cc-by", "Licensed under CC BY-NC 4.0": "cc-by-nc", "Licensed under CC BY-SA 4.0": "cc-by-sa",
+        "Dual: licensed under the MIT License or licensed under CC BY 4.0": "cc-by,mit", "Licensed under the Mozilla Public License": "", "Licensed under the BSD 3-Clause License": "",
+        "under the terms of the GNU General Public License as published by the Free Software Foundation": "gpl",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {list(texts)[r["doc_id"]]: r["labels"] for r in licenses.scan(df).collect()}
+    assert got == texts == {t: ",".join(sorted(licenses.brute_force(t))) for t in texts}
+
+
 def test_mixing_targets_and_copies(spark, docs, none):
     rng = np.random.default_rng(8)
     rows = [(i, " ".join(["w"] * int(rng.integers(0, 60))), ["s0", "s1", "s2", "s3", None][min(4, i % 9)]) for i in range(4000)]
