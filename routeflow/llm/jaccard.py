@@ -1,7 +1,7 @@
 """N-gram Jaccard join by chosen paths: near-duplicate documents on word shingles.
 
 A document's set holds its runs of ``SHINGLE`` lower-case words (of all its words, if it has fewer). Equal sets form one
-class, whose smallest id represents it. A representative's set is embedded as ``COORDS`` MinHash values. Each of several
+class, whose smallest id represents it, and the hash of one of whose texts names it within the join. A representative's set is embedded as ``COORDS`` MinHash values. Each of several
 runs is a tree: a node's path picks ``CHILDREN`` coordinates, the same ones for all sets that reach it, and each set goes
 on to the child that its value at the coordinate names. Nodes of at most ``LEAF`` sets are leaves; larger nodes split
 again. A node that one child inherits nearly whole is *dense*: its sets are alike, more splitting cannot help, and it
@@ -15,7 +15,8 @@ are compared once. The number of runs follows from the target recall of pairs at
 Classes then join into groups by alternating large-star and small-star steps over the links' star edges.
 
 Defined cases: null and empty texts have the empty set, equal to each other's only, with no links; repeated rows are
-copies; rows without an id are told their class but never represent one; an empty table gives an empty result.
+copies; rows that share an id but hold different sets are different documents; rows without an id are compared like any
+other and told their class, which has no id only if no row of its group has one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -88,7 +89,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             second.append(int.from_bytes(digest[8:], "little", signed=True))
             sizes.append(len(s))
             signatures.append(signature(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(sizes, pa.int32()), pa.array(signatures, pa.binary())], names=["id", "h1", "h2", "n", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(sizes, pa.int32()), pa.array(signatures, pa.binary())], names=["id", "t", "h1", "h2", "n", "sig"])
 
 
 def _children(parents: np.ndarray, signatures: np.ndarray, children: int) -> np.ndarray:
@@ -272,37 +273,55 @@ def groups(edges: DataFrame, rounds: int = 40) -> DataFrame | None:
     return edges
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
-    """(id, class_id, set_id, n_links) of every row. ``set_id``: smallest id with an equal set; ``class_id``: smallest id of
-    the group that links connect; ``n_links``: how many different sets are similar to this one at the threshold."""
+def _named(docs: DataFrame, id_col: str, text_col: str, threshold: float, target: float) -> tuple[DataFrame, DataFrame]:
+    """(id, t, h1, h2) of every row, and (h1, h2, first, rep, n_links) of every set: ``t`` hashes the text; ``rep`` is the
+    set's smallest id; ``first`` (no, id, t) is the row that stands for the group, ids before none."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sketches = stored(rows.transform(in_arrow, _sketch, "id long, h1 long, h2 long, n int, sig binary"), "jaccard-sketches")
-    reps = sketches.where(F.col("id").isNotNull()).groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.min_by("sig", "id").alias("sig"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"))
+    sketches = stored(rows.transform(in_arrow, _sketch, "id long, t long, h1 long, h2 long, n int, sig binary"), "jaccard-sketches")
+    first = F.struct(F.col("id").isNull().alias("no"), "id", "t")
+    reps = sketches.groupBy("h1", "h2").agg(F.min(first).alias("own"), F.min_by("sig", first).alias("sig"))
     reps = stored(reps, "jaccard-sets")
-    sets = reps.where(F.col("sig").isNotNull()).select(F.col("rep").alias("id"), "sig")
+    sets = reps.where(F.col("sig").isNotNull()).select(F.col("own.t").alias("id"), "sig")
     member = stored(leaves(sets, runs_for(target, threshold)), "jaccard-members")
     blocks = F.ceil(F.col("n") / SUB).cast("int")
     b = F.pmod(F.xxhash64(F.lit("sub"), "id"), blocks).cast("int")
     places = F.transform(F.sequence(F.lit(0), blocks - 1), lambda x: F.struct(F.col("key").alias("key"), F.least(x, b).alias("i"), F.greatest(x, b).alias("j"), b.alias("b")))
     needed = member.groupBy("id").agg(F.collect_list("key").alias("keys"), F.flatten(F.collect_list(places)).alias("places"))
-    texts = rows.where(F.col("id").isNotNull()).join(needed, "id").dropDuplicates(["id"]).select("id", "text", "keys", "places")
+    needed = needed.withColumnRenamed("id", "t").join(reps.select("own.t", F.col("own.id").alias("rep")), "t")
+    with_id = rows.where(F.col("id").isNotNull()).join(needed.withColumnRenamed("rep", "id"), ["id", "t"])
+    without = rows.where(F.col("id").isNull()).dropDuplicates(["t"]).join(needed.where(F.col("rep").isNull()).drop("rep"), "t")
+    texts = with_id.select("t", "text", "keys", "places").unionAll(without.select("t", "text", "keys", "places")).dropDuplicates(["t"]).withColumnRenamed("t", "id")
     order = ("key", "i", "j", "id")
     dealt = texts.transform(in_arrow, _sets, "key long, i int, j int, b int, id long, keys binary, low binary, high binary").repartition(shuffle_partitions(spark), "key", "i", "j").sortWithinPartitions(*order)
     links = stored(dealt.transform(in_arrow, _verify(threshold), "id long, links long, least long"), "jaccard-links")
-    counts = links.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("n_links"))
+    counts = links.groupBy(F.col("id").alias("t")).agg(F.sum("links").alias("n_links"))
     named = groups(links.select("id", "least"))
-    facts = reps.select("h1", "h2", "rep").join(counts, "rep", "left")
+    facts = reps.select("h1", "h2", "own", "own.t").join(counts, "t", "left")
     if named is None:
-        facts = facts.withColumn("least", F.lit(None).cast("long"))
+        facts = facts.withColumn("first", F.col("own"))
     else:
-        facts = facts.join(named.select(F.col("id").alias("rep"), "least"), "rep", "left")
-    facts = facts.select("h1", "h2", F.coalesce("least", "rep").alias("class_id"), F.col("rep").alias("set_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return sketches.select("id", "h1", "h2").join(facts, ["h1", "h2"], "left").select("id", "class_id", "set_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+        # a group's smallest member has no edge of its own
+        named = named.select(F.col("id").alias("t"), "least").unionAll(named.select(F.col("least").alias("t"), "least")).distinct()
+        best = named.join(reps.select("own.t", "own"), "t").groupBy("least").agg(F.min("own").alias("best"))
+        facts = facts.join(named.join(best, "least").select("t", "best"), "t", "left").withColumn("first", F.coalesce("best", "own"))
+    return sketches.select("id", "t", "h1", "h2"), facts.select("h1", "h2", "first", F.col("own.id").alias("rep"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` with one document of each group, that of the smallest id."""
-    found = join(docs, id_col, **options)
-    kept = found.where(F.col("id") == F.col("class_id")).select(F.col("id").alias(id_col)).distinct()
-    return docs.join(kept, id_col).dropDuplicates([id_col]).select(*docs.columns)
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
+    """(id, class_id, set_id, n_links) of every row. ``set_id``: smallest id with an equal set; ``class_id``: smallest id of
+    the group that links connect; ``n_links``: how many different sets are similar to this one at the threshold."""
+    rows, facts = _named(docs, id_col, text_col, threshold, target)
+    facts = facts.select("h1", "h2", F.col("first.id").alias("class_id"), F.col("rep").alias("set_id"), "n_links")
+    return rows.select("id", "h1", "h2").join(facts, ["h1", "h2"], "left").select("id", "class_id", "set_id", "n_links")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
+    """``docs`` with one document of each group, that of the smallest id. A group without any id keeps one of its rows, and
+    rows that share an id but belong to different groups all stay."""
+    _, facts = _named(docs, id_col, text_col, threshold, target)
+    kept = facts.select(F.col("first.id").alias("__id"), F.col("first.t").alias("__t")).distinct()
+    rows = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__t", F.xxhash64(text_col))
+    with_id = rows.where(F.col("__id").isNotNull()).join(kept, ["__id", "__t"]).dropDuplicates(["__id", "__t"])
+    without = rows.where(F.col("__id").isNull()).dropDuplicates(["__t"]).join(kept.where(F.col("__id").isNull()).drop("__id"), "__t")
+    return with_id.select(*docs.columns).unionAll(without.select(*docs.columns))

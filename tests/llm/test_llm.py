@@ -363,6 +363,20 @@ def test_jaccard_edges(spark, docs, none):
     assert jaccard.runs_for() == 3
 
 
+def test_one_of_each_of_null_and_repeated_ids(spark):
+    words = [[f"p{g}w{i}" for i in range(60)] for g in range(5)]
+    text = [" ".join(w) for w in words]
+    near = [" ".join([*w, "tail"]) for w in words]
+    rows = [(None, text[0]), (None, text[0]), (None, near[0]), (None, text[1]), (1, near[1]), (5, text[2]), (5, text[3]), (5, text[3]), (6, near[3]), (7, text[4]), (None, text[4]), (None, None), (None, "")]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = Counter((r["doc_id"], r["text"] or "") for r in kept)
+    zero = [k for k in got if k[1] in (text[0], near[0])]
+    assert len(zero) == 1 and zero[0][0] is None
+    assert got == Counter([zero[0], (1, near[1]), (5, text[2]), (5, text[3]), (7, text[4]), (None, "")])
+    told = {(r["id"], r["class_id"]) for r in jaccard.join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert told == {(None, None), (None, 1), (1, 1), (5, 5), (6, 5), (7, 7), (None, 7)}
+
+
 def test_pipeline_matches_its_stages(spark, tmp_path):
     import corpus_pipeline
 
