@@ -238,7 +238,8 @@ def place(parts: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, island
     """``parts`` (from :func:`pieces`, stored) with ``sequence_id`` and ``offset``; full pieces have negative sequence numbers."""
     full, part = parts.where(F.col("length") == capacity), parts.where(F.col("length") < capacity)
     n, spread = max(1, -(-part.count() // block)), shuffle_partitions(parts.sparkSession)
-    keyed = part.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(n)))
+    # the row number spreads pieces that are alike in all else, as of null or repeated ids
+    keyed = part.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "start", "length", "ids_crc32", F.monotonically_increasing_id()), F.lit(n)))
     order = ("block", "length", "doc_id", "piece")
     blocks = stored(keyed.repartition(min(n, spread), "block").sortWithinPartitions(*order).transform(in_arrow, _blocks, "block long, doc_id binary, piece binary, start binary, length binary, ids_crc32 binary, nulls binary"), "pack-blocks")
     work = blocks.select("block", F.col("length").alias("lengths"), F.explode(F.array(*[F.lit(i) for i in range(islands)])).alias("island"))

@@ -211,6 +211,13 @@ def test_packing_is_whole_gapless_and_tight(spark, docs, none):
     assert packing.pack(none, vocabulary()).count() == 0
 
 
+def test_packing_spreads_null_and_repeated_ids(spark):
+    rows = spark.range(1200).select(F.when(F.col("id") % 2 == 0, F.lit(3)).cast("long").alias("doc_id"), F.lit("the same few words").alias("text"))
+    out = packing.pack(rows, vocabulary(), block=128).collect()
+    sizes = Counter(r["sequence_id"] >> 32 for r in out)
+    assert len(out) == 1200 and len(sizes) == 10 and max(sizes.values()) < 256
+
+
 def test_evolution_never_loses_items_and_meets_bound():
     rng = np.random.default_rng(7)
     lengths = [int(x) for x in rng.integers(1, 100, 200)]
