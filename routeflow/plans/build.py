@@ -1,10 +1,13 @@
-"""A route as one lazy DataFrame: input middleware in order, the handler, then the output's routing.
+"""A route as one lazy DataFrame: input middleware in order, the handler, the output's middleware, then its routing.
 
 The result has ``sink`` (where a row goes) and ``status``; a writer partitions by ``sink`` in one pass.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +37,20 @@ def sinks(e: Endpoint, metadata: Column) -> Column:
     return F.array(F.lit(name_of(e)))
 
 
+def apply(df: DataFrame, name: str, o: Mapping[str, Any], us: str) -> DataFrame:
+    """Middleware that means the same on inputs and outputs; any other leaves ``df`` as it is."""
+    if name == "delay":
+        return df.withColumn(us, F.col(us) + int(o["delay_ms"]) * 1000)
+    if name == "random_panic":
+        struck = F.pmod(F.xxhash64("message_id"), F.lit(1_000_000)) < int(float(o["probability"]) * 1_000_000)
+        return df.where(~F.when(struck, F.raise_error(F.lit("injected fault")).cast("boolean")).otherwise(F.lit(False)))
+    if name == "custom":  # not registered when the configuration was read
+        name, o = o["name"], o["config"]
+        if name not in CUSTOM_MIDDLEWARE:
+            raise ValueError(f"no middleware {name}; register one in CUSTOM_MIDDLEWARE")
+    return CUSTOM_MIDDLEWARE[name](df, o) if name in CUSTOM_MIDDLEWARE else df
+
+
 def consume(df: DataFrame, e: Endpoint, us: str = "arr_us") -> DataFrame:
     """The input's middleware; the first entry is the outermost, so the last one sees messages first."""
     for name, o in reversed(e.middlewares):
@@ -46,13 +63,8 @@ def consume(df: DataFrame, e: Endpoint, us: str = "arr_us") -> DataFrame:
             first = df.select(F.col("message_id").alias("first"), "metadata", us)
             joined = joined.join(first, "first")
             df = joined.select(F.md5(F.concat_ws("|", "key", "first", "grp")).alias("message_id"), F.encode("payload", "UTF-8").alias("payload"), F.map_concat(F.map_filter("metadata", lambda k, _, g=o["group_by"]: k != g), F.create_map(F.lit(o["group_by"]), F.col("key"))).alias("metadata"), us)
-        elif name == "delay":
-            df = df.withColumn(us, F.col(us) + int(o["delay_ms"]) * 1000)
-        elif name == "random_panic":
-            struck = F.pmod(F.xxhash64("message_id"), F.lit(1_000_000)) < int(float(o["probability"]) * 1_000_000)
-            df = df.where(~F.when(struck, F.raise_error(F.lit("injected fault")).cast("boolean")).otherwise(F.lit(False)))
-        elif name == "custom" and o["name"] in CUSTOM_MIDDLEWARE:
-            df = CUSTOM_MIDDLEWARE[o["name"]](df, o["config"])
+        else:
+            df = apply(df, name, o, us)
     return df
 
 
@@ -65,6 +77,8 @@ def plan(df: DataFrame, r: Route, us: str = "arr_us") -> DataFrame:
     df = consume(df, r.input, us)
     if r.output.handler is not None:
         df = r.output.handler(df)
+    for name, o in r.output.middlewares:  # the outermost sees messages first
+        df = apply(df, name, o, us)
     if "status" not in df.columns:
         df = df.withColumn("status", F.lit(M.ACK))
     dead = next((o["endpoint"] for n, o in r.output.middlewares if n == "dlq"), None)

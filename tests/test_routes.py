@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from routeflow.functions import messages as M
 from routeflow.operators import delivery, sending
 from routeflow.operators.numbering import numbered, running_sum
-from routeflow.plans import config, run
+from routeflow.plans import build, config, run
 from routeflow.sources import topics
 
 
@@ -91,3 +91,17 @@ r:
         run.read(spark, config.endpoint({"nats": {"subject": "s"}}), "r")
     static = config.load("s: {input: {static: hello}, output: {static: bye}}", {})["s"]
     assert bytes(run.run(spark, "s", static, root)["static:bye"].first()["payload"]) == b'"bye"'
+
+
+def test_output_middleware_acts(spark):
+    config.CUSTOM_MIDDLEWARE["stamp"] = lambda d, o: d.withColumn("payload", F.encode(F.lit(o["text"]), "UTF-8"))
+    df = _messages(spark, 2).withColumn("arr_us", F.lit(5).cast("long"))
+    r = config.load('o: {input: {static: x}, output: {response: {}, middlewares: [{delay: {delay_ms: 2}}, {stamp: {text: hi}}]}}', {})["o"]
+    out = build.plan(df, r).collect()
+    assert [(bytes(x["payload"]), x["arr_us"]) for x in out] == [(b"hi", 2005)] * 2
+    r = config.load("o: {input: {static: x}, output: {response: {}, middlewares: [{random_panic: {probability: 1}}]}}", {})["o"]
+    with pytest.raises(Exception, match="injected fault"):
+        build.plan(df, r).collect()
+    r = config.load("o: {input: {static: x}, output: {response: {}, middlewares: [{unheard_of: {}}]}}", {})["o"]
+    with pytest.raises(ValueError):
+        build.plan(df, r)
