@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routeflow.llm.coding import coder
-from routeflow.llm.storage import in_arrow, shuffle_partitions, stored
+from routeflow.llm.storage import in_arrow, shuffle_partitions, slices, stored
 
 CAPACITY, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2048, 8192, 2, 2, 6, 4
 
@@ -34,9 +34,9 @@ CAPACITY, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2048, 8192, 2, 2, 6,
 def _cut(tokenizer: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = coder(tokenizer, 2).encode_all, end_id.to_bytes(2, "little")
-        for batch in (whole.slice(a, 500) for whole in batches for a in range(0, whole.num_rows, 500)):
+        for batch in slices(batches):
             rows: list[tuple] = []
-            for doc_id, coded in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+            for doc_id, coded in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 ids = np.frombuffer(coded + end, "<u2").astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     piece = ids[at : at + capacity]

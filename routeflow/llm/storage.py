@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows of an Arrow batch at most: whole texts are long, and the JVM and Python both hold a batch.
-RECORDS = 1000
+#: Rows and bytes of an Arrow batch at most, besides its last row: whole texts are long, and the JVM and Python both hold a batch.
+RECORDS, BYTES = 1000, 16 << 20
 #: Functions that empty a module's memos; each module adds its own.
 memos: list[Callable[[], None]] = []
 _working = [""]
@@ -70,10 +70,15 @@ def _end() -> None:
 
 
 def in_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``df.mapInArrow`` with batches of at most ``RECORDS`` rows, and with workers that keep no more memory than they use."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= RECORDS:
-        conf.set(key, RECORDS)
+    """``df.mapInArrow`` with small batches, and with workers that keep no more memory than they use.
+
+    Spark takes a batch's bounds from the session, so those stay set there.
+    """
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", RECORDS), ("maxBytesPerBatch", BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(conf.get(key).rstrip("b")) <= most:
+            conf.set(key, most)
     module = function.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,11 +91,12 @@ def in_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Itera
     return df.mapInArrow(run, schema)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that few texts are Python objects at a time."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = RECORDS, size: int = BYTES // 4) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches of ``size`` bytes or one row, so that few texts are Python objects at a time."""
     for batch in batches:
-        for a in range(0, batch.num_rows, rows):
-            yield batch.slice(a, rows)
+        share = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+        for a in range(0, batch.num_rows, share):
+            yield batch.slice(a, share)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -3,17 +3,18 @@
 A shard is two files. ``NAME.rec`` holds one record a document, in ascending id order::
 
     u64 length | u32 masked checksum of those 8 bytes | payload | u32 masked checksum of the payload
-    payload = i64 document id | u8 bytes per token id | token ids, little endian
+    payload = i64 document id | u8 1 if it is null | u8 bytes per token id | token ids, little endian
 
-``NAME.idx`` holds (i64 document id, u64 offset of its record, u64 number of ids) for each record, so that a shuffled
-reader seeks straight to any record. Checksums are CRC-32, rotated and shifted by a constant, so that a checksum of
+``NAME.idx`` holds (i64 document id, u8 1 if it is null, u64 offset of its record, u64 number of ids) for each record, so
+that a shuffled reader seeks straight to any record. Checksums are CRC-32, rotated and shifted by a constant, so that a checksum of
 data that itself holds checksums stays sound.
 
-Documents are range-partitioned by id and every task writes one shard under a name of its own attempt; only attempts
+Documents are range-partitioned by id, then a hash of the text, then the row's place in the input, so that one id with very
+many rows spreads over many shards and reruns give the same order up to equal rows. Every task writes one shard under a name of its own attempt; only attempts
 that the manifest (a Parquet table committed by Spark) names count, so lost executors and retries leave no double rows.
 
-Defined cases: null text is empty and gives the end id only; a null document id is written first, as the smallest;
-repeated rows give repeated records; an empty table gives no shards and an empty result.
+Defined cases: null text is empty and gives the end id only; null document ids are written first; repeated rows give
+repeated records; other columns are not read; an empty table gives no shards and an empty result.
 """
 
 from __future__ import annotations
@@ -30,12 +31,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from routeflow.llm.coding import coder
-from routeflow.llm.storage import fresh_path, in_arrow, open_fs, shuffle_partitions, stored
+from routeflow.llm.storage import fresh_path, in_arrow, open_fs, shuffle_partitions, slices, stored
 
-#: The constant of masked checksums; the id that stands for a null document id.
-MASK_DELTA, NULL_ID = 0xA282EAD8, -(1 << 63)
+#: Fixed value: the constant of masked checksums.
+MASK_DELTA = 0xA282EAD8
 _MANIFEST = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64())])
-INDEX = np.dtype([("id", "<i8"), ("offset", "<u8"), ("n", "<u8")])
+INDEX = np.dtype([("id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("n", "<u8")])
 
 
 def masked(data: bytes) -> int:
@@ -43,13 +44,13 @@ def masked(data: bytes) -> int:
     return (((crc >> 15) | (crc << 17)) + MASK_DELTA) & 0xFFFFFFFF
 
 
-def frame(doc_id: int, width: int, ids: bytes) -> bytes:
-    payload = struct.pack("<qB", doc_id, width) + ids
+def frame(doc_id: int | None, width: int, ids: bytes) -> bytes:
+    payload = struct.pack("<qBB", doc_id or 0, doc_id is None, width) + ids
     head = struct.pack("<Q", len(payload))
     return b"".join((head, struct.pack("<I", masked(head)), payload, struct.pack("<I", masked(payload))))
 
 
-def read_record(f) -> tuple[int, np.ndarray] | None:
+def read_record(f) -> tuple[int | None, np.ndarray] | None:
     """The next record's document id and token ids (u32), or None at the end of the file."""
     head = f.read(12)
     if not head:
@@ -60,8 +61,8 @@ def read_record(f) -> tuple[int, np.ndarray] | None:
     payload = f.read(size)
     if len(payload) != size or struct.unpack("<I", f.read(4))[0] != masked(payload):
         raise ValueError("record is damaged")
-    doc_id, width = struct.unpack_from("<qB", payload)
-    return doc_id, np.frombuffer(payload, f"<u{width}", offset=9).astype("<u4")
+    doc_id, null, width = struct.unpack_from("<qBB", payload)
+    return None if null else doc_id, np.frombuffer(payload, f"<u{width}", offset=10).astype("<u4")
 
 
 def _writer(folder: str, tokenizer: str, end_id: int, width: int):
@@ -73,19 +74,16 @@ def _writer(folder: str, tokenizer: str, end_id: int, width: int):
         at = total = docs = 0
         first = last = None
         out = index = None
-        for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                places = np.empty(part.num_rows, INDEX)
-                for i, (doc_id, ids) in enumerate(zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist()), strict=True)):
-                    doc_id = NULL_ID if doc_id is None else doc_id
-                    record = frame(doc_id, width, ids := ids + end)
-                    if out is None:
-                        out, index, first = files.open_output_stream(f"{root}/{name}.rec"), files.open_output_stream(f"{root}/{name}.idx"), doc_id
-                    out.write(record)
-                    places[i] = doc_id, at, len(ids) // width
-                    at, total, docs, last = at + len(record), total + len(ids) // width, docs + 1, doc_id
-                index.write(places.tobytes())
+        for part in slices(batches):
+            places = np.empty(part.num_rows, INDEX)
+            for i, (doc_id, ids) in enumerate(zip(part.column(0).to_pylist(), encode(part.column(1)), strict=True)):
+                record = frame(doc_id, width, ids := ids + end)
+                if out is None:
+                    out, index, first = files.open_output_stream(f"{root}/{name}.rec"), files.open_output_stream(f"{root}/{name}.idx"), doc_id
+                out.write(record)
+                places[i] = doc_id or 0, doc_id is None, at, len(ids) // width
+                at, total, docs, last = at + len(record), total + len(ids) // width, docs + 1, doc_id
+            index.write(places.tobytes())
         if out is not None:
             out.close()
             index.close()
@@ -98,9 +96,9 @@ def write_records(docs: DataFrame, tokenizer: str, end_id: int = 2, width: int =
     """Write all texts as shards under ``folder``; returns the manifest, one row a shard, in ascending id order."""
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "token-records")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    order = F.col("id").asc_nulls_first()
-    dealt = rows.repartitionByRange(shards or shuffle_partitions(spark), order).sortWithinPartitions(order)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("t"), F.monotonically_increasing_id().alias("row"))
+    order = (F.col("id").asc_nulls_first(), "t", "row")
+    dealt = rows.repartitionByRange(shards or shuffle_partitions(spark), *order).sortWithinPartitions(*order).select("id", "text")
     return stored(dealt.transform(in_arrow, _writer(folder, tokenizer, end_id, width), "shard int, path string, n_docs long, n_tokens long, first_id long, last_id long"), "token-manifest")
 
 
@@ -112,7 +110,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             with files.open_input_stream(f"{name}.rec", buffer_size=1 << 20) as f:
                 while (record := read_record(f)) is not None:
                     doc_id, ids = record
-                    rows.append((None if doc_id == NULL_ID else doc_id, base, len(ids), zlib.crc32(ids.tobytes()), ids))
+                    rows.append((doc_id, base, len(ids), zlib.crc32(ids.tobytes())))
                     base += len(ids)
                     if len(rows) >= 500:
                         yield _rows(rows)
@@ -123,7 +121,7 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*rows, strict=True))[:4], kinds, strict=True)], names=["id", "start", "n_tokens", "ids_crc32"])
+    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_records(manifest: DataFrame) -> DataFrame:
