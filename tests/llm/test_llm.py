@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -50,6 +51,17 @@ def test_line_dedup_matches_brute_force(docs, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_of_repeated_and_null_ids(spark):
+    rows = [(5, "the shared line\nonly x has"), (5, "only here it is\nonly y has it"), (5, "the shared line\nonly x has"), (7, "the shared line\nown line of seven"), (None, "the shared line"), (7, "own line of seven\nthe shared line"), (9, None)]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, m_id int").withColumns({"m_bitmap": F.lit("b"), "__id": F.lit(3)})
+    got = {r["m_id"]: (r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup_lines(df).collect()}
+    assert got == {
+        0: (5, "the shared line\nonly x has", 2, 0), 1: (5, "only here it is\nonly y has it", 2, 0), 2: (5, "the shared line\nonly x has", 2, 0),
+        3: (7, "own line of seven", 2, 1), 4: (None, "the shared line", 1, 0), 5: (7, "own line of seven", 2, 1), 6: (9, "", 1, 0),
+    }
+    assert line_dedup.dedup_lines(df).columns == ["doc_id", "text", "m_id", "m_bitmap", "__id", "n_lines", "n_dropped"]
+
+
 def test_line_dedup_hot_line_over_many_partitions(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit(f"{LINE}\nown line number "), F.col("id"), F.lit(f"\n{LINE}")).alias("text"))
     out = line_dedup.dedup_lines(df)
@@ -221,12 +233,30 @@ def test_packing_spreads_null_and_repeated_ids(spark):
 def test_evolution_never_loses_items_and_meets_bound():
     rng = np.random.default_rng(7)
     lengths = [int(x) for x in rng.integers(1, 100, 200)]
-    got, (bins, _) = packing.evolve(lengths, 100, "seed", [])
-    fills = np.bincount(got, lengths)
-    assert len(got) == 200 and fills.max() <= 100 and -bins == len(fills)
-    assert packing.lower_bound(lengths, 100) <= -bins
-    child = packing.crossover(packing._of_assignment(lengths, 100, got), packing._of_assignment(lengths, 100, np.arange(200)), __import__("random").Random(1))
-    assert sorted(i for b in child.bins for i in b) == list(range(200))
+    got = packing.evolve(lengths, 100, "seed", [])
+    fills = np.bincount(got.assignment, lengths)
+    assert len(got.assignment) == 200 and fills.max() <= 100 and got.bins == len(fills)
+    assert packing.lower_bound(lengths, 100) <= got.bins
+    for change in (packing.crossover, lambda a, _, r: packing.mutate(a, r)):
+        child = change(packing._of_assignment(lengths, 100, got.assignment), packing._of_assignment(lengths, 100, np.arange(200)), random.Random(1))
+        assert sorted(i for b in child.bins for i in b) == list(range(200)) and max(child.fills) <= 100
+
+
+def test_evolution_gains_bins_that_the_seed_misses():
+    gained = missed = 0
+    for k in range(12):
+        rng = np.random.default_rng(100 + k)
+        lengths = [int(x) for x in np.minimum(2047, rng.gamma(2.2, 300, 1200) + 5)]
+        got = packing.evolve(lengths, 2048, "s", [])
+        gained, missed = gained + got.gained, missed + (got.bins + got.gained > packing.lower_bound(lengths, 2048))
+        assert (got.generations > 0) == (got.bins + got.gained > packing.lower_bound(lengths, 2048))
+    assert 0 < gained and missed
+
+
+def test_fullest_subset():
+    lengths = [9, 7, 5, 3, 3]
+    assert sum(lengths[i] for i in packing.fullest(lengths, range(5), 13)) == 13 and packing.fullest(lengths, [], 4) == []
+    assert sum(lengths[i] for i in packing.fullest(lengths, [0, 1], 15)) == 9
 
 
 def test_license_scan_matches_brute_force(spark, docs, none):
@@ -367,7 +397,7 @@ def test_jaccard_edges(spark, docs, none):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == [0, 1, 2, 4, 5, 7, 9, 10]
     chain = spark.createDataFrame([(i + 1, i) for i in range(60)] + [(101, 100)], "id long, least long")
     assert {(r["id"], r["least"]) for r in jaccard.groups(chain).collect()} == {(i, 0) for i in range(1, 61)} | {(101, 100)}
-    assert jaccard.runs_for() == 3
+    assert jaccard.runs_for() == 4 and jaccard.recall(4) >= 0.999 > jaccard.recall(3)
 
 
 def test_one_of_each_of_null_and_repeated_ids(spark):
