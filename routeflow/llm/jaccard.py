@@ -21,6 +21,7 @@ other and told their class, which has no id only if no row of its group has one;
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -41,12 +42,23 @@ _U = np.uint64
 _MULTIPLIERS = (np.random.default_rng(20).integers(0, 1 << 63, COORDS, np.uint64) << _U(1)) | _U(1)
 
 
+def recall(runs: int, threshold: float = THRESHOLD, children: int = CHILDREN, depth: int = DEPTH, coords: int = COORDS) -> float:
+    """Probability that a pair at the threshold meets in a leaf, if nodes split to the full depth. All runs pick from the
+    same coordinates, so it is averaged over how many of those agree; given that, runs pick their paths independently."""
+    total = 0.0
+    for agree in range(coords + 1):
+        meets = 1.0
+        for _ in range(depth):
+            meets = 1 - (1 - agree / coords * meets) ** children
+        total += math.comb(coords, agree) * threshold**agree * (1 - threshold) ** (coords - agree) * (1 - (1 - meets) ** runs)
+    return total
+
+
 def runs_for(target: float = TARGET, threshold: float = THRESHOLD, children: int = CHILDREN, depth: int = DEPTH) -> int:
-    """Runs until pairs at the threshold meet in a leaf with the target's probability, if they split to the full depth."""
-    meets = 1.0
-    for _ in range(depth):
-        meets = 1 - (1 - threshold * meets) ** children
-    return max(1, math.ceil(math.log(1 - target) / math.log(1 - meets)))
+    """The least number of runs that reaches the target recall."""
+    if recall(1000, threshold, children, depth) < target:
+        raise ValueError(f"{COORDS} coordinates can't give a recall of {target} at {threshold}")
+    return next(n for n in itertools.count(1) if recall(n, threshold, children, depth) >= target)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -163,19 +175,16 @@ def leaves(sets: DataFrame, runs: int, children: int = CHILDREN, leaf: int = LEA
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each document and place of comparison; shingles shortened to 40 bits, which keeps them apart within a leaf."""
-    names = ["key", "i", "j", "b", "id", "keys", "low", "high"]
-    for batch in batches:
-        for a in range(0, batch.num_rows, 200):
-            rows = []
-            for doc_id, text, keys, places in zip(*(c.to_pylist() for c in batch.slice(a, 200).columns), strict=True):
-                s = shingles(text)
-                low, high = (s & _U(0xFFFFFFFF)).astype("<u4").tobytes(), (s >> _U(32)).astype("u1").tobytes()
-                packed = np.sort(np.array(keys, "<i8")).tobytes()
-                rows += [(p["key"], p["i"], p["j"], p["b"], doc_id, packed, low, high) for p in places]
-            if rows:
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    """One row for each document and place of comparison, with the set's 64-bit hashes."""
+    names = ["key", "i", "j", "b", "id", "keys", "shingles"]
+    for batch in slices(batches, 200, 1 << 20):
+        rows = []
+        for doc_id, text, keys, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            own, packed = shingles(text).tobytes(), np.sort(np.array(keys, "<i8")).tobytes()
+            rows += [(p["key"], p["i"], p["j"], p["b"], doc_id, packed, own) for p in places]
+        if rows:
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
 
 def shared_counts(of: np.ndarray, values: np.ndarray, n: int, span: int = 4096) -> np.ndarray:
@@ -200,7 +209,7 @@ def _compare(rows: list[tuple], threshold: float) -> Iterator[tuple[int, int, in
     key, i, j = rows[0][:3]
     block = np.array([r[3] for r in rows])
     ids = np.array([r[4] for r in rows])
-    sets = [np.frombuffer(r[6], "<u4").astype(np.uint64) | np.frombuffer(r[7], "u1").astype(np.uint64) << _U(32) for r in rows]
+    sets = [np.frombuffer(r[6], "<u8") for r in rows]
     n, sizes = len(rows), np.array([len(s) for s in sets])
     shared = shared_counts(np.repeat(np.arange(n), sizes), np.concatenate(sets), n)
     alike = shared >= threshold * (sizes[:, None] + sizes[None] - shared) - 1e-9
@@ -248,7 +257,7 @@ def _verify(threshold: float):
     return run
 
 
-def groups(edges: DataFrame, rounds: int = 40) -> DataFrame | None:
+def groups(edges: DataFrame) -> DataFrame | None:
     """(id, least) of all ids in ``edges`` (id, least): connected components, each named by its smallest id. None without edges."""
     edges = stored(edges.where(F.col("id") != F.col("least")).select(F.greatest("id", "least").alias("id"), F.least("id", "least").alias("least")).distinct(), "edges-0")
 
@@ -258,7 +267,7 @@ def groups(edges: DataFrame, rounds: int = 40) -> DataFrame | None:
     before = state(edges)
     if not before[0]:
         return None
-    for turn in range(1, rounds):
+    for turn in itertools.count(1):  # until nothing changes
         both = edges.unionAll(edges.select(F.col("least").alias("id"), F.col("id").alias("least")))
         lows = both.groupBy("id").agg(F.min("least").alias("low")).select("id", F.least("id", "low").alias("low"))
         large = both.where(F.col("least") > F.col("id")).join(lows, "id").select(F.col("least").alias("id"), F.col("low").alias("least")).where(F.col("id") != F.col("least")).distinct()
@@ -293,7 +302,7 @@ def _named(docs: DataFrame, id_col: str, text_col: str, threshold: float, target
     without = rows.where(F.col("id").isNull()).dropDuplicates(["t"]).join(needed.where(F.col("rep").isNull()).drop("rep"), "t")
     texts = with_id.select("t", "text", "keys", "places").unionAll(without.select("t", "text", "keys", "places")).dropDuplicates(["t"]).withColumnRenamed("t", "id")
     order = ("key", "i", "j", "id")
-    dealt = texts.transform(in_arrow, _sets, "key long, i int, j int, b int, id long, keys binary, low binary, high binary").repartition(shuffle_partitions(spark), "key", "i", "j").sortWithinPartitions(*order)
+    dealt = texts.transform(in_arrow, _sets, "key long, i int, j int, b int, id long, keys binary, shingles binary").repartition(shuffle_partitions(spark), "key", "i", "j").sortWithinPartitions(*order)
     links = stored(dealt.transform(in_arrow, _verify(threshold), "id long, links long, least long"), "jaccard-links")
     counts = links.groupBy(F.col("id").alias("t")).agg(F.sum("links").alias("n_links"))
     named = groups(links.select("id", "least"))
