@@ -2,16 +2,18 @@
 
 A document's ids plus an end id form one piece, cut only where they exceed the capacity; full pieces are sequences of
 their own. The others are dealt by a hash into blocks of about ``BLOCK`` pieces. Each block is evolved on several
-islands (tasks): a packing's genes are whole bins. Crossover injects well-filled bins of one parent into the other,
-takes out the bins that hold a document twice, and best-fits the displaced documents; mutation dissolves the worst
-filled bins. Between epochs each island receives its neighbour's elite through a shuffle of compact assignments, and in
-the end a block's best packing counts. Evolution stops as soon as a packing meets the lower bound on bins.
+islands (tasks): a packing's genes are whole bins. Crossover injects a run of well-filled bins of one parent into the
+other, takes out the bins that hold a document twice, and puts the displaced documents back: as many bins as they make up
+are filled as full as can be, and the rest is best-fitted. Mutation does so with the worst filled bin, some that aren't
+full and some of many small documents. Between epochs each island receives its neighbour's elite through a shuffle of
+compact assignments, and in the end a block's best packing counts. The islands' table tells how many generations ran and
+how many bins they gained. Evolution stops as soon as a packing meets the lower bound on bins.
 
 No task ever holds more than a block, whatever the input's size. Blocks of thousands of pieces lose at most about one
 partly filled sequence each against a packing of everything at once.
 
 Defined cases: null or empty text is one piece that holds only the end id; a null document id packs like any other;
-repeated rows are packed as often as they occur; an empty table gives an empty result.
+repeated rows are packed as often as they occur; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from __future__ import annotations
 import random
 import zlib
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from routeflow.llm.coding import coder
 from routeflow.llm.storage import in_arrow, shuffle_partitions, slices, stored
 
-CAPACITY, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2048, 8192, 2, 2, 6, 4
+CAPACITY, BLOCK, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 2048, 8192, 2, 2, 40, 4
 
 
 def _cut(tokenizer: str, end_id: int, capacity: int):
@@ -110,37 +113,67 @@ def _decreasing(lengths: Sequence[int], items) -> list[int]:
     return sorted(items, key=lengths.__getitem__, reverse=True)
 
 
+def fullest(lengths: Sequence[int], items: Sequence[int], room: int) -> list[int]:
+    """A subset of the items that leaves the least of the room: sums within reach are the bits of a number."""
+    limit, sums = (1 << room + 1) - 1, [1]
+    for i in items:
+        sums.append((sums[-1] | sums[-1] << lengths[i]) & limit)
+        if sums[-1] >> room:
+            break
+    at, chosen = sums[-1].bit_length() - 1, []
+    for k in range(len(sums) - 1, 0, -1):
+        if not sums[k - 1] >> at & 1:
+            chosen.append(items[k - 1])
+            at -= lengths[items[k - 1]]
+    return chosen
+
+
+def refit(lengths: Sequence[int], capacity: int, bins: list[tuple[list[int], int]], displaced: list[int], rng: random.Random) -> Packing:
+    """The bins (with their fills) and the displaced items: bins are filled as full as these can, each around the largest
+    one left and with large ones rather than small ones; what is less than a bin is best-fitted."""
+    packing = Packing(lengths, capacity)
+    for bin_, fill in bins:
+        packing.add(list(bin_), fill)
+    left, total = _decreasing(lengths, displaced), sum(lengths[i] for i in displaced)
+    while total >= capacity:
+        noise = {i: lengths[i] * rng.uniform(0.6, 1.0) for i in left}
+        chosen = [left[0], *fullest(lengths, sorted(left[1:], key=noise.__getitem__, reverse=True), capacity - lengths[left[0]])]
+        fill = sum(lengths[i] for i in chosen)
+        packing.add(chosen, fill)
+        gone, total = set(chosen), total - fill
+        left = [i for i in left if i not in gone]
+    packing.best_fit(left)
+    return packing
+
+
 def crossover(a: Packing, b: Packing, rng: random.Random) -> Packing:
-    """Whole well-filled bins of ``a`` injected into ``b``; what they displace is best-fitted again."""
-    child = Packing(a.lengths, a.capacity)
-    taken = bytearray(len(a.lengths))
-    bar = a.capacity - rng.choice((0, 1, 2, 4, 8, 16, 32))
-    for bin_, fill in zip(a.bins, a.fills, strict=True):
-        if fill >= bar and rng.random() < 0.6:
-            child.add(list(bin_), fill)
+    """A run of well-filled bins of ``a`` injected whole into ``b``; bins of ``b`` that hold one of their documents go, and
+    what they and the worst-filled bins displace is put back."""
+    taken, bins = bytearray(len(a.lengths)), []
+    start, bar = rng.randrange(len(a.bins)), a.capacity - rng.choice((0, 1, 2, 4, 8))
+    for bin_, fill in list(zip(a.bins, a.fills, strict=True))[start : start + 1 + len(a.bins) // 16]:
+        if fill >= bar:
+            bins.append((bin_, fill))
             for i in bin_:
                 taken[i] = 1
+    worst = sorted(b.fills)[min(len(b.fills), 4) - 1]
     displaced = []
     for bin_, fill in zip(b.bins, b.fills, strict=True):
-        if any([taken[i] for i in bin_]) or fill < bar and rng.random() < 0.3:
+        if fill <= worst or any([taken[i] for i in bin_]):
             displaced += [i for i in bin_ if not taken[i]]
         else:
-            child.add(list(bin_), fill)
-    child.best_fit(_decreasing(child.lengths, displaced))
-    return child
+            bins.append((bin_, fill))
+    return refit(a.lengths, a.capacity, bins, displaced, rng)
 
 
 def mutate(a: Packing, rng: random.Random) -> Packing:
-    """The worst-filled bins and a few others dissolved and best-fitted again, the largest documents first."""
-    bad = set(sorted(range(len(a.bins)), key=a.fills.__getitem__)[: rng.randint(2, 12)]) | {rng.randrange(len(a.bins)) for _ in range(rng.randint(2, 24))}
-    child, displaced = Packing(a.lengths, a.capacity), []
-    for k, (bin_, fill) in enumerate(zip(a.bins, a.fills, strict=True)):
-        if k in bad:
-            displaced += bin_
-        else:
-            child.add(list(bin_), fill)
-    child.best_fit(_decreasing(a.lengths, displaced))
-    return child
+    """The worst-filled bin, some others that aren't full and some of many small documents dissolved, and their documents put back."""
+    order = sorted(range(len(a.bins)), key=a.fills.__getitem__)
+    open_ = [k for k in order if a.fills[k] < a.capacity]
+    many = sorted(order, key=lambda k: len(a.bins[k]), reverse=True)[: 1 + len(order) // 8]
+    bad = {order[0], *rng.sample(open_, min(len(open_), rng.randint(4, 24))), *rng.sample(many, min(len(many), rng.randint(2, 12)))}
+    displaced = [i for k in bad for i in a.bins[k]]
+    return refit(a.lengths, a.capacity, [(a.bins[k], a.fills[k]) for k in range(len(a.bins)) if k not in bad], displaced, rng)
 
 
 def _of_assignment(lengths: list[int], capacity: int, assignment: np.ndarray) -> Packing:
@@ -153,32 +186,41 @@ def _of_assignment(lengths: list[int], capacity: int, assignment: np.ndarray) ->
     return packing
 
 
-def evolve(lengths: list[int], capacity: int, seed: str, start: list[np.ndarray], generations: int = GENERATIONS, population: int = POPULATION) -> tuple[np.ndarray, tuple[int, int]]:
-    """The best assignment of positions to bins that this island finds, and its fitness."""
+class Evolved(NamedTuple):
+    assignment: np.ndarray  # bin of each position
+    bins: int
+    fills: int  # sum of squared fills
+    gained: int  # bins fewer than what the island began with
+    generations: int  # how many ran
+
+
+def evolve(lengths: list[int], capacity: int, seed: str, start: list[np.ndarray], generations: int = GENERATIONS, population: int = POPULATION) -> Evolved:
+    """The best packing that this island finds; it stops at the lower bound."""
     rng, bound = random.Random(seed), lower_bound(lengths, capacity)
-    every = _decreasing(lengths, range(len(lengths)))
     crowd = [_of_assignment(lengths, capacity, x) for x in start]
     if not crowd:
         crowd.append(Packing(lengths, capacity))
-        crowd[0].best_fit(every)
-    while len(crowd) < population and -crowd[0].fitness()[0] > bound:
-        noise = [lengths[i] * rng.uniform(0.85, 1.0) for i in range(len(lengths))]
+        crowd[0].best_fit(_decreasing(lengths, range(len(lengths))))
+    crowd.sort(key=Packing.fitness, reverse=True)
+    before, ran = len(crowd[0].bins), 0
+    while len(crowd) < population and len(crowd[0].bins) > bound:
+        noise = [n * rng.uniform(0.85, 1.0) for n in lengths]
         crowd.append(Packing(lengths, capacity))
         crowd[-1].best_fit(sorted(range(len(lengths)), key=noise.__getitem__, reverse=True))
-    crowd.sort(key=Packing.fitness, reverse=True)
-    for _ in range(generations):
-        if len(crowd[0].bins) <= bound:
-            break
+    while ran < generations and len(crowd[0].bins) > bound:
         a, b = rng.sample(range(len(crowd)), 2) if len(crowd) > 1 else (0, 0)
-        crowd += [crossover(crowd[a], crowd[b], rng), crossover(crowd[b], crowd[a], rng), mutate(crowd[0], rng)]
+        crowd += [crossover(crowd[a], crowd[b], rng), mutate(crowd[0], rng)]
         crowd = sorted(crowd, key=Packing.fitness, reverse=True)[:population]
+        ran += 1
     assignment = np.empty(len(lengths), "<i4")
     for b, bin_ in enumerate(crowd[0].bins):
         assignment[bin_] = b
-    return assignment, crowd[0].fitness()
+    bins, fills = crowd[0].fitness()
+    return Evolved(assignment, -bins, fills, before + bins, ran)
 
 
 _COLUMNS = (("doc_id", "<i8"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i4"), ("ids_crc32", "<i8"))
+_EVOLVED = pa.schema([("block", pa.int64()), ("island", pa.int32()), ("bins", pa.int64()), ("fills", pa.int64()), ("gained", pa.int64()), ("generations", pa.int64()), ("own", pa.binary())])
 _BLOCK = pa.schema([("block", pa.int64()), *((name, pa.binary()) for name, _ in _COLUMNS), ("nulls", pa.binary())])
 
 
@@ -214,8 +256,9 @@ def _island(capacity: int, epoch: int, generations: int, population: int):
             for row in batch.to_pylist():
                 lengths = np.frombuffer(row["lengths"], "<i4").tolist()
                 start = [np.frombuffer(row[k], "<i4") for k in ("own", "migrant") if row.get(k)]
-                got, (bins, fills) = evolve(lengths, capacity, f"{row['block']}/{row['island']}/{epoch}", start, generations, population)
-                yield pa.RecordBatch.from_pylist([{"block": row["block"], "island": row["island"], "bins": -bins, "fills": fills, "own": got.tobytes()}], schema=pa.schema([("block", pa.int64()), ("island", pa.int32()), ("bins", pa.int64()), ("fills", pa.int64()), ("own", pa.binary())]))
+                got = evolve(lengths, capacity, f"{row['block']}/{row['island']}/{epoch}", start, generations, population)
+                out = {"block": row["block"], "island": row["island"], "bins": got.bins, "fills": got.fills, "gained": got.gained, "generations": got.generations, "own": got.assignment.tobytes()}
+                yield pa.RecordBatch.from_pylist([out], schema=_EVOLVED)
 
     return run
 
@@ -249,7 +292,7 @@ def place(parts: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, island
         if best is not None:
             elite = best.select("block", ((F.col("island") + 1) % islands).alias("island"), F.col("own").alias("migrant"))
             rows = work.join(best.select("block", "island", "own"), ["block", "island"]).join(elite, ["block", "island"])
-        evolved = rows.repartition(min(n * islands, spread), "block", "island").transform(in_arrow, _island(capacity, epoch, generations, population), "block long, island int, bins long, fills long, own binary")
+        evolved = rows.repartition(min(n * islands, spread), "block", "island").transform(in_arrow, _island(capacity, epoch, generations, population), "block long, island int, bins long, fills long, gained long, generations long, own binary")
         best = stored(evolved, f"pack-epoch-{epoch}")
     winner = best.groupBy("block").agg(F.max_by("own", F.struct(-F.col("bins"), "fills", "island")).alias("own"))
     placed = blocks.join(winner, "block").transform(in_arrow, _placed, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
