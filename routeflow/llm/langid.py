@@ -3,12 +3,14 @@
 Texts are lowered and everything but letters becomes one space; n-grams of one to three characters are hashed into
 ``BUCKETS`` counts. Document frequencies of the buckets come from all training rows. Weights are sublinear counts times
 IDF, of length 1. Each language gets up to ``CLUSTERS`` centroids by spherical k-means over a bounded sample of its
-training rows (``SAMPLE`` rows a language in expectation, chosen by a hash of the id). A text goes to the centroid of
-largest cosine. Distance-based rejection marks texts whose cosine to every centroid is below that of nearly all training
-texts of the winning centroid, by a margin.
+training rows (``SAMPLE`` rows a language in expectation, chosen by a hash of the id); clusters of less than 1 % of these
+are dropped. A text goes to the centroid of largest cosine. Distance-based rejection marks texts whose cosine to every
+centroid is below that of nearly all training texts of the winning centroid, by a margin that shrinks smoothly with the
+number of letters. N-grams of one bucket share its count and weight.
 
 Defined cases: texts that are null or hold no letter get ``und``, score 0, rejected; without any training row so do all;
-null languages are never learned; repeated rows count as often as they occur; an empty table gives an empty result.
+null languages are never learned; repeated rows count as often as they occur; carried columns with a prediction's name
+are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,15 +28,16 @@ from routeflow.llm.storage import in_arrow, slices
 BUCKETS, CLUSTERS, SAMPLE = 4096, 4, 600
 #: Rejection: a text is foreign if its cosine is under this share of the least cosine that all but 1 % of the centroid's training texts have.
 MARGIN = 0.4
-#: Texts with fewer letters than this say too little to be rejected by distance.
-LEAST_LETTERS = 60
+#: A text of so many letters is rejected below half of that floor; shorter ones, which say less, below less, longer ones below more.
+HALF = 30
 
 _letters: list[np.ndarray] = []
 
 
-def _is_letter() -> np.ndarray:
+def is_letter() -> np.ndarray:
+    """For every code point whether it is a letter."""
     if not _letters:
-        _letters.append(np.fromiter((chr(c).isalpha() for c in range(0x30000)), bool, 0x30000))
+        _letters.append(np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000))
     return _letters[0]
 
 
@@ -43,7 +46,7 @@ def gram_counts(text: str | None) -> tuple[np.ndarray | None, int]:
     if not text:
         return None, 0
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _is_letter()[np.minimum(points, 0x2FFFF)]
+    letter = is_letter()[points]
     n = int(letter.sum())
     if not n:
         return None, 0
@@ -156,7 +159,7 @@ def _predict(model, text_at: int, carried: int):
                 best = int(np.argmax(cosines))
                 langs.append(m.langs[best])
                 scores.append(float(min(1.0, max(0.0, cosines[best]))))
-                rejected.append(bool(letters >= LEAST_LETTERS and cosines[best] < m.floors[best]))
+                rejected.append(bool(cosines[best] < m.floors[best] * letters / (letters + HALF)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:carried], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[str(i) for i in range(carried + 3)])
 
     return run
@@ -164,6 +167,7 @@ def _predict(model, text_at: int, carried: int):
 
 def predict(docs: DataFrame, model: Model | None, carry: list[str], text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """The columns in ``carry``, then language, score (cosine) and rejection under ``names``, for every row."""
+    carry = [c for c in carry if c not in names]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: buckets times clusters times languages
     rows = docs.select(*carry, *([] if text_col in carry else [text_col]))
     schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema.fields[: len(carry)])) + ", p string, s double, r boolean"
@@ -172,7 +176,9 @@ def predict(docs: DataFrame, model: Model | None, carry: list[str], text_col: st
 
 def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that the model rejects."""
-    return predict(docs, model, docs.columns, text_col, ("__lang", "__score", "__rejected")).where(~F.col("__rejected")).select(*docs.columns)
+    own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names of our own can't clash
+    found = predict(own, model, own.columns, f"c{docs.columns.index(text_col)}", ("lang_pred", "score", "rejected"))
+    return found.where(~F.col("rejected")).select(*own.columns).toDF(*docs.columns)
 
 
 def crc_fold(column: Column, folds: int) -> Column:
