@@ -1,7 +1,8 @@
 """Toxicity: class-conditional Kneser-Ney models of words' letters.
 
-Words are runs of letters, lowered, between boundaries; the model predicts each letter and each word's end from up to
-``ORDER - 1`` letters before it in the word. The toxic and the ordinary class have counts of their own at the full order;
+Words are runs of letters, lowered, between boundaries. A Latin-1 letter is one symbol, any other letter two to four of
+their own, so that no letters share theirs; the model predicts each symbol and each word's end from up to ``ORDER - 1``
+symbols before it in the word. The toxic and the ordinary class have counts of their own at the full order;
 below it both back off to one shared Kneser-Ney distribution (how many different contexts a letter follows, pooled over
 the classes), so that an expression that a class has hardly seen is judged by what all texts show.
 
@@ -9,14 +10,15 @@ The resulting log-likelihood ratios, one for each n-gram and context, stay whole
 gathers about ``CHUNK`` symbols of texts, reads through the tables once for the distinct n-grams among them, and scores
 those texts: no n-gram is dropped or taken for another, and what a task holds has a fixed size besides its longest text.
 
-A text's toxic and ordinary log-likelihoods are compared normalised by length: over the whole text, over its words, and
-over windows of ``WINDOW`` words. A logistic function makes of these the score. It is fitted on a bounded sample of training
+A text's toxic and ordinary log-likelihoods are compared normalised by length, that is a symbol: over the whole text, its
+best window of ``WINDOW`` words, its best word, and by how much its words exceed each of ``BARS``. A logistic function makes
+of these the score. It is fitted on a bounded sample of training
 rows (``CALIBRATION`` in expectation, at most one in ``HELD_BACK``) with ratios from the counts of all others; the ratios
 that texts are scored with then come from the counts of every training row, those of the sample too.
 
 Defined cases: null texts and texts without letters score like the empty text; null labels and null ids teach nothing;
-if the training rows don't hold both classes, every score is 0; repeated rows are scored alike; an empty table gives an
-empty result.
+if the training rows don't hold both classes, every score is 0; repeated rows are scored alike; a carried column named
+``score`` is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,35 +33,48 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from routeflow.llm.langid import is_letter
 from routeflow.llm.storage import fresh_path, in_arrow, open_fs, slices, stored
 
 ORDER, DISCOUNT, WINDOW, CALIBRATION = 7, 0.75, 8, 20_000
 #: Symbols of the texts that a task scores together, and of those whose n-grams are sorted together.
 CHUNK, PART = 1 << 24, 1 << 20
-#: How far a word's log-likelihood ratio must exceed its peers' to add to a feature.
-BARS = (1.0, 2.0, 4.0, 6.0)
+#: How far a word's log-likelihood ratio a symbol must exceed its peers' to add to a feature.
+BARS = (0.125, 0.25, 0.5, 0.75)
+FEATURES = 3 + len(BARS)
 #: Every how manyth training row calibrates at most, left out of the counts until then.
 HELD_BACK = 5
 
-_table: list[np.ndarray] = []
+def _symbols() -> np.ndarray:
+    """UTF-8 bytes of letters beyond Latin-1 -> symbols that no Latin-1 letter has."""
+    free = [c for c in range(2, 256) if not chr(c).isalpha() or chr(c).isupper()]
+    table = np.zeros(256, np.uint8)
+    table[0x80:0xC0], table[0xC4:0xF5] = free[:64], free[64 : 64 + 0xF5 - 0xC4]
+    return table
 
 
-def _symbols() -> np.ndarray:
-    """Code point -> symbol: 1 for all that is no letter, 2 to 255 for letters (beyond Latin-1 folded)."""
-    if not _table:
-        points = np.arange(0x30000)
-        letter = np.fromiter((chr(c).isalpha() for c in range(0x30000)), bool, 0x30000)
-        _table.append(np.where(letter, np.where(points < 256, np.maximum(points, 2), 2 + points * 2654435761 % 254), 1).astype(np.uint64))
-    return _table[0]
+_SYMBOLS = _symbols()
+
+
+def symbols(text: str) -> np.ndarray:
+    """The text's symbols: 1 for what is no letter."""
+    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    points = np.where(is_letter()[points], points, 1).astype("<u4")
+    if not len(points) or points.max() < 256:
+        return points.astype(np.uint8)
+    data = np.frombuffer(points.tobytes().decode("utf-32-le").encode(), np.uint8)
+    latin = np.flatnonzero((data == 0xC2) | (data == 0xC3))
+    out = np.where(data < 0x80, data, _SYMBOLS[data])
+    out[latin] = (data[latin] & 3) << 6 | data[latin + 1] & 0x3F
+    return np.delete(out, latin + 1)
 
 
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Packed n-grams (one byte a symbol, the predicted one lowest), one for each letter and word end, and words' starts among them."""
+    """Packed n-grams (one byte a symbol, the predicted one lowest), one for each symbol and word end, and words' starts among them."""
     empty = np.empty(0, np.uint64), np.empty(0, np.int64)
     if not text:
         return empty
-    points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = np.concatenate([[1], _symbols()[np.minimum(points, 0x2FFFF)], [1]]).astype(np.uint64)
+    c = np.concatenate([[1], symbols(text), [1]]).astype(np.uint64)
     c = c[np.r_[True, (c[1:] != 1) | (c[:-1] != 1)]]
     if len(c) < 2:
         return empty
@@ -103,16 +118,15 @@ class Model(NamedTuple):
 
 
 def features(ratio: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Toxic less ordinary log-likelihood, normalised by length: of the whole text, the best window, the best word; what stands out of words by each of ``BARS``."""
+    """Toxic less ordinary log-likelihood a symbol: of the whole text, the best window, the best word; what words exceed the bars by."""
     if not len(ratio):
-        return np.zeros(3 + len(BARS))
-    words = np.add.reduceat(ratio, starts)
-    sizes = np.diff(np.append(starts, len(ratio)))
+        return np.zeros(FEATURES)
+    words, sizes = np.add.reduceat(ratio, starts), np.diff(np.append(starts, len(ratio)))
     sums, lengths = np.cumsum(np.append(0, words)), np.cumsum(np.append(0, sizes))
     w = min(WINDOW, len(words))
     window = ((sums[w:] - sums[:-w]) / (lengths[w:] - lengths[:-w])).max()
-    strong = [np.log1p(np.maximum(words - bar, 0).sum()) for bar in BARS]
-    return np.array([sums[-1] / lengths[-1], window, (words / (sizes + 1)).max(), *strong])
+    each = words / (sizes + 1)  # one symbol more, lest the shortest words stand out
+    return np.array([sums[-1] / lengths[-1], window, each.max(), *(np.log1p(np.maximum(each - bar, 0).sum()) for bar in BARS)])
 
 
 class _Part(NamedTuple):
@@ -263,9 +277,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = train.where(held).select("text", "toxic").transform(in_arrow, _sampled(seen, contexts), "toxic int, f array<double>").collect()
     both = counts.unionByName(gram_counts(train.where(held))).groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     seen, contexts = (kept(x, "toxicity-ratios") for x in log_ratios(stored(both, "toxicity-grams")))
-    x, y = np.array([r["f"] for r in rows]).reshape(-1, 3 + len(BARS)), np.array([r["toxic"] for r in rows], float)
+    x, y = np.array([r["f"] for r in rows]).reshape(-1, FEATURES), np.array([r["toxic"] for r in rows], float)
     if not 0 < y.sum() < len(y):  # too few rows to calibrate: a word twice as likely a letter when toxic is the border
-        return Model(seen, contexts, np.zeros(3 + len(BARS)), np.ones(3 + len(BARS)), np.array([0, 0, 4.0, *[0] * len(BARS), -4 * np.log(2)]))
+        return Model(seen, contexts, np.zeros(FEATURES), np.ones(FEATURES), np.array([0, 0, 4.0, *[0] * len(BARS), -4 * np.log(2)]))
     mean, scale = x.mean(0), x.std(0) + 1e-6
     return Model(seen, contexts, mean, scale, _logistic((x - mean) / scale, y))
 
@@ -286,6 +300,7 @@ def _scored(m: Model | None):
 
 def score(docs: DataFrame, model: Model | None, carry: list[str], text_col: str = "text") -> DataFrame:
     """The columns in ``carry`` and ``score`` for every row."""
+    carry = [c for c in carry if c != "score"]
     rows = docs.select(F.col(text_col).alias("__text"), *carry)
     schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(rows.schema.fields[1:])) + ", s double"
     return rows.transform(in_arrow, _scored(model), schema).toDF(*carry, "score")

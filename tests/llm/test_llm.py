@@ -125,6 +125,10 @@ def test_language_id_held_out_and_rejection(spark, none):
     assert [got[i]["lang_pred"] for i in (1000, 1001, 1002)] == ["und", "und", "en"]
     odd = spark.createDataFrame([(1, "жщъ " * 60, None)], "doc_id long, text string, lang string")
     assert langid.predict(odd, model, ["doc_id"]).first()["rejected"]
+    clash = langid.predict(docs.withColumns({"score": F.lit("x"), "c1": F.lit(1)}), model, ["doc_id", "score", "c1"])
+    assert clash.columns == ["doc_id", "c1", "lang_pred", "score", "rejected"]
+    kept = langid.accepted(docs.withColumns({"rejected": F.lit(True), "c0": F.lit(1)}), model)
+    assert kept.columns == [*docs.columns, "rejected", "c0"] and kept.count() == docs.count() - 2
     assert langid.fit(none) is None and langid.predict(docs, None, ["doc_id"]).where("lang_pred <> 'und'").count() == 0
     assert langid.predict(none, model, ["doc_id"]).count() == 0
 
@@ -150,6 +154,8 @@ def test_toxicity_held_out(spark, none):
     assert toxicity.fit(docs, marks.where("toxic = 0")) is None
     assert toxicity.score(docs, None, ["doc_id"]).agg(F.max("score")).first()[0] == 0
     assert toxicity.score(none, model, ["doc_id"]).count() == 0
+    clash = toxicity.score(docs.limit(3).withColumns({"score": F.lit("x"), "c0": F.lit(1)}), model, ["doc_id", "score", "c0"])
+    assert clash.columns == ["doc_id", "c0", "score"] and clash.count() == 3
 
 
 def test_toxicity_keeps_every_ngram(spark):
@@ -167,6 +173,52 @@ def test_toxicity_learns_from_every_row(spark):
     assert model.grams.of(np.unique(np.concatenate([toxicity.grams(t)[0] for _, t in own])))[1].all()
 
 
+def test_symbols_tell_all_letters_apart():
+    letters = "".join(chr(c) for c in range(0x110000) if chr(c).isalpha() and chr(c).lower() == chr(c))
+    own = [toxicity.symbols(x).tobytes() for x in letters]
+    assert len(set(own)) == len(letters) and all(1 not in x for x in own)
+    assert toxicity.symbols("Éa жß 1") .tobytes() == b"".join(toxicity.symbols(x).tobytes() for x in "éa жß 1")
+
+
+def _kneser_ney(texts):
+    """Ratios of seen n-grams by the definition, from lists of symbols."""
+    order, d = toxicity.ORDER, toxicity.DISCOUNT
+    counts = Counter()
+    for toxic, text in texts:
+        for word in toxicity.symbols(f" {text} ").tobytes().split(b"\1"):
+            run = b"\1" + word + b"\1"
+            for i in range(1, len(run)) if word else ():
+                counts[run[max(0, i - order + 1) : i + 1].rjust(order, b"\0"), toxic] += 1
+    grams = {g for g, _ in counts}
+
+    def backoff(g, k):  # from the pooled kinds of the order above
+        if k == 0:
+            return 1 / 256
+        above = grams if k == order - 1 else {x[-k - 1 :] for x in grams}
+        left = Counter(x[-k:] for x in above)
+        same = [x for x in left if x[:-1] == g[-k:-1]]
+        total = sum(left[x] for x in same)
+        return (left[g[-k:]] - d) / total + d * len(same) / total * backoff(g, k - 1)
+
+    out = {}
+    for g in grams:
+        p = []
+        for toxic in (0, 1):
+            own = {x: n for (x, t), n in counts.items() if t == toxic and x[:-1] == g[:-1]}
+            total, low = sum(own.values()), backoff(g, order - 1)
+            p.append(max(own.get(g, 0) - d, 0) / total + d * len(own) / total * low if total else low)
+        out[int.from_bytes(g, "big")] = np.log(p[1]) - np.log(p[0])
+    return out
+
+
+def test_ratios_equal_kneser_ney_by_hand(spark):
+    texts = [(0, "banana bandana, cabana été жара"), (1, "banal anal band ana ana"), (0, "a an and"), (1, "жар étés bananas"), (0, "")]
+    counts = toxicity.gram_counts(spark.createDataFrame(texts, "toxic int, text string"))
+    got = {r["gram"]: r["ratio"] for r in toxicity.log_ratios(counts)[0].collect()}
+    want = _kneser_ney(texts)
+    assert got.keys() == want.keys() and max(abs(got[g] - want[g]) for g in want) < 1e-9
+
+
 def test_shared_backoff_sums_to_at_most_one(spark):
     counts = spark.createDataFrame([(int(g), 1, 0) for g in np.unique(toxicity.grams("banana bandana cabana")[0])], "gram long, n0 long, n1 long")
     rows = toxicity.shared_backoff(counts).groupBy(F.shiftright("gram", 8).alias("c")).agg(F.sum("p").alias("p")).collect()
