@@ -16,12 +16,13 @@ MESSAGE = T.StructType([T.StructField("message_id", T.StringType(), False), T.St
 EVENT = T.StructType([*MESSAGE.fields, T.StructField("offset", T.LongType()), T.StructField("stored_at_ms", T.LongType()), T.StructField("topic", T.StringType())])
 OUTCOME = T.StructType([*MESSAGE.fields, T.StructField("status", T.StringType()), T.StructField("error", T.StringType()), T.StructField("attempts", T.IntegerType())])
 
-#: Reserved metadata keys and the marker of payloads that came without an envelope.
-KIND, FORMAT, RAW, CORRELATION, REPLY_TO, CARRIED_ID = "kind", "mq_bridge.original_format", "raw", "correlation_id", "reply_to", "mq_bridge.message_id"
+#: What keys begin with that go over the wire, reserved metadata keys, and the marker of payloads without an envelope.
+WIRE = "mq_bridge"
+KIND, FORMAT, RAW, CORRELATION, REPLY_TO, CARRIED_ID = "kind", f"{WIRE}.original_format", "raw", "correlation_id", "reply_to", f"{WIRE}.message_id"
 #: Outcomes of handling a message.
 ACK, RESPONSE, RETRYABLE, NONRETRYABLE = "ack", "response", "retryable", "nonretryable"
 
-_UUID = "^[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}$"
+UUID = "^[0-9a-fA-F]{8}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{4}-?[0-9a-fA-F]{12}$"
 
 
 def hex_id(number: Column) -> Column:
@@ -33,7 +34,7 @@ def id_from_text(text: Column) -> Column:
     """UUID, then hex with an optional 0x; null if neither reads it. Digits alone are hex too, and decimal never gets its turn up to 32 digits."""
     bare = F.regexp_replace(text, "^(0x)+", "")
     return (
-        F.when(text.rlike(_UUID), F.lower(F.regexp_replace(text, "-", "")))
+        F.when(text.rlike(UUID), F.lower(F.regexp_replace(text, "-", "")))
         .when(bare.rlike("^[0-9a-fA-F]{1,32}$"), F.lpad(F.lower(bare), 32, "0"))
     )
 
@@ -71,10 +72,10 @@ def payload_text(payload: Column) -> Column:
     return F.decode(payload, "UTF-8")
 
 
-def to_envelope(messages: DataFrame) -> DataFrame:
-    """One line a message: its JSON envelope, or the bare payload where it came without one."""
+def to_envelope(messages: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """One line a message, as ``value``: its JSON envelope, or the bare payload where it came without one; and columns to keep."""
     whole = F.to_json(F.struct("message_id", payload_text(F.col("payload")).alias("payload"), "metadata"))
-    return messages.select(F.when(F.element_at("metadata", FORMAT) == RAW, payload_text(F.col("payload"))).otherwise(whole).alias("value"))
+    return messages.select(F.when(F.try_element_at("metadata", F.lit(FORMAT)) == RAW, payload_text(F.col("payload"))).otherwise(whole).alias("value"), *(keep or ()))
 
 
 def from_lines(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -91,7 +92,17 @@ def from_lines(lines: DataFrame, value: str = "value") -> DataFrame:
 
 def as_json_element(text: Column) -> Column:
     """A payload as an element of a JSON array: compact JSON, or a JSON string if it isn't JSON."""
-    return F.coalesce(F.to_json(F.try_parse_json(text)), F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(text, r"([\\\"])", r"\\$1"), "\n", r"\\n"), F.lit('"')))
+    # the parser takes a first value and ignores what follows; what closes one of the two wrappings early breaks the other
+    whole, other = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    one = other.isNotNull() & (F.size(F.try_variant_get(whole, "$", "array<variant>")) == 1)
+    array = F.to_json(whole)
+    return F.coalesce(F.when(one, F.substring(array, F.lit(2), F.length(array) - 2)), as_json_string(text))
+
+
+def as_json_string(text: Column) -> Column:
+    """Text as a JSON string, with every character escaped that must be: Spark writes it as a field, whose name is cut off."""
+    whole = F.to_json(F.struct(text.alias("v")))
+    return F.when(text.isNotNull(), F.substring(whole, F.lit(6), F.length(whole) - 6))
 
 
 def merged_array(elements: Column) -> Column:

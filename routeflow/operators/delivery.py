@@ -69,20 +69,58 @@ def claim(df: DataFrame, locked_until: str, now: Column, order: str, limit: int)
     return df.where(F.col(locked_until).isNull() | (F.col(locked_until) < now)).orderBy(order).limit(limit)
 
 
+#: Fixed value: milliseconds for which a claim holds.
+LEASE_MS = 60_000
+
+
+def leased(queue: DataFrame, claimed: DataFrame, key: str, locked_until: str, now: Column, lease: int = LEASE_MS) -> DataFrame:
+    """The queue after a claim: claimed messages are locked until the lease ends."""
+    taken = claimed.select(key, F.lit(True).alias("__taken"))
+    rows = queue.join(taken, key, "left")
+    return rows.withColumn(locked_until, F.when(F.col("__taken"), now + lease).otherwise(F.col(locked_until))).select(*queue.columns)
+
+
+def settled(queue: DataFrame, outcomes: DataFrame, key: str, locked_until: str, status: str = "status") -> DataFrame:
+    """The queue after outcomes (key, status) of claimed messages: handled ones are gone, failed ones free again at once."""
+    rows = queue.join(outcomes.select(key, F.col(status).alias("__status")), key, "left")
+    bad = F.col("__status").isin(RETRYABLE, NONRETRYABLE)
+    return rows.where(F.col("__status").isNull() | bad).withColumn(locked_until, F.when(bad, None).otherwise(F.col(locked_until))).select(*queue.columns)
+
+
+def commit_order(batches: DataFrame, ready: str, seq: str = "seq") -> DataFrame:
+    """Adds ``committed``: commits run in the order of ``seq``, so that a batch waits for all before it, however early it is ready."""
+    parts = numbered(batches, [], [seq], "__pos").withColumn("__part", F.floor(F.col("__pos") / 100_000))
+    here = Window.partitionBy("__part").orderBy("__pos").rowsBetween(Window.unboundedPreceding, 0)
+    tops = parts.groupBy("__part").agg(F.max(ready).alias("__top"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # one row for 100,000 batches
+    tops = tops.select("__part", F.max("__top").over(before).alias("__before"))
+    rows = parts.join(tops, "__part")
+    return rows.select(*batches.columns, F.greatest(F.max(ready).over(here), "__before").alias("committed"))
+
+
 def insert_new(incoming: DataFrame, existing: DataFrame, key: str) -> DataFrame:
     """Rows whose key isn't there yet, once; a duplicate key is a success that writes nothing."""
     return incoming.join(existing.select(key), key, "left_anti").dropDuplicates([key])
 
 
 def requeue(batch: DataFrame, nack: Column, queue: DataFrame, order: str) -> DataFrame:
-    """Rejected messages go to the tail as one batch."""
-    return queue.withColumn("turn", F.lit(0)).unionByName(batch.where(nack).withColumn("turn", F.lit(1)))
+    """Rejected messages go to the tail as one batch: read by (``turn``, ``place``), they come after the queue, in their order."""
+    return queue.withColumns({"turn": F.lit(0), "place": F.col(order)}).unionByName(batch.where(nack).withColumns({"turn": F.lit(1), "place": F.col(order)}))
 
 
 def replies(requests: DataFrame, answers: DataFrame, key: str, asked: str, answered: str, timeout: int) -> DataFrame:
-    """Each request with its first answer of the same correlation within ``timeout``; ``timed_out`` where none came."""
-    q, a = requests.withColumnsRenamed({key: "q_key", asked: "q_at"}), answers.withColumnsRenamed({key: "a_key", answered: "a_at"})
-    return q.join(a, (F.col("q_key") == F.col("a_key")) & (F.col("a_at") >= F.col("q_at")) & (F.col("a_at") <= F.col("q_at") + timeout), "left").withColumn("timed_out", F.col("a_at").isNull())
+    """Each request with its first answer of the same correlation within ``timeout``: the request's columns, the answer's
+    but for the key (null where none came), and ``timed_out``. One ordered pass instead of a range join."""
+    theirs = [c for c in answers.columns if c != key]
+    kind = answers.select(F.struct(*theirs).alias("a")).schema["a"].dataType
+    own = requests.schema.fields
+    asks = requests.select(F.col(key).alias("__key"), F.col(asked).alias("__at"), F.lit(1).alias("__side"), F.struct(*[F.col(f.name) for f in own]).alias("q"), F.lit(None).cast(kind).alias("a"))
+    gives = answers.select(F.col(key).alias("__key"), F.col(answered).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(asks.schema["q"].dataType).alias("q"), F.struct(*theirs).alias("a"))
+    # from the last to the first: an answer at a request's very time counts, so it comes before; equal answers tie by their hash
+    ahead = Window.partitionBy("__key").orderBy(F.desc("__at"), "__side", F.xxhash64("a")).rowsBetween(Window.unboundedPreceding, 0)
+    found = asks.unionAll(gives).withColumn("n", F.last("a", ignorenulls=True).over(ahead)).where(F.col("__side") == 1)
+    fine = F.coalesce(F.col("__key").isNotNull() & (F.col(f"n.{answered}") <= F.col("__at") + timeout), F.lit(False))
+    return found.select("q.*", *[F.when(fine, F.col(f"n.{c}")).alias(c) for c in theirs], (~fine).alias("timed_out"))
 
 
 def counters(df: DataFrame, route: str, ok: Column) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Places and running sums along an order within each key, without bringing a key into one task.
+"""Places, running sums and previous values along an order within each key, without bringing a key into one task.
 
 Rows are range-partitioned by (key, order) and sorted, so that a key with a third of all rows spreads over a third of the
 partitions. Within a partition Spark's own row ids count on without gaps; how much a key has in earlier partitions comes
@@ -44,3 +44,17 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: s
     here = Window.partitionBy(*by, "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
     rows = _with_earlier(_placed(df, by, order), by, F.sum(amount))
     return rows.select(*[c for c in df.columns if c != name], (F.sum(amount).over(here) + F.col("__earlier")).alias(name))
+
+
+def with_previous(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Adds ``name``: ``value`` of the row before in the key's order; null for a key's first row."""
+    placed = _placed(df, by, order)
+    here = Window.partitionBy(*by, "__part").orderBy("__at")
+    edges = placed.groupBy(*by, "__part").agg(F.max_by(value, "__at").alias("__end"))
+    before = Window.partitionBy(*by).orderBy("__part")
+    edges = edges.select(*[F.col(b).alias(f"__by{i}") for i, b in enumerate(by)], F.col("__part").alias("__in"), F.lag("__end").over(before).alias("__end"))
+    same = F.col("__part") == F.col("__in")
+    for i, b in enumerate(by):
+        same &= F.col(b).eqNullSafe(F.col(f"__by{i}"))
+    rows = placed.join(edges, same).withColumn("__lag", F.lag(value).over(here)).withColumn("__place", F.row_number().over(here))
+    return rows.select(*[c for c in df.columns if c != name], F.when(F.col("__place") == 1, F.col("__end")).otherwise(F.col("__lag")).alias(name))

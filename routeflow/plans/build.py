@@ -1,19 +1,24 @@
-"""A route as one lazy DataFrame: input middleware in order, the handler, the output's middleware, then its routing.
+"""A route as one lazy DataFrame: input middleware in order, then the output's tree of endpoints, each with its own middleware
+and handler.
 
-The result has ``sink`` (where a row goes) and ``status``; a writer partitions by ``sink`` in one pass.
+The result has ``sink`` (where a row goes), ``status`` and ``attempts``; a writer partitions by ``sink`` in one pass. Trees
+whose children have neither middleware nor handler are one projection; only children that have some get a branch.
 """
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Mapping
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from routeflow.functions import messages as M
 from routeflow.operators import routing, stateful
-from routeflow.plans.config import CUSTOM_MIDDLEWARE, Endpoint, Route, validate
+from routeflow.plans.config import CUSTOM_MIDDLEWARE, Endpoint, Route, children, validate
+
+Metrics = dict[str, Observation]
 
 
 def name_of(e: Endpoint) -> str:
@@ -37,6 +42,15 @@ def sinks(e: Endpoint, metadata: Column) -> Column:
     return F.array(F.lit(name_of(e)))
 
 
+def plain(e: Endpoint) -> bool:
+    """Whether no endpoint below has middleware or a handler."""
+    return all(not c.middlewares and c.handler is None and plain(c) for c in children(e))
+
+
+def failed(status: str = "status") -> Column:
+    return F.col(status).isin(M.RETRYABLE, M.NONRETRYABLE)
+
+
 def apply(df: DataFrame, name: str, o: Mapping[str, Any], us: str) -> DataFrame:
     """Middleware that means the same on inputs and outputs; any other leaves ``df`` as it is."""
     if name == "delay":
@@ -51,7 +65,17 @@ def apply(df: DataFrame, name: str, o: Mapping[str, Any], us: str) -> DataFrame:
     return CUSTOM_MIDDLEWARE[name](df, o) if name in CUSTOM_MIDDLEWARE else df
 
 
-def consume(df: DataFrame, e: Endpoint, us: str = "arr_us") -> DataFrame:
+def measured(df: DataFrame, e: Endpoint, side: str, metrics: Metrics | None) -> DataFrame:
+    """Counts processed and failed messages of an endpoint with the metrics middleware, once an action runs."""
+    if metrics is None or not any(name == "metrics" for name, _ in e.middlewares):
+        return df
+    name = next(n for k in range(1 << 30) if (n := f"{side} {name_of(e)}" + f" {k}" * (k > 0)) not in metrics)
+    metrics[name] = Observation(name)
+    bad = failed() if "status" in df.columns else F.lit(False)
+    return df.observe(metrics[name], F.count_if(~bad).alias("processed"), F.count_if(bad).alias("failed"))
+
+
+def consume(df: DataFrame, e: Endpoint, us: str = "arr_us", metrics: Metrics | None = None) -> DataFrame:
     """The input's middleware; the first entry is the outermost, so the last one sees messages first."""
     for name, o in reversed(e.middlewares):
         if name == "deduplication":
@@ -65,28 +89,71 @@ def consume(df: DataFrame, e: Endpoint, us: str = "arr_us") -> DataFrame:
             df = joined.select(F.md5(F.concat_ws("|", "key", "first", "grp")).alias("message_id"), F.encode("payload", "UTF-8").alias("payload"), F.map_concat(F.map_filter("metadata", lambda k, _, g=o["group_by"]: k != g), F.create_map(F.lit(o["group_by"]), F.col("key"))).alias("metadata"), us)
         else:
             df = apply(df, name, o, us)
-    return df
+    return measured(df, e, "input", metrics)
+
+
+def _handled(df: DataFrame, e: Endpoint) -> DataFrame:
+    """Adds ``status`` and ``attempts``. Retry stands around the handler: what it finds retryable goes to it again as it was,
+    up to ``max_attempts`` times in all. A handler of two arguments gets the attempt's number."""
+    if e.handler is None:
+        return df.withColumns({"status": F.lit(M.ACK), "attempts": F.lit(1)})
+    retry = next((o for name, o in e.middlewares if name == "retry"), None)
+    attempts = max(1, int(retry.get("max_attempts", 5))) if retry is not None else 1
+    numbered = len(inspect.signature(e.handler).parameters) > 1
+    pending, out = df.withColumns({"__payload": F.col("payload"), "__metadata": F.col("metadata")}), None
+    for n in range(1, attempts + 1):
+        rows = e.handler(pending, n) if numbered else e.handler(pending)
+        status = F.coalesce("status", F.lit(M.ACK)) if "status" in rows.columns else F.lit(M.ACK)
+        rows = rows.withColumns({"status": status, "attempts": F.lit(n)})
+        again = F.col("status") == M.RETRYABLE
+        part = (rows if n == attempts else rows.where(~again)).select(*df.columns, "status", "attempts")
+        out = part if out is None else out.unionByName(part)
+        pending = rows.where(again).withColumns({"payload": F.col("__payload"), "metadata": F.col("__metadata")}).select(*pending.columns)
+    return out
+
+
+def _branches(df: DataFrame, e: Endpoint) -> list[tuple[Endpoint, DataFrame]]:
+    if e.kind == "fanout":
+        return [(child, df) for child in e.options["targets"]]
+    key, cases = F.try_element_at("metadata", F.lit(e.options["metadata_key"])), e.options["cases"]
+    out = [(child, df.where(key == value)) for value, child in cases.items()]
+    if e.options["default"]:
+        out.append((e.options["default"], df.where(F.coalesce(~key.isin(*cases), F.lit(True)))))
+    return out
 
 
-def plan(df: DataFrame, r: Route, us: str = "arr_us") -> DataFrame:
+def send(df: DataFrame, e: Endpoint, us: str = "arr_us", metrics: Metrics | None = None) -> DataFrame:
+    """Messages through an endpoint: its middleware, the last entry outermost, then its handler, then its children. Rows
+    without a sink have failed; the dead letters' endpoint, where there is one, is their sink."""
+    for name, o in reversed(e.middlewares):
+        df = apply(df, name, o, us)
+    columns, rows = df.columns, _handled(df, e)
+    none = F.lit(None).cast("string")
+    if plain(e):
+        rows = rows.withColumn("sink", F.explode(F.when(failed(), F.array(none)).otherwise(sinks(e, F.col("metadata")))))
+    else:
+        out = rows.where(failed()).withColumn("sink", none)
+        for child, part in _branches(rows.where(~failed()).select(*columns), e):
+            out = out.unionByName(send(part, child, us, metrics))
+        rows = out
+    dead = next((o["endpoint"] for name, o in e.middlewares if name == "dlq"), None)
+    if dead is not None:
+        lost = failed() & F.col("sink").isNull()
+        rows = rows.withColumn("sink", F.explode(F.when(lost, sinks(dead, F.col("metadata"))).otherwise(F.array("sink"))))
+    return measured(rows, e, "output", metrics)
+
+
+def plan(df: DataFrame, r: Route, us: str = "arr_us", metrics: Metrics | None = None) -> DataFrame:
     """Messages (with an arrival column) through a route: one row for each message and sink, or dead letter.
 
-    A handler takes the DataFrame and adds ``status`` (and may change the payload); rows it leaves without one are fine.
+    A handler takes the DataFrame, keeps its columns and adds ``status`` (and may change payload and metadata); rows it
+    leaves without one are fine. Without dead letters, what can't be retried is dropped, and what can be fails the batch.
+    ``metrics`` gets an observation for each endpoint with that middleware.
     """
     validate(r)
-    df = consume(df, r.input, us)
-    if r.output.handler is not None:
-        df = r.output.handler(df)
-    for name, o in r.output.middlewares:  # the outermost sees messages first
-        df = apply(df, name, o, us)
-    if "status" not in df.columns:
-        df = df.withColumn("status", F.lit(M.ACK))
-    dead = next((o["endpoint"] for n, o in r.output.middlewares if n == "dlq"), None)
-    bad = F.col("status").isin(M.RETRYABLE, M.NONRETRYABLE)
-    to = F.when(~bad, sinks(r.output, F.col("metadata")))
-    # without dead letters, what can't be retried is dropped, and what can be fails the batch
-    to = to.when(F.lit(dead is not None), F.array(F.lit(name_of(dead) if dead else ""))).when(F.col("status") == M.NONRETRYABLE, F.array().cast("array<string>")).otherwise(F.raise_error(F.lit("retryable messages are left")).cast("array<string>"))
-    return df.withColumn("sink", F.explode(to))
+    rows = send(consume(df, r.input, us, metrics), r.output, us, metrics)
+    left = F.when(F.col("sink").isNotNull(), True).when(F.col("status") == M.NONRETRYABLE, False)
+    return rows.where(left.otherwise(F.raise_error(F.lit("retryable messages are left")).cast("boolean")))
 
 
 def write(planned: DataFrame, folder: str) -> None:

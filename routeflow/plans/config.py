@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
 from typing import Any
 
 from routeflow.operators.routing import CORE, DEPTH, check_policy
+from routeflow.plans.handlers import TypeHandlers
 
 #: Endpoint types and middleware that need no registration, and other spellings.
 ENDPOINTS = {*CORE, "kafka", "nats", "amqp", "mqtt", "mongodb", "aws", "http", "ibmmq", "zeromq", "parquet"}
@@ -49,6 +50,18 @@ class Route:
     def with_handler(self, handler: Callable) -> Route:
         return replace(self, output=self.output.with_handler(handler))
 
+    def add_handler(self, kind: str, schema: str, handler: Callable) -> Route:
+        """A handler of one kind of message more; a raw handler that is there gets what no kind matches."""
+        known = self.output.handler
+        typed = known if isinstance(known, TypeHandlers) else TypeHandlers(fallback=known)
+        return self.with_handler(typed.add(kind, schema, handler))
+
+    def add_handlers(self, handlers: Mapping[str, tuple[str, Callable]]) -> Route:
+        out = self
+        for kind, (schema, handler) in handlers.items():
+            out = out.add_handler(kind, schema, handler)
+        return out
+
 
 def endpoint(raw: Any, depth: int = 0) -> Endpoint:
     """``null`` and ``{}`` drop everything; one key names the type; an unknown single key is a custom type; several are an error."""
@@ -123,12 +136,43 @@ def load(text: str, environ: Mapping[str, str] | None = None, prefix: str = "MQB
     return {name: route(r) for name, r in raw.items()}
 
 
+def children(e: Endpoint) -> list[Endpoint]:
+    found = [*e.options.get("cases", {}).values(), e.options.get("default"), *e.options.get("targets", [])] if e.kind in ("switch", "fanout") else []
+    return [c for c in found if isinstance(c, Endpoint)]
+
+
+def tree(e: Endpoint) -> list[Endpoint]:
+    return [e, *(x for c in children(e) for x in tree(c))]
+
+
 def kinds(e: Endpoint) -> set[str]:
-    found = {e.kind}
-    for child in [*e.options.get("cases", {}).values(), e.options.get("default"), *e.options.get("targets", [])]:
-        if isinstance(child, Endpoint):
-            found |= kinds(child)
-    return found
+    return {x.kind for x in tree(e)}
+
+
+def schema() -> dict[str, Any]:
+    """The configuration's JSON schema, for editors and checks."""
+    one = lambda *names: {"type": "object", "properties": {n: {} for n in names}}
+    whole = lambda least: {"type": "integer", "minimum": least}
+    options = {
+        "deduplication": {"required": ["ttl_seconds"], "properties": {"ttl_seconds": whole(0)}},
+        "weak_join": {"required": ["group_by", "expected_count", "timeout_ms"], "properties": {"group_by": {"type": "string"}, "expected_count": whole(1), "timeout_ms": whole(0)}},
+        "retry": {"properties": {"max_attempts": whole(1), "initial_interval_ms": whole(0), "max_interval_ms": whole(0), "multiplier": {"type": "number"}}},
+        "dlq": {"required": ["endpoint"], "properties": {"endpoint": {"$ref": "#/$defs/endpoint"}}},
+        "metrics": {}, "delay": {"required": ["delay_ms"], "properties": {"delay_ms": whole(0)}},
+        "random_panic": {"required": ["probability"], "properties": {"probability": {"type": "number", "minimum": 0, "maximum": 1}}},
+    }
+    middleware = {"anyOf": [{"type": "string"}, {"type": "object", "minProperties": 1, "maxProperties": 1, "properties": {k: {"type": ["object", "null"], **v} for k, v in options.items()}}]}
+    middlewares = {"anyOf": [{"type": "array", "items": middleware}, {"type": "object", "patternProperties": {"^[0-9]+$": middleware}, "additionalProperties": False}]}
+    nested = {"$ref": "#/$defs/endpoint"}
+    switch = {"type": "object", "required": ["metadata_key", "cases"], "properties": {"metadata_key": {"type": "string"}, "cases": {"type": "object", "additionalProperties": nested}, "default": nested}, "additionalProperties": False}
+    known = one(*sorted(ENDPOINTS))["properties"] | {"switch": switch, "fanout": {"type": "array", "items": nested}, "middlewares": middlewares}
+    return {
+        "$schema": "https://json-schema.org/draft/2020-12/schema", "type": "object", "additionalProperties": {"$ref": "#/$defs/route"},
+        "$defs": {
+            "endpoint": {"type": ["object", "null"], "maxProperties": 2, "properties": known},
+            "route": {"type": "object", "required": ["input"], "additionalProperties": False, "properties": {"input": nested, "output": nested} | {f.name: whole(1) for f in fields(Route) if f.type == "int"}},
+        },
+    }
 
 
 def validate(r: Route, allowed: set[str] | None = None) -> list[str]:
@@ -137,6 +181,7 @@ def validate(r: Route, allowed: set[str] | None = None) -> list[str]:
         check_policy(kinds(r.input) | kinds(r.output), allowed)
     if r.input.kind in ("switch", "fanout", "response"):
         raise ValueError(f"{r.input.kind} can't be an input")
-    if any(n == "weak_join" for n, _ in r.output.middlewares):
+    outer = [n for e in tree(r.output) for n, _ in e.middlewares]
+    if "weak_join" in outer:
         raise ValueError("weak_join can't stand on an output")
-    return [f"{n} on an input is ignored" for n, _ in r.input.middlewares if n in SINK_ONLY] + [f"{n} on an output is ignored" for n, _ in r.output.middlewares if n == "deduplication"]
+    return [f"{n} on an input is ignored" for n, _ in r.input.middlewares if n in SINK_ONLY] + [f"{n} on an output is ignored" for n in outer if n == "deduplication"]

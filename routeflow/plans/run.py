@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routeflow.functions.shared import folder, table
 from routeflow.operators.sending import dead_letters, send_with_retry
 from routeflow.plans import build
-from routeflow.plans.config import SINKS, SOURCES, Endpoint, Route
+from routeflow.plans.config import SINKS, SOURCES, Endpoint, Route, children, tree
 from routeflow.sources import readers, topics, writers
 
 
@@ -35,15 +37,20 @@ def read(spark: SparkSession, e: Endpoint, route: str, root: str | None = None)
     return df if "arr_us" in df.columns else df.withColumn("arr_us", F.unix_micros(F.current_timestamp()))
 
 
-def leaves(e: Endpoint) -> dict[str, Endpoint]:
-    """All sinks that rows of an output can reach, by name."""
-    if e.kind == "switch":
-        children = [*e.options["cases"].values(), *([e.options["default"]] if e.options["default"] else [])]
-    elif e.kind == "fanout":
-        children = e.options["targets"]
-    else:
-        return {build.name_of(e): e}
-    return {k: v for child in children for k, v in leaves(child).items()}
+class Leaf(NamedTuple):
+    endpoint: Endpoint
+    retry: dict | None  # of the endpoint itself or the nearest one above
+    dead: Endpoint | None
+
+
+def leaves(e: Endpoint, retry: dict | None = None, dead: Endpoint | None = None) -> dict[str, Leaf]:
+    """All sinks that rows of an output can reach, by name, dead letters among them."""
+    retry = next((dict(o) for n, o in e.middlewares if n == "retry"), retry)
+    dead = next((o["endpoint"] for n, o in e.middlewares if n == "dlq"), dead)
+    out = {} if dead is None else {build.name_of(x): Leaf(x, None, None) for x in tree(dead) if not children(x)}
+    if e.kind in ("switch", "fanout"):
+        return out | {k: v for child in children(e) for k, v in leaves(child, retry, dead).items()}
+    return out | {build.name_of(e): Leaf(e, retry, dead)}
 
 
 def write(rows: DataFrame, e: Endpoint, route: str, root: str | None = None, retry: dict | None = None) -> DataFrame | None:
@@ -71,18 +78,34 @@ def write(rows: DataFrame, e: Endpoint, route: str, root: str | None = None, ret
     return None
 
 
-def run(spark: SparkSession, name: str, r: Route, root: str | None = None) -> dict[str, DataFrame]:
+def run(spark: SparkSession, name: str, r: Route, root: str | None = None, metrics: build.Metrics | None = None) -> dict[str, DataFrame]:
     """Runs a route once over what its source holds. The planned rows are written once and each sink takes its own from
-    there, so that a handler runs once. Returns the answers of sinks that give any, by sink."""
-    planned = table(build.plan(read(spark, r.input, name, root), r).select("sink", "message_id", "payload", "metadata", "status"), f"route-{name}")
-    retry = next((dict(o) for n, o in r.output.middlewares if n == "retry"), None)
-    dead = next((o["endpoint"] for n, o in r.output.middlewares if n == "dlq"), None)
+    there, so that a handler runs once. Returns the answers of sinks that give any, by sink. ``metrics`` gets the
+    observations of endpoints with that middleware. A memory queue that was read is emptied in the end."""
+    source, done = read(spark, r.input, name, root), None
+    if r.input.kind == "memory" and not r.input.options.get("subscribe_mode"):
+        source, done = topics.drained(spark, root or folder(spark), r.input.options.get("topic", name))
+        source = source.withColumn("arr_us", F.unix_micros(F.current_timestamp()))
+    planned = table(build.plan(source, r, metrics=metrics).select("sink", "message_id", "payload", "metadata", "status"), f"route-{name}")
     answers = {}
-    for sink, e in (leaves(r.output) | ({build.name_of(dead): dead} if dead else {})).items():
+    for sink, leaf in leaves(r.output).items():
         rows = planned.where(F.col("sink") == sink).drop("sink")
-        found = write(rows.drop("status"), e, name, root, retry)
+        if r.concurrency > 1 and leaf.endpoint.kind == "http":
+            rows = rows.coalesce(r.concurrency)  # so many senders at most
+        found = write(rows.drop("status"), leaf.endpoint, name, root, leaf.retry)
         if found is not None:
             answers[sink] = found
-            if dead and e.kind == "http":
-                write(dead_letters(rows, found).drop("status", "error"), dead, name, root)
+            if leaf.dead is not None and leaf.endpoint.kind == "http":
+                write(dead_letters(rows, found).drop("status", "error"), leaf.dead, name, root)
+    if done is not None:
+        done()
     return answers
+
+
+def output_of(spark: SparkSession, r: Route, name: str, root: str | None = None) -> dict[str, DataFrame]:
+    """What a route's sinks hold, by sink, of those that can be read: a probe for tests."""
+    out = {}
+    for sink, (e, _, _) in leaves(r.output).items():
+        if e.kind in ("memory", "file", "parquet"):
+            out[sink] = read(spark, e, name, root)
+    return out

@@ -6,11 +6,12 @@ its user, the arrival its time in microseconds. Faults are put in by rules on th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routeflow.functions import messages as M
 from routeflow.operators import delivery, event_log, routing, stateful
+from routeflow.sources import readers
 
 DAY_US, HOUR_US = 86_400_000_000, 3_600_000_000
 CASES = {"purchase": "orders", "error": "alerts"}
@@ -329,10 +330,9 @@ SELECT u.conv_id, u.turn, u.text AS request, a.text AS reply, a.text IS NULL AS
 def request_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     key = F.concat_ws("/", F.col("conv_id"), F.col("turn") - F.when(F.col("role") == "assistant", 1).otherwise(0))
-    asked = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("request"), key.alias("q_key"))
-    answered = c.where(F.col("role") == "assistant").select(F.col("text").alias("reply"), key.alias("a_key"))
-    out = asked.join(answered, F.col("q_key") == F.col("a_key"), "left")
-    return out.select("conv_id", "turn", "request", "reply", F.col("reply").isNull().alias("timed_out"))
+    asked = c.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("request"), key.alias("key"))
+    answered = c.where(F.col("role") == "assistant").select(F.col("text").alias("reply"), key.alias("key"), F.col("turn").alias("at"))
+    return delivery.replies(asked, answered, "key", "turn", "at", 1).select("conv_id", "turn", "request", "reply", "timed_out")
 
 
 @register("""
@@ -340,12 +340,10 @@ WITH s AS (SELECT grp, event_id, arr_us FROM m WHERE kind = 'signup'), p AS (SEL
 SELECT s.event_id, coalesce(min(p.arr_us), -1)::BIGINT AS reply_us, min(p.arr_us) IS NULL AS timed_out FROM s LEFT JOIN p ON p.grp = s.grp AND p.arr_us >= s.arr_us AND p.arr_us <= s.arr_us + 3600000000 GROUP BY 1
 """)
 def request_reply_timeout(m, spark, sf_dir):
-    # the next purchase of each user, by one ordered pass over signups and purchases instead of a range join
-    rows = m.where(F.col("kind").isin("signup", "purchase")).select("grp", "kind", "event_id", "arr_us")
-    ahead = Window.partitionBy("grp").orderBy(F.desc("arr_us"), F.col("kind").asc()).rowsBetween(Window.unboundedPreceding, 0)
-    seen = rows.withColumn("next", F.last(F.when(F.col("kind") == "purchase", F.col("arr_us")), ignorenulls=True).over(ahead)).where(F.col("kind") == "signup")
-    reply = F.when(F.col("next") <= F.col("arr_us") + HOUR_US, F.col("next"))
-    return seen.select("event_id", F.coalesce(reply, F.lit(-1)).cast("long").alias("reply_us"), reply.isNull().alias("timed_out"))
+    asked = m.where(F.col("kind") == "signup").select("grp", "event_id", "arr_us")
+    answered = m.where(F.col("kind") == "purchase").select("grp", F.col("arr_us").alias("reply_us"))
+    out = delivery.replies(asked, answered, "grp", "arr_us", "reply_us", HOUR_US)
+    return out.select("event_id", F.coalesce("reply_us", F.lit(-1)).cast("long").alias("reply_us"), "timed_out")
 
 
 @register("SELECT event_id, (event_id % 6)::BIGINT AS failures, CASE event_id % 6 WHEN 0 THEN '' WHEN 1 THEN '100' WHEN 2 THEN '100,200' WHEN 3 THEN '100,200,400' ELSE '100,200,400,800' END AS sleeps FROM m")
@@ -371,7 +369,7 @@ def batch_partial_abort(m, spark, sf_dir):
 
 @register(SQL_BATCH.format(n=128) + " SELECT grp, batch, count(*)::BIGINT AS size FROM c GROUP BY 1, 2")
 def batching_sizes(m, spark, sf_dir):
-    return m.groupBy("grp").count().select("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / 128))).alias("batch"), "count").select("grp", "batch", F.least(F.lit(128).cast("long"), F.col("count") - 128 * F.col("batch")).alias("size"))
+    return _batches(m.select("grp", "arr_us", "event_id"), 128).groupBy("grp", "batch").agg(F.count("*").alias("size"))
 
 
 @register(f"SELECT {SQL_ROUTE} AS route, (count(*) FILTER (WHERE event_id % 17 <> 0))::BIGINT AS processed, (count(*) FILTER (WHERE event_id % 17 = 0))::BIGINT AS failed FROM m GROUP BY 1")
@@ -396,9 +394,10 @@ def sqs_chunks(m, spark, sf_dir):
 
 @register("SELECT event_id, message_id, payload AS body FROM m")
 def frame_roundtrip(m, spark, sf_dir):
-    frames = _batches(m.select("event_id", "message_id", "payload", "grp", "arr_us"), 10).groupBy("grp", "batch").agg(F.to_json(F.collect_list(F.struct("event_id", "message_id", "payload"))).alias("frame"))
-    rows = frames.select(F.explode(F.from_json("frame", "array<struct<event_id:bigint,message_id:string,payload:string>>")).alias("r"))
-    return rows.select("r.event_id", "r.message_id", F.col("r.payload").alias("body"))
+    rows = _batches(m.select("event_id", "message_id", "payload", "grp", "arr_us"), 10)
+    frames = rows.groupBy("grp", "batch").agg(F.to_json(F.collect_list(F.to_json(F.struct("event_id", "message_id", "payload")))).alias("value"))
+    body = F.from_json("value", "event_id bigint, message_id string, payload string")
+    return readers.decode_frame(frames).select(body["event_id"].alias("event_id"), body["message_id"].alias("message_id"), body["payload"].alias("body"))
 
 
 @register("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'a,' || event_id ELSE 'a,b,' || event_id END AS header, 'client-' || event_id || '-x' AS client, 'topic-' || kind AS durable FROM m")
@@ -420,8 +419,12 @@ def orders_cqrs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
+    from routeflow import broker_queries  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql():
+    from routeflow import broker_queries  # noqa: F401
+
     return dict(ORACLES)

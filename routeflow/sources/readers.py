@@ -108,7 +108,7 @@ def decode_frame(frames: DataFrame, value: str = "value") -> DataFrame:
     """Broker frames that hold a JSON array of envelopes, one envelope, or raw text, as lines."""
     many = F.from_json(value, "array<string>")
     array = F.col(value).startswith("[") & many.isNotNull()
-    return frames.select(F.explode(F.when(array, many).otherwise(F.array(value))).alias("value"))
+    return frames.select(F.explode(F.when(array, many).otherwise(F.array(value))).alias("value"), *[c for c in frames.columns if c != value])
 
 
 def envelope(message: tuple[str, bytes, dict]) -> str:

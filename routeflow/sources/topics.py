@@ -5,11 +5,13 @@ A topic is one or the other. A publisher that names no mode follows the topic: i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routeflow.functions.messages import MESSAGE
-from routeflow.functions.shared import exists
+from routeflow.functions.shared import exists, remove, table
 from routeflow.operators.numbering import numbered
 
 _COLUMNS = [f.name for f in MESSAGE.fields]
@@ -43,7 +45,26 @@ def queued(spark: SparkSession, root: str, topic: str) -> DataFrame:
     """What the queue holds; a topic that nobody has published to is empty."""
     _agreed(spark, root, topic, "queue")
     path = f"{root}/{topic}/queue"
-    return spark.read.parquet(path).select(*_COLUMNS) if exists(spark, path) else spark.createDataFrame([], MESSAGE)
+    return spark.read.schema(MESSAGE).parquet(path) if exists(spark, path) else spark.createDataFrame([], MESSAGE)
+
+
+def drained(spark: SparkSession, root: str, topic: str) -> tuple[DataFrame, Callable[..., None]]:
+    """What the queue holds now, and a function that takes just that out of it. Its argument, messages that were rejected,
+    go to the queue's tail as one batch. What is published meanwhile stays."""
+    rows = queued(spark, root, topic)
+    files = rows.inputFiles() if mode_of(spark, root, topic) else []
+    if not files:
+        return rows, lambda rejected=None: None
+    held = spark.read.schema(rows.schema).parquet(*files)
+
+    def done(rejected: DataFrame | None = None) -> None:
+        back = None if rejected is None else table(rejected.select(*_COLUMNS), f"rejected-{topic}")
+        for file in files:
+            remove(spark, file)
+        if back is not None:
+            publish(back, root, topic, "queue")
+
+    return held, done
 
 
 def read_log(spark: SparkSession, root: str, topic: str, cursor: int = 0, limit: int | None = None) -> DataFrame:

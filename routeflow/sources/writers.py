@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from routeflow.functions import messages as M
+from routeflow.operators.numbering import numbered
 
 
 def to_lines(messages: DataFrame, path: str) -> None:
@@ -33,7 +34,15 @@ def kafka_options(options: dict) -> dict[str, str]:
 
 def static_reply(messages: DataFrame, text: str) -> DataFrame:
     """Every payload replaced by the text as a JSON string."""
-    return messages.withColumn("payload", F.encode(F.concat(F.lit('"'), F.regexp_replace(F.lit(text), r'(["\\])', r"\\$1"), F.lit('"')), "UTF-8"))
+    return messages.withColumn("payload", F.encode(M.as_json_string(F.lit(text)), "UTF-8"))
+
+
+def to_frames(messages: DataFrame, size: int, order: list[str]) -> DataFrame:
+    """Frames of up to ``size`` messages: a JSON array of envelopes as one line; see ``readers.decode_frame``."""
+    batched = numbered(messages.select(*M.MESSAGE.names, *[c for c in order if c not in M.MESSAGE.names]), [], order, "__pos")
+    whole = M.to_envelope(batched, keep=["__pos"]).withColumn("frame", F.floor((F.col("__pos") - 1) / size).cast("long"))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("__pos", M.as_json_element(F.col("value")).alias("e")))), lambda x: x["e"])
+    return whole.groupBy("frame").agg(M.merged_array(parts).alias("value"))
 
 
 def post(messages: DataFrame, url: str, timeout_s: float = 30.0) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Deduplication and the weak join on streams, with event-time state; batch and stream mean the same."""
+"""Deduplication and the weak join on streams; batch and stream mean the same.
+
+State is per key and ends by event time: once the watermark has passed, a key's memory or open group goes, also if nothing
+more arrives for it. Messages later than the watermark are dropped, so that no expired state is missed.
+"""
 
 from __future__ import annotations
 
@@ -6,44 +10,63 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from routeflow.operators.stateful import Marks
+
+
+def _timed(df: DataFrame, us: str, late: str) -> DataFrame:
+    return df.withColumn("__ts", F.timestamp_micros(us)).withWatermark("__ts", late)
+
 
-def dedup_ttl(df: DataFrame, key: str, us: str, tie: str, ttl_s: int) -> DataFrame:
-    """State: the second at which the key's last message was accepted."""
+def dedup_ttl(df: DataFrame, key: str, us: str, tie: str, ttl_s: int, late: str = "0 seconds") -> DataFrame:
+    """State: the second at which the key's last message was accepted, until the TTL is over."""
     columns = df.columns
 
     def step(_, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(parts).sort_values([us, tie])
-        keep = []
-        for t in rows[us]:
-            now = int(t) // 1_000_000
-            keep.append(last is None or max(0, now - last) >= ttl_s)
-            last = now if keep[-1] else last
-        state.update((last,))
+        marks = Marks(ttl_s)
+        if state.exists:
+            marks.session, marks.last = 0, state.get[0]
+        seconds = rows[us].to_numpy() // 1_000_000
+        keep = marks.of(seconds * 0, seconds) if ttl_s > 0 else seconds == seconds
+        state.update((marks.last,))
+        state.setTimeoutTimestamp(max((marks.last + ttl_s) * 1000, state.getCurrentWatermarkMs() + 1))
         yield rows[keep][columns]
 
-    return df.groupBy(key).applyInPandasWithState(step, df.schema, "last long", "append", GroupStateTimeout.NoTimeout)
+    return _timed(df, us, late).groupBy(key).applyInPandasWithState(step, df.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def weak_join(df: DataFrame, key: str, us: str, tie: str, payload: str, count: int, timeout_us: int) -> DataFrame:
-    """State: the open group's payloads and its first time. Emits (key, size, payload array) when a group is full or, at a later arrival, overdue."""
+def weak_join(df: DataFrame, key: str, us: str, tie: str, payload: str, count: int, timeout_us: int, late: str = "0 seconds") -> DataFrame:
+    """State: the open group's payloads and its first time. Emits (key, size, payload array) when a group is full, or
+    overdue at a later arrival or as the watermark passes."""
 
     def step(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, start = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
         out = []
-        for t, p in pd.concat(parts).sort_values([us, tie])[[us, payload]].itertuples(index=False):
-            if held and t >= start + timeout_us:
-                out.append((k[0], len(held), held))
-                held = []
-            start = start if held else int(t)
-            held = [*held, p]
-            if len(held) >= count:
-                out.append((k[0], len(held), held))
-                held = []
-        state.update((held, start))
+        if state.hasTimedOut:
+            out.append((k[0], len(held), held))
+            held = []
+        else:
+            for t, p in pd.concat(parts).sort_values([us, tie])[[us, payload]].itertuples(index=False):
+                if held and t >= start + timeout_us:
+                    out.append((k[0], len(held), held))
+                    held = []
+                start = start if held else int(t)
+                held = [*held, p]
+                if len(held) >= count:
+                    out.append((k[0], len(held), held))
+                    held = []
+        if held:
+            state.update((held, start))
+            state.setTimeoutTimestamp(max((start + timeout_us) // 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=[key, "size", "payloads"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, size int, payloads array<string>", "held array<string>, start long", "append", GroupStateTimeout.NoTimeout)
+    return _timed(df, us, late).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, size int, payloads array<string>", "held array<string>, start long", "append", GroupStateTimeout.EventTimeTimeout)
