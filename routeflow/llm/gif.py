@@ -10,8 +10,9 @@ many frames as the rows need.
 Between clear codes the width of the k-th code is known beforehand, so that codes are packed and unpacked as whole
 arrays. The decoder keeps no string table: an entry's text stands in the output, and array operations follow the links.
 
-Defined cases: null media gives no frames; media that is no GIF, or cut short, gives a row with ``error`` and no frame;
-repeated rows are decoded as often as they occur; an empty table gives an empty result.
+Defined cases: null media gives no frames; media that is no GIF, is damaged or cut short, or claims a canvas or frame of
+more than ``PIXELS`` pixels gives the frames before the fault and a row with ``error`` and no frame; repeated rows are decoded
+as often as they occur; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from routeflow.llm.storage import in_arrow, slices
 
-WIDTH, ROWS, DELAY, BINS = 64, 2048, 4, 4
+WIDTH, ROWS, DELAY, BINS, PIXELS = 64, 2048, 4, 4, 1 << 26
 _SINGLE = [bytes([i]) for i in range(256)]
 
 
@@ -186,10 +187,12 @@ def _palette(data: bytes, at: int, n: int) -> np.ndarray:
     return rgb[:, 0] | rgb[:, 1] << 8 | rgb[:, 2] << 16 | np.uint32(0xFF000000)
 
 
-def decode(data: bytes) -> Iterator[Frame]:
+def decode(data: bytes, pixels: int = PIXELS) -> Iterator[Frame]:
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF")
     width, height, flags, back, _ = struct.unpack_from("<HHBBB", data, 6)
+    if width * height > pixels:
+        raise ValueError("canvas too large")
     at, shared = 13, None
     if flags & 0x80:
         n = 2 << (flags & 7)
@@ -212,6 +215,8 @@ def decode(data: bytes) -> Iterator[Frame]:
         if kind != 0x2C:
             raise ValueError("unknown block")
         left, top, w, h, packed = struct.unpack_from("<HHHHB", data, at + 1)
+        if w * h > pixels:
+            raise ValueError("frame too large")
         at, palette = at + 10, shared
         if packed & 0x80:
             n = 2 << (packed & 7)
@@ -271,7 +276,7 @@ def _frames(bins: int):
                         h, w = f.samples.shape
                         rows.append(dict(zip(names, (k, f.left, f.top, w, h, 10 * f.delay, f.disposal, f.transparent), strict=True)) | {"samples": f.samples.tobytes(), "histogram": histogram(f.canvas, bins).tolist(), "canvas_sha256": hashlib.sha256(f.canvas.tobytes()).hexdigest(), "error": None})
                 except (ValueError, IndexError, struct.error) as e:
-                    rows = [dict.fromkeys([*names, "samples", "histogram", "canvas_sha256"]) | {"error": str(e) or type(e).__name__}]
+                    rows.append(dict.fromkeys([*names, "samples", "histogram", "canvas_sha256"]) | {"error": str(e) or type(e).__name__})
                 if rows:
                     kinds = [*[pa.int32()] * 8, pa.binary(), pa.list_(pa.int64()), pa.string(), pa.string()]
                     arrays = [pa.array([r[n] for r in rows], t) for n, t in zip([*names, "samples", "histogram", "canvas_sha256", "error"], kinds, strict=True)]

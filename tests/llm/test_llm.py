@@ -104,8 +104,11 @@ def test_gif_disposal_transparency_interlace_and_errors(spark):
     assert canvases == [[[red, red], [red, red]], [[green, 0], [0, 0]], [[0, 0], [0, red]]]
     rows = list(gif.decode(_tiny_gif([(0, -1, (0, 0, 1, 5), [0, 1, 2, 3, 1], 1)], (1, 5))))[0].samples.ravel().tolist()
     assert rows == [0, 3, 2, 1, 1]
-    df = spark.createDataFrame([(1, media), (2, None), (3, b"no gif"), (4, media[:40])], "doc_id long, media binary")
-    got = _rows(gif.gif_frames(df), "doc_id", "frame")
+    huge = media[:6] + b"\xff\xff\xff\xff" + media[10:]
+    df = spark.createDataFrame([(1, media), (2, None), (3, b"no gif"), (4, media[:40]), (5, media[:-1]), (6, huge)], "doc_id long, media binary")
+    found = _rows(gif.gif_frames(df), "doc_id", "frame")
+    assert [r["error"] is None for r in found if r["doc_id"] == 5].count(True) == 3 and [r["error"] for r in found if r["doc_id"] == 6] == ["canvas too large"]
+    got = [r for r in found if r["doc_id"] < 5]
     assert [(r["doc_id"], r["frame"], r["delay_ms"], r["error"] is None) for r in got] == [(1, 0, 70, True), (1, 1, 70, True), (1, 2, 70, True), (3, None, None, False), (4, None, None, False)]
     assert sum(got[0]["histogram"]) == 4 and sum(got[1]["histogram"]) == 1
 
