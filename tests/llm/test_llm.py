@@ -401,6 +401,34 @@ def test_top_k_is_exact(spark):
     assert topk.top_k(df.where("vec_id < 0"), F.col("vec_id") == 0).count() == 0
 
 
+def test_top_k_of_rows_that_share_ids(spark):
+    rng = np.random.default_rng(19)
+    rows = [(int(rng.integers(0, 40)), [int(x) for x in rng.integers(-9, 9, 4)]) for _ in range(400)]  # ten rows an id, many ties
+    df = spark.createDataFrame([(i, [x / 1024 for x in v]) for i, v in rows], "vec_id long, embedding array<double>").withColumns({c: F.lit("x") for c in ("score", "rank", "block", "v", "asks")})
+    got = defaultdict(list)
+    for r in topk.top_k(df, F.col("vec_id") % 4 == 0, k=7).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 40, 4):
+        best = {i: max(int(np.dot(a, b)) for j, a in rows if j == q for n, b in rows if n == i) for i in {i for i, _ in rows} - {q}}
+        assert got[q] == [(n + 1, i, -s) for n, (s, i) in enumerate(sorted((-s, i) for i, s in best.items())[:7])]
+
+
+def test_top_k_skips_far_annuli(spark):
+    rng = np.random.default_rng(20)
+    centres = rng.normal(size=(40, 16))
+    v = centres[np.arange(8000) % 40] + rng.normal(size=(8000, 16)) * 0.05
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    rows = topk.floored(df).cache()
+    index, scored = topk.fit(rows), spark.sparkContext.accumulator(0)
+    out = topk.search(topk.build(rows, index, F.col("vec_id") % 100 == 0, block=64), index, 10, scored=scored).collect()
+    f = np.floor(1024 * v).astype(np.int64)
+    for q in range(0, 8000, 100):
+        want = sorted((-s, i) for i, s in enumerate((f @ f[q]).tolist()) if i != q)[:10]
+        assert [(r["vec_id"], -r["score"]) for r in sorted((r for r in out if r["query_id"] == q), key=lambda r: r["rank"])] == [(i, s) for s, i in want]
+    assert 0 < scored.value < 0.1 * 80 * 8000
+
+
 def _near(base, k, rng):
     words = list(base)
     for _ in range(k):
