@@ -328,9 +328,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, target: float = TARGET) -> DataFrame:
     """``docs`` with one document of each group, that of the smallest id. A group without any id keeps one of its rows, and
     rows that share an id but belong to different groups all stay."""
-    _, facts = _named(docs, id_col, text_col, threshold, target)
-    kept = facts.select(F.col("first.id").alias("__id"), F.col("first.t").alias("__t")).distinct()
-    rows = docs.withColumn("__id", F.col(id_col).cast("long")).withColumn("__t", F.xxhash64(text_col))
-    with_id = rows.where(F.col("__id").isNotNull()).join(kept, ["__id", "__t"]).dropDuplicates(["__id", "__t"])
-    without = rows.where(F.col("__id").isNull()).dropDuplicates(["__t"]).join(kept.where(F.col("__id").isNull()).drop("__id"), "__t")
-    return with_id.select(*docs.columns).unionAll(without.select(*docs.columns))
+    own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names of our own can't clash
+    id_col, text_col = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    _, facts = _named(own, id_col, text_col, threshold, target)
+    kept = facts.select(F.col("first.id").alias("k_id"), F.col("first.t").alias("k_t")).distinct()
+    rows = own.withColumn("k_id", F.col(id_col).cast("long")).withColumn("k_t", F.xxhash64(text_col))
+    with_id = rows.where(F.col("k_id").isNotNull()).join(kept, ["k_id", "k_t"]).dropDuplicates(["k_id", "k_t"])
+    without = rows.where(F.col("k_id").isNull()).dropDuplicates(["k_t"]).join(kept.where(F.col("k_id").isNull()).drop("k_id"), "k_t")
+    return with_id.select(*own.columns).unionAll(without.select(*own.columns)).toDF(*docs.columns)
