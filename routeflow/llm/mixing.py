@@ -10,7 +10,8 @@ numbers its own rows in one streaming pass, and the count of rows before a parti
 per (partition, source).
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order; repeated rows count
-separately; sources without words get target 0; an empty table gives an empty result.
+separately; sources without words get target 0; other columns stay as they are, whatever their names; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -82,6 +83,8 @@ def offset_of(source: Column, seed: str = "mix") -> Column:
 def mix(docs: DataFrame, carry: Sequence[str] = (), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights: Sequence[int] = WEIGHTS, share: float = SHARE) -> DataFrame:
     """(id, source, size, source_size, target, copies) for every row, with the columns in ``carry`` prefixed by ``c_``."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *[F.col(c).alias(f"c_{c}") for c in carry])
+    if not carry:
+        rows = stored(rows, "mix-sizes")  # range bounds come from a sample: so texts are read once
     order = (F.col("source").asc_nulls_last(), F.col("size"), F.col("id"))
     dealt = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(dealt.schema.fields)) + ", part int, place long"
@@ -103,8 +106,10 @@ def _null_safe(parts: DataFrame, targets: DataFrame) -> DataFrame:
     return parts.join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
 
 
-def sampled(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def sampled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as its copies say, with its own columns."""
-    names = docs.columns
-    rows = mix(docs, carry=names, id_col=id_col, **options).where(F.col("copies") > 0)
-    return rows.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("__copy"), *[F.col(f"c_{c}").alias(c) for c in names]).drop("__copy")
+    own = docs.toDF(*[str(i) for i in range(len(docs.columns))])  # names of our own can't clash
+    at = [str(docs.columns.index(c)) for c in (id_col, text_col, source_col)]
+    rows = mix(own, own.columns, *at, **options).where(F.col("copies") > 0)
+    rows = rows.select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))), *[f"c_{c}" for c in own.columns])
+    return rows.drop("col").toDF(*docs.columns)
