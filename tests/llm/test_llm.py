@@ -85,6 +85,24 @@ def test_gif_round_trip_and_rules(docs, none):
     assert gif.digests(gif.text_gifs(none)).count() == 0
 
 
+def test_gif_feature_and_stored_form_match_brute_force(spark, docs):
+    texts = {i: text or "" for i, text, *_ in TEXTS} | {99: "é~ " * 50_000}  # the last takes two frames
+    more = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(99, texts[99])], "doc_id long, text string"))
+    got = gif.digests(gif.text_gifs(more)).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts) and max(r["n_frames"] for r in got) == 2
+    for r in got:
+        data, size = gif.padded(texts[r["doc_id"]].encode()), gif.WIDTH * gif.ROWS
+        shown, cells = b"", Counter()
+        for at in range(0, len(data), size):  # a shorter frame leaves the rest of the one before in sight
+            shown = data[at : at + size] + shown[len(data[at : at + size]) :]
+            for sample, n in Counter(shown).items():
+                red, green, blue = (x % 256 * gif.BINS // 256 for x in (sample, 37 * sample, 101 * sample))
+                cells[(red * gif.BINS + green) * gif.BINS + blue] += n
+        assert r["feature"] == ",".join(f"{k}:{n}" for k, n in sorted(cells.items())), r["doc_id"]
+        media = gif.encode_samples(data)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+
+
 def _tiny_gif(frames, size=(2, 2), palette=b"\0\0\0\xff\0\0\0\xff\0\0\0\xff"):
     out = b"GIF89a" + size[0].to_bytes(2, "little") + size[1].to_bytes(2, "little") + b"\x81\0\0" + palette
     for disposal, transparent, (left, top, w, h), samples, interlace in frames:
@@ -497,6 +515,25 @@ def test_one_of_each_of_null_and_repeated_ids(spark):
     assert told == {(None, None), (None, 1), (1, 1), (5, 5), (6, 5), (7, 7), (None, 7)}
 
 
+def test_other_columns_never_clash(docs):
+    names = "id t row text_ part place size source_size target copies col k_id k_t __id __t c_text c0 piece start length block shard media n_bytes frame labels n_words h1 h2 key class_id n_links".split()
+    more = docs.withColumns({n: F.concat(F.lit(f"{n}/"), "doc_id") for n in names})
+
+    def same(rows, others, own):
+        assert rows and all(r[n] == f"{n}/{r['doc_id']}" for r in rows for n in own)
+        assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in others)
+
+    same(jaccard.one_of_each(more).collect(), jaccard.one_of_each(docs).collect(), names)
+    same(mixing.sampled(more).collect(), mixing.sampled(docs).collect(), names)
+    assert jaccard.one_of_each(more).columns == mixing.sampled(more).columns == more.columns
+    for f in (
+        lambda d: gif.digests(gif.text_gifs(d)), lambda d: packing.pack(d, vocabulary()), lambda d: licenses.scan(d), lambda d: jaccard.join(d), lambda d: mixing.mix(d),
+        lambda d: token_records.read_records(token_records.write_records(d, vocabulary())),
+    ):
+        got, want = (Counter(str([r[c] for c in sorted(r.asDict()) if c not in ("sequence_id", "offset")]) for r in f(d).collect()) for d in (more, docs))
+        assert got == want
+
+
 def test_pipeline_matches_its_stages(spark, tmp_path):
     import corpus_pipeline
 
@@ -520,3 +557,33 @@ def test_pipeline_matches_its_stages(spark, tmp_path):
     times = Counter(r["doc_id"] for r in out if r["piece"] == 0)
     assert all(n <= 2 for n in times.values())
     assert abs(sum(words[i] * n for i, n in times.items()) - 1.5 * sum(sizes.values())) <= 3 * 2 * 40
+    # what is packed: each copy's pieces by the plain tokenizer, and sequences without gaps
+    tokenizer, seen, sequences = coding.coder(vocabulary()).tokenizer, Counter(), defaultdict(list)
+    for r in out:
+        seen[r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]] += 1
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    want = Counter()
+    for i, n in times.items():
+        ids = np.array([*tokenizer.encode(lines[i], add_special_tokens=False).ids, 0], "<u4")
+        for p, at in enumerate(range(0, len(ids), 2048)):
+            want[i, p, at, len(ids[at : at + 2048]), zlib.crc32(ids[at : at + 2048].tobytes())] = n
+    assert seen == want
+    for places in sequences.values():
+        places.sort()
+        assert [o for o, _ in places] == [sum(n for _, n in places[:k]) for k in range(len(places))] and sum(n for _, n in places) <= 2048
+    assert len(sequences) == -(-sum(r["length"] for r in out) // 2048)
+    rounding = {s: 2 * 2 * 40 for s in sizes}  # two documents at most either way
+    taken = Counter()
+    for i, n in times.items():
+        taken[f"s{i % 3}"] += n * words[i]
+    weights, total = {"s0": 3, "s1": 1, "s2": 2}, 1.5 * sum(sizes.values())
+    share, open_ = {}, set(weights)
+    while True:
+        left = total - sum(share.values())
+        over = {s for s in open_ if left * weights[s] / sum(weights[x] for x in open_) > 2 * sizes[s]}
+        share |= {s: 2.0 * sizes[s] for s in over}
+        open_ -= over
+        if not over:
+            break
+    share |= {s: left * weights[s] / sum(weights[x] for x in open_) for s in open_}
+    assert all(abs(taken[s] - share[s]) <= rounding[s] for s in weights)
