@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeflow.llm import gif, jaccard, langid, licenses, line_dedup, mixing, packing, token_records, topk, toxicity
+from routeflow.llm import gif, jaccard, langid, licenses, line_dedup, merkle, mixing, packing, token_records, topk, toxicity
 from routeflow.llm.storage import documents
 
 
@@ -68,6 +68,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    names = ("doc_id", "source", "lang", "n_chars")
+    digest = lambda text: merkle.leaf(*[F.col(c) for c in names], text)
+    rows = docs.select("doc_id", "lang", digest(F.col("text")).alias("leaf"), F.when(langid.crc_fold(F.col("doc_id"), 3) == 0, digest(F.translate("text", line_dedup.UPPER, line_dedup.LOWER))).alias("tampered"))
+    out = merkle.manifest(rows, "lang", "doc_id", "leaf", ["doc_id", "tampered"])
+    found = out.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")).alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -111,5 +121,48 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
+_DIGITS = "list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)"
+#: CRC-32 of a decimal number: a byte goes in, then eight bits are shifted out.
+_CRC = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {_DIGITS}), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295::BIGINT)"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """Nodes (lang, lvl, idx, d) of the trees over ``leaves``, and their siblings; a tree's top has none."""
+    return f"""
+{name}(lang, lvl, idx, d) AS (
+  SELECT lang, 0, idx, d FROM {leaves}
+  UNION ALL SELECT lang, lvl + 1, idx // 8, sha256(string_agg(d, '' ORDER BY idx)) FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS k FROM {name}) WHERE k > 1 GROUP BY lang, lvl, idx // 8),
+{name}_top AS (SELECT lang, max(lvl) AS lvl, arg_max(d, lvl) AS d FROM {name} GROUP BY lang),
+{name}_sib AS (
+  SELECT a.lang, a.lvl, a.idx, coalesce(string_agg(b.d, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l, coalesce(string_agg(b.d, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM {name} a JOIN {name}_top t ON a.lang IS NOT DISTINCT FROM t.lang AND a.lvl < t.lvl
+  JOIN {name} b ON a.lang IS NOT DISTINCT FROM b.lang AND a.lvl = b.lvl AND a.idx // 8 = b.idx // 8 GROUP BY ALL)"""
+
+
+OP13_SQL = f"""
+WITH RECURSIVE
+x AS (SELECT doc_id, lang, {_leaf_sql("text")} AS d, CASE WHEN {_CRC} % 3 = 0 THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS tampered FROM documents),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, d) - 1 AS idx FROM x),{_tree_sql("n", "l")},
+g AS (SELECT 0 AS lang, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS idx, d, lang AS of FROM n_top),{_tree_sql("u", "g")},
+f(doc_id, lang, tree, idx, lvl, a, b, p) AS (
+  SELECT doc_id, lang, 0, idx, 0, coalesce(tampered, d), d, '' FROM l
+  UNION ALL SELECT f.doc_id, f.lang,
+    CASE WHEN s.lvl IS NULL THEN f.tree + 1 ELSE f.tree END,
+    CASE WHEN s.lvl IS NOT NULL THEN f.idx // 8 WHEN f.tree = 0 THEN g.idx ELSE 0 END,
+    CASE WHEN s.lvl IS NULL THEN 0 ELSE f.lvl + 1 END,
+    CASE WHEN s.lvl IS NULL THEN f.a ELSE sha256(s.l || f.a || s.r) END, CASE WHEN s.lvl IS NULL THEN f.b ELSE sha256(s.l || f.b || s.r) END, f.p || coalesce(s.l || s.r, '')
+  FROM f JOIN g ON f.lang IS NOT DISTINCT FROM g.of
+  LEFT JOIN (SELECT 0 AS tree, lang, lvl, idx, l, r FROM n_sib UNION ALL SELECT 1, g.of, u_sib.lvl, u_sib.idx, l, r FROM u_sib CROSS JOIN g) s
+    ON s.tree = f.tree AND s.lang IS NOT DISTINCT FROM f.lang AND s.lvl = f.lvl AND s.idx = f.idx
+  WHERE f.tree < 2)
+SELECT f.doc_id, l.d AS leaf, n_top.d AS subroot, u_top.d AS root, sha256(f.p) AS proof_sha256, f.a AS folded_root, f.a = u_top.d AS verified
+FROM f JOIN l ON f.doc_id IS NOT DISTINCT FROM l.doc_id JOIN n_top ON f.lang IS NOT DISTINCT FROM n_top.lang CROSS JOIN u_top WHERE f.tree = 2
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op8_source_mixing": OP8_SQL, "op9_exact_top_k": OP9_SQL}
+    return {"op13_merkle_manifest": OP13_SQL, "op1_line_dedup": OP1_SQL, "op8_source_mixing": OP8_SQL, "op9_exact_top_k": OP9_SQL}
