@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeflow.llm import gif, jaccard, langid, licenses, line_dedup, merkle, mixing, packing, token_records, topk, toxicity
+from routeflow.llm import gif, jaccard, langid, licenses, line_dedup, merkle, mixing, packing, periodic, token_records, topk, toxicity
 from routeflow.llm.storage import documents
 
 
@@ -68,6 +68,28 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def _repeating(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, text); one in ten gets a part that repeats, in place of its own words from there on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10).cast("long")
+    words = F.when((h % 10 == 0) & F.col("text").isNotNull(), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), 0))
+    rows = docs.select("doc_id", "text", words.alias("w"), F.size(words).cast("long").alias("n"), g.alias("g"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", (F.floor((F.col("n") - F.col("a")) / (F.col("g") % 8 + 3)) + 1).cast("int"))
+    a, p = F.col("a").cast("int"), F.col("p")
+    changed = F.array_join(F.transform("w", lambda w, i: F.when(i < a, w).otherwise(F.get("w", a + (i - a) % p))), " ")
+    return rows.select("doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.collapse_runs(_repeating(documents(spark, sf_dir).select("doc_id", "text")))
+    more = lambda x, y: x["length"] * y["period"] > y["length"] * x["period"]
+    best = F.aggregate("runs", F.get("runs", F.lit(0)), lambda x, y: F.when(more(y, x), y).otherwise(x))  # runs come by start, then period
+    line = lambda r: F.concat(*[x for c in ("start", "length", "period") for x in (F.lit(","), r[c])][1:], F.lit("\n"))
+    found = out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"))
+    return found.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("best.length * 1000 div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     names = ("doc_id", "source", "lang", "n_chars")
