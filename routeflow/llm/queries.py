@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from routeflow.llm import gif, jaccard, langid, licenses, line_dedup, merkle, mixing, packing, periodic, token_records, topk, toxicity
+from routeflow.llm import extraction, gif, jaccard, langid, licenses, line_dedup, merkle, mixing, packing, periodic, token_records, topk, toxicity
 from routeflow.llm.storage import documents
 
 
@@ -68,6 +68,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return extraction.extract(pages, extraction.fit(pages))
+
+
 def _repeating(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text); one in ten gets a part that repeats, in place of its own words from there on."""
     h = F.crc32(F.col("doc_id").cast("string"))
