@@ -3,13 +3,14 @@
 Texts are lowered and everything but letters becomes one space; n-grams of one to three characters are hashed into
 ``BUCKETS`` counts. Document frequencies of the buckets come from all training rows. Weights are sublinear counts times
 IDF, of length 1. Each language gets up to ``CLUSTERS`` centroids by spherical k-means over a bounded sample of its
-training rows (``SAMPLE`` rows a language in expectation, chosen by a hash of the id); clusters of less than 1 % of these
-are dropped. A text goes to the centroid of largest cosine. Distance-based rejection marks texts whose cosine to every
+training rows (``SAMPLE`` rows a language in expectation, chosen by a hash of id, text and row, so that rows sharing an id
+are drawn apart); clusters of less than 1 % of these are dropped. A text goes to the centroid of largest cosine. Distance-based rejection marks texts whose cosine to every
 centroid is below that of nearly all training texts of the winning centroid, by a margin that shrinks smoothly with the
 number of letters. N-grams of one bucket share its count and weight.
 
-Defined cases: texts that are null or hold no letter get ``und``, score 0, rejected; without any training row so do all;
-null languages are never learned; repeated rows count as often as they occur; carried columns with a prediction's name
+Defined cases: texts that are null or hold no letter get ``und``, score 0, rejected; without any training row so do all, and
+nothing can be rejected: ``accepted`` then keeps every row; very long texts are counted whole, alone in their batch;
+null languages are never learned; null ids are ids like others; repeated rows count as often as they occur; carried columns with a prediction's name
 are replaced; an empty table gives an empty result.
 """
 
@@ -85,7 +86,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _samples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [(lang, got.astype("<u4").tobytes()) for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if (got := gram_counts(text)[0]) is not None]
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], names=["lang", "counts"])
 
@@ -123,7 +124,7 @@ def fit(train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
             df[r["bucket"]] = r["n"]
     idf = np.log((n + 1) / (df + 1)) + 0.1
     pick: Column = F.lit(False)
-    draw = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1 << 30))
+    draw = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col), F.col(text_col), F.monotonically_increasing_id()), F.lit(1 << 30))
     for lang, rows in sizes.items():
         pick = pick | ((F.col(lang_col) == lang) & (draw < int(min(1.0, sample / rows) * (1 << 30))))
     by: dict[str, list[np.ndarray]] = {}
@@ -175,7 +176,9 @@ def predict(docs: DataFrame, model: Model | None, carry: list[str], text_col: st
 
 
 def accepted(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that the model rejects."""
+    """``docs`` without the rows that the model rejects; all rows where there is no model."""
+    if model is None:
+        return docs
     own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # names of our own can't clash
     found = predict(own, model, own.columns, f"c{docs.columns.index(text_col)}", ("lang_pred", "score", "rejected"))
     return found.where(~F.col("rejected")).select(*own.columns).toDF(*docs.columns)
