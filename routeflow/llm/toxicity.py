@@ -16,7 +16,9 @@ of these the score. It is fitted on a bounded sample of training
 rows (``CALIBRATION`` in expectation, at most one in ``HELD_BACK``) with ratios from the counts of all others; the ratios
 that texts are scored with then come from the counts of every training row, those of the sample too.
 
-Defined cases: null texts and texts without letters score like the empty text; null labels and null ids teach nothing;
+Defined cases: null texts and texts without letters score like the empty text; very long texts are scored whole, with their
+n-grams in memory once; null labels and null ids teach nothing; an id that stands twice in the labels counts once, or once
+for each of its labels where they differ; rows that share an id are drawn for calibration apart;
 if the training rows don't hold both classes, every score is 0; repeated rows are scored alike; a carried column named
 ``score`` is replaced; an empty table gives an empty result.
 """
@@ -184,17 +186,15 @@ def _featured(batches: Iterator[pa.RecordBatch], seen: Ratios, contexts: Ratios)
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a in range(0, batch.num_rows, 2000):
-            part = batch.slice(a, 2000)
-            by: list[list[np.ndarray]] = [[], []]
-            for toxic, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                by[toxic].append(grams(text)[0])
-            for toxic, found in enumerate(by):
-                if found:
-                    keys, n = np.unique(np.concatenate(found), return_counts=True)
-                    zero = np.zeros(len(n), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(zero if toxic else n), pa.array(n if toxic else zero)], names=["gram", "n0", "n1"])
+    for part in slices(batches):
+        by: list[list[np.ndarray]] = [[], []]
+        for toxic, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            by[toxic].append(grams(text)[0])
+        for toxic, found in enumerate(by):
+            if found:
+                keys, n = np.unique(np.concatenate(found), return_counts=True)
+                zero = np.zeros(len(n), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(zero if toxic else n), pa.array(n if toxic else zero)], names=["gram", "n0", "n1"])
 
 
 def gram_counts(train: DataFrame) -> DataFrame:
@@ -265,9 +265,10 @@ def _sampled(seen: Ratios, contexts: Ratios):
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", calibration: int = CALIBRATION) -> Model | None:
     """Learn from all rows of ``docs`` that ``labels`` marks 0 or 1. None if a class is missing."""
-    marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
-    train = stored(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, "id"), "toxicity-train")
-    train = train.withColumn("draw", F.pmod(F.xxhash64(F.lit("toxicity"), "id"), F.lit(1 << 30)))
+    marks = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).distinct()
+    train = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, "id")
+    draw = F.pmod(F.xxhash64(F.lit("toxicity"), "id", "text", F.monotonically_increasing_id()), F.lit(1 << 30))
+    train = stored(train.withColumn("draw", draw), "toxicity-train")
     sizes = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if len(sizes) < 2:
         return None
