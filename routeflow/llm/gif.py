@@ -11,7 +11,7 @@ Between clear codes the width of the k-th code is known beforehand, so that code
 arrays. The decoder keeps no string table: an entry's text stands in the output, and array operations follow the links.
 
 Defined cases: null media gives no frames; media that is no GIF, is damaged or cut short, or claims a canvas or frame of
-more than ``PIXELS`` pixels gives the frames before the fault and a row with ``error`` and no frame; repeated rows are decoded
+more than ``pixels`` pixels gives the frames before the fault and a row with ``error`` and no frame; repeated rows are decoded
 as often as they occur; other columns are not read; an empty table gives an empty result.
 """
 
@@ -263,7 +263,7 @@ def histogram(canvas: np.ndarray, bins: int = BINS) -> np.ndarray:
 _FRAMES = "{id} {kind}, frame int, left int, top int, width int, height int, delay_ms int, disposal int, transparent int, samples binary, histogram array<long>, canvas_sha256 string, error string"
 
 
-def _frames(bins: int):
+def _frames(bins: int, pixels: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["frame", "left", "top", "width", "height", "delay_ms", "disposal", "transparent"]
         for batch in batches:
@@ -272,7 +272,7 @@ def _frames(bins: int):
                     continue
                 rows = []
                 try:
-                    for k, f in enumerate(decode(data)):
+                    for k, f in enumerate(decode(data, pixels)):
                         h, w = f.samples.shape
                         rows.append(dict(zip(names, (k, f.left, f.top, w, h, 10 * f.delay, f.disposal, f.transparent), strict=True)) | {"samples": f.samples.tobytes(), "histogram": histogram(f.canvas, bins).tolist(), "canvas_sha256": hashlib.sha256(f.canvas.tobytes()).hexdigest(), "error": None})
                 except (ValueError, IndexError, struct.error) as e:
@@ -286,10 +286,11 @@ def _frames(bins: int):
     return run
 
 
-def gif_frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", bins: int = BINS) -> DataFrame:
-    """One row a frame: place, size, delay, disposal, samples and the composed canvas's colour histogram."""
+def gif_frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", bins: int = BINS, pixels: int = PIXELS) -> DataFrame:
+    """One row a frame: place, size, delay, disposal, samples and the composed canvas's colour histogram. Images of any legal
+    size are decoded where ``pixels`` allows them (65535 ** 2 for all; a task then holds 13 bytes for each pixel)."""
     kind = media.schema[id_col].dataType.simpleString()
-    return media.select(id_col, media_col).transform(in_arrow, _frames(bins), _FRAMES.format(id=id_col, kind=kind))
+    return media.select(id_col, media_col).transform(in_arrow, _frames(bins, pixels), _FRAMES.format(id=id_col, kind=kind))
 
 
 def padded(text: bytes) -> bytes:
@@ -297,10 +298,9 @@ def padded(text: bytes) -> bytes:
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a in range(0, batch.num_rows, 256):
-            part = batch.slice(a, 256)
-            texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
+    for part in slices(batches, 256):
+        texts = [t or b"" for t in part.column(1).cast(pa.binary()).to_pylist()]
+        if texts:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([encode_samples(padded(t)) for t in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
