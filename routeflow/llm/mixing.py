@@ -82,10 +82,10 @@ def offset_of(source: Column, seed: str = "mix") -> Column:
 
 def mix(docs: DataFrame, carry: Sequence[str] = (), id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", weights: Sequence[int] = WEIGHTS, share: float = SHARE) -> DataFrame:
     """(id, source, size, source_size, target, copies) for every row, with the columns in ``carry`` prefixed by ``c_``."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), *[F.col(c).alias(f"c_{c}") for c in carry])
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("hash"), *[F.col(c).alias(f"c_{c}") for c in carry])
     if not carry:
         rows = stored(rows, "mix-sizes")  # range bounds come from a sample: so texts are read once
-    order = (F.col("source").asc_nulls_last(), F.col("size"), F.col("id"))
+    order = (F.col("source").asc_nulls_last(), F.col("size"), F.col("id"), F.col("hash"))
     dealt = rows.repartitionByRange(shuffle_partitions(docs.sparkSession), *order).sortWithinPartitions(*order)
     schema = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(dealt.schema.fields)) + ", part int, place long"
     placed = stored(dealt.transform(in_arrow, _number(1), schema).toDF(*dealt.columns, "part", "place"), "mix-rows")
