@@ -14,8 +14,8 @@ scores that reach the query's k-th best so far leave a task.
 Blocks are scanned by tasks; every task reads the packed queries from the shared folder batch by batch, so that neither
 side is ever whole in one place. Bounds get a margin for rounding; the scores themselves are exact.
 
-Defined cases: vectors that are null, or hold a null, NaN or infinite component, take no part, nor do null ids; shorter
-vectors are filled up with zeros; repeated rows count once, and rows that share a query's id are its own; of rows that share
+Defined cases: vectors that are null, or hold a null, NaN or infinite component, take no part, nor do null ids; a
+finite vector so long that scores might leave 64 bits is an error, never a wrong score; shorter ones are filled up with zeros; repeated rows count once, and rows that share a query's id are its own; of rows that share
 an id the best counts, for queries as for candidates; ties go to the smaller id; other columns are not read; an empty table
 gives an empty result.
 """
@@ -36,6 +36,8 @@ from routeflow.llm.storage import fresh_path, in_arrow, open_fs, shuffle_partiti
 
 SCALE, PIVOTS, SAMPLE, BLOCK, QUERIES, GROUP = 1024, 48, 2048, 1024, 256, 16
 LEAST = np.iinfo(np.int64).min  # no score
+#: Squared length, of floored components, from which on inner products might not fit into 64 bits.
+WIDEST = 2.0**62
 
 
 class Index(NamedTuple):
@@ -54,6 +56,8 @@ def _floored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             x = np.floor(SCALE * v.values.to_numpy(zero_copy_only=False).astype(np.float64))
             if np.isfinite(x).all():
+                if x @ x >= WIDEST:
+                    raise ValueError(f"vector {vec_id} is too long for integer inner products")
                 ids.append(vec_id)
                 rows.append(x.astype("<i8"))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(r) for r in rows], pa.int32()), pa.array([int(r @ r) for r in rows], pa.int64()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["vec_id", "dims", "norm2", "v"])
