@@ -28,14 +28,14 @@ def op2_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
-    held_out = langid.crc_fold(F.col("doc_id"), 4) == 2
+    held_out = F.coalesce(langid.crc_fold(F.col("doc_id"), 4) == 2, F.lit(False))
     model = langid.fit(docs.where(~held_out))
     return langid.predict(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    held_out = langid.crc_fold(F.col("doc_id"), 3) == 1
+    held_out = F.coalesce(langid.crc_fold(F.col("doc_id"), 3) == 1, F.lit(False))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs.where(~held_out), labels.where(~held_out))
     out = toxicity.score(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
