@@ -16,10 +16,6 @@ from routeflow.functions import messages as M
 AMQP_ID, HTTP_ID, TYPE, JSON = "amqp_message_id", "message-id", "type", "json"
 
 
-def _decimal(text: Column) -> Column:
-    return F.when(text.rlike("^[0-9]{1,18}$"), M.hex_id(text.try_cast("long")))
-
-
 def _uuid(text: Column) -> Column:
     return F.when(text.rlike(M.UUID), F.lower(F.regexp_replace(text, "-", "")))
 
@@ -45,7 +41,7 @@ def from_nats(rows: DataFrame) -> DataFrame:
     A header's values are joined with commas, empty ones left out."""
     first = lambda name: F.try_element_at(F.try_element_at("headers", F.lit(name)), F.lit(1))
     native = first("Nats-Msg-Id")
-    found = F.coalesce(_hex(first(M.CARRIED_ID)), M.hex_id(F.col("sequence")), _uuid(native), _decimal(native), _made(F.col("subject"), F.hex("payload")))
+    found = F.coalesce(_hex(first(M.CARRIED_ID)), M.hex_id(F.col("sequence")), _uuid(native), M.id_from_decimal(native), _made(F.col("subject"), F.hex("payload")))
     metadata = F.transform_values(F.coalesce("headers", F.expr("cast(map() as map<string,array<string>>)")), lambda _, v: M.joined_header(v))
     return rows.select(found.alias("message_id"), "payload", metadata.alias("metadata"))
 
@@ -56,7 +52,7 @@ def from_amqp(rows: DataFrame) -> DataFrame:
     carried = {AMQP_ID: native, M.CORRELATION: F.col("correlation_id"), M.REPLY_TO: F.col("reply_to")}
     pairs = F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in carried.items()]), lambda e: e["value"].isNotNull())
     metadata = F.map_concat(_without(F.col("headers"), *carried), F.map_from_entries(pairs))
-    return rows.select(F.coalesce(_uuid(native), _decimal(native), M.hex_id(F.col("delivery_tag"))).alias("message_id"), "payload", metadata.alias("metadata"))
+    return rows.select(F.coalesce(_uuid(native), M.id_from_decimal(native), M.hex_id(F.col("delivery_tag"))).alias("message_id"), "payload", metadata.alias("metadata"))
 
 
 def to_amqp(messages: DataFrame) -> DataFrame:

@@ -30,22 +30,45 @@ def hex_id(number: Column) -> Column:
     return F.lpad(F.lower(F.hex(number)), 32, "0")
 
 
+def id_from_decimal(text: Column) -> Column:
+    """Digits of a number below 2**128 as 32 hex digits; null for all else. Four limbs of 32 bits take one digit after another."""
+    limbs = range(4)
+    zero = F.struct(*[F.lit(0).cast("bigint").alias(f"l{k}") for k in limbs], F.lit(0).cast("bigint").alias("over"))
+
+    def step(acc: Column, digit: Column) -> Column:
+        carry, out = digit.cast("bigint"), []
+        for k in limbs:
+            value = acc[f"l{k}"] * 10 + carry
+            out.append(value.bitwiseAND(F.lit(0xFFFFFFFF)).alias(f"l{k}"))
+            carry = F.shiftright(value, 32)
+        return F.struct(*out, (acc["over"] + carry).alias("over"))
+
+    digits = F.regexp_replace(text, "^0+(?=[0-9])", "")
+    whole = F.aggregate(F.split(digits, "(?<=.)(?=.)"), zero, step, lambda acc: F.when(acc["over"] == 0, F.concat(*[F.lpad(F.lower(F.hex(acc[f"l{k}"])), 8, "0") for k in reversed(limbs)])))
+    return F.when(text.rlike("^[0-9]+$") & (F.length(digits) <= 39), whole)
+
+
 def id_from_text(text: Column) -> Column:
-    """UUID, then hex with an optional 0x; null if neither reads it. Digits alone are hex too, and decimal never gets its turn up to 32 digits."""
+    """UUID, then hex with an optional 0x, then decimal below 2**128; null if none reads it. Digits alone are hex up to 32 of them."""
     bare = F.regexp_replace(text, "^(0x)+", "")
     return (
         F.when(text.rlike(UUID), F.lower(F.regexp_replace(text, "-", "")))
         .when(bare.rlike("^[0-9a-fA-F]{1,32}$"), F.lpad(F.lower(bare), 32, "0"))
+        .when(text.rlike("^[0-9]{33,39}$"), id_from_decimal(text))
     )
 
 
 def id_from_json(payload: Column) -> Column:
-    """The first present of the fields message_id, id, _id decides, even if it can't be read; null then."""
+    """The first present of the fields message_id, id, _id decides, even if it can't be read; null then. Numbers are read
+    from -2**63 (in two's complement) to 2**64 - 1."""
     def read(name: str) -> Column:
         value = F.get_json_object(payload, f"$.{name}")
-        number = F.get_json_object(payload, f"$.{name}").cast("string").rlike("^[0-9]+$") & ~F.coalesce(F.regexp_like(payload, F.lit(f'"{name}"\\s*:\\s*"')), F.lit(False))
+        number = value.rlike("^-?[0-9]+$") & ~F.coalesce(F.regexp_like(payload, F.lit(f'"{name}"\\s*:\\s*"')), F.lit(False))
         oid = F.get_json_object(payload, f"$.{name}.$oid")
-        return F.when(oid.isNotNull(), F.lpad(F.lower(oid), 32, "0")).when(number, hex_id(value.try_cast("long"))).otherwise(id_from_text(value))
+        long = value.try_cast("long")
+        unsigned = F.when(value.rlike("^[0-9]{19,20}$") & (F.lpad(value, 20, "0") <= F.lit(str(2**64 - 1))), id_from_decimal(value))
+        read = F.when(long < 0, F.lpad(F.lower(F.hex(long)), 32, "f")).when(long.isNotNull(), hex_id(long)).otherwise(unsigned)
+        return F.when(oid.isNotNull(), F.lpad(F.lower(oid), 32, "0")).when(number, read).otherwise(id_from_text(value))
 
     present = [F.get_json_object(payload, f"$.{n}").isNotNull() for n in ("message_id", "id", "_id")]
     return F.when(present[0], read("message_id")).when(present[1], read("id")).when(present[2], read("_id"))
