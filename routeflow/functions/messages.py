@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,15 +102,16 @@ def to_envelope(messages: DataFrame, keep: list[str] | None = None) -> DataFrame
     return messages.select(F.when(F.try_element_at("metadata", F.lit(FORMAT)) == RAW, payload_text(F.col("payload"))).otherwise(whole).alias("value"), *(keep or ()))
 
 
-def from_lines(lines: DataFrame, value: str = "value") -> DataFrame:
-    """Lines as messages: envelopes are unwrapped; all else becomes a raw payload with an id of its own content."""
+def from_lines(lines: DataFrame, value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """Lines as messages, with columns to keep: envelopes are unwrapped; all else becomes a raw payload with an id of its own content."""
     parsed = F.from_json(value, "message_id string, payload string, metadata map<string,string>")
-    rows = lines.select(F.col(value).alias("value"), parsed.alias("e"))
+    rows = lines.select(F.col(value).alias("value"), parsed.alias("e"), *keep)
     ok = F.col("e.message_id").isNotNull() & F.col("e.payload").isNotNull()
     return rows.select(
         F.when(ok, F.coalesce(id_from_text(F.col("e.message_id")), F.md5("value"))).otherwise(F.md5("value")).alias("message_id"),
         F.encode(F.when(ok, F.col("e.payload")).otherwise(F.col("value")), "UTF-8").alias("payload"),
         F.when(ok, F.coalesce("e.metadata", F.expr("cast(map() as map<string,string>)"))).otherwise(F.create_map(F.lit(FORMAT), F.lit(RAW))).alias("metadata"),
+        *keep,
     )
 
 
@@ -129,7 +131,7 @@ def as_json_string(text: Column) -> Column:
 
 
 def merged_array(elements: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(elements, ","), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(elements, ",", "null"), F.lit("]"))
 
 
 def joined_header(values: Column) -> Column:

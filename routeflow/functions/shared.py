@@ -37,3 +37,18 @@ def remove(spark: SparkSession, path: str) -> None:
     """Deletes a file or folder, in any store that Spark reads."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def move_into(spark: SparkSession, source: str, target: str) -> None:
+    """Renames the data files of a folder that Spark wrote into another folder of the same store, and deletes what is left of it.
+    Names are unique, so that a call that was cut off can be made again."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(source).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path(source)):
+        return
+    store.mkdirs(path(target))
+    for status in store.listStatus(path(source)):
+        name = status.getPath().getName()
+        if not name.startswith(("_", ".")) and not store.rename(status.getPath(), path(f"{target}/{name}")):
+            raise OSError(f"{target}/{name} can't be made")
+    store.delete(path(source), True)

@@ -98,9 +98,16 @@ def commit_order(batches: DataFrame, ready: str, seq: str = "seq") -> DataFrame:
     return rows.select(*batches.columns, F.greatest(F.max(ready).over(here), "__before").alias("committed"))
 
 
-def insert_new(incoming: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    """Rows whose key isn't there yet, once; a duplicate key is a success that writes nothing."""
-    return incoming.join(existing.select(key), key, "left_anti").dropDuplicates([key])
+def insert_new(incoming: DataFrame, existing: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
+    """Rows whose key isn't there yet, once; a duplicate key is a success that writes nothing. Of equal keys the first in ``order`` is
+    written, or the one that a hash of the row puts first. Rows without a key are all written."""
+    fresh = incoming.join(existing.select(key), key, "left_anti").select(*incoming.columns)
+    rest = [c for c in incoming.columns if c != key]
+    first = F.min_by(F.struct(*rest), F.struct(*order, F.xxhash64(*rest))) if rest else F.lit(None)
+    # rows without a key are groups of their own, dealt by their hash
+    own = F.when(F.col(key).isNull(), F.monotonically_increasing_id())
+    out = fresh.withColumn("__own", own).groupBy(key, "__own").agg(first.alias("__first"))
+    return out.select(key, *([F.col("__first")[c].alias(c) for c in rest])).select(*incoming.columns)
 
 
 def requeue(batch: DataFrame, nack: Column, queue: DataFrame, order: str) -> DataFrame:
@@ -117,7 +124,8 @@ def replies(requests: DataFrame, answers: DataFrame, key: str, asked: str, answe
     asks = requests.select(F.col(key).alias("__key"), F.col(asked).alias("__at"), F.lit(1).alias("__side"), F.struct(*[F.col(f.name) for f in own]).alias("q"), F.lit(None).cast(kind).alias("a"))
     gives = answers.select(F.col(key).alias("__key"), F.col(answered).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(asks.schema["q"].dataType).alias("q"), F.struct(*theirs).alias("a"))
     # from the last to the first: an answer at a request's very time counts, so it comes before; equal answers tie by their hash
-    ahead = Window.partitionBy("__key").orderBy(F.desc("__at"), "__side", F.xxhash64("a")).rowsBetween(Window.unboundedPreceding, 0)
+    # no answer belongs to a null key, so these are dealt by their hash
+    ahead = Window.partitionBy("__key", F.when(F.col("__key").isNull(), F.xxhash64("q", "a"))).orderBy(F.desc("__at"), "__side", F.xxhash64("a")).rowsBetween(Window.unboundedPreceding, 0)
     found = asks.unionAll(gives).withColumn("n", F.last("a", ignorenulls=True).over(ahead)).where(F.col("__side") == 1)
     fine = F.coalesce(F.col("__key").isNotNull() & (F.col(f"n.{answered}") <= F.col("__at") + timeout), F.lit(False))
     return found.select("q.*", *[F.when(fine, F.col(f"n.{c}")).alias(c) for c in theirs], (~fine).alias("timed_out"))

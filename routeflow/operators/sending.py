@@ -35,8 +35,8 @@ def send_with_retry(messages: DataFrame, send: Send, attempts: int = 5, initial_
 
 
 def dead_letters(messages: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Messages whose outcome is a failure, with its status and error."""
-    bad = outcomes.where(F.col("status").isin(RETRYABLE, NONRETRYABLE)).select("message_id", "status", "error")
+    """Messages whose outcome is a failure, with its status and error. Of messages that share an id, all go where one has failed."""
+    bad = outcomes.where(F.col("status").isin(RETRYABLE, NONRETRYABLE)).groupBy("message_id").agg(F.min_by(F.struct("status", "error"), F.struct("status", "error")).alias("f")).select("message_id", "f.*")
     return messages.drop("status", "error").join(bad, "message_id")
 
 

@@ -117,12 +117,13 @@ def weak_join_groups(df: DataFrame, key: str, us: str, tie: str, count: int, tim
     return rows.select(*df.columns, (F.col("grp") - 1).cast("long").alias("grp"))
 
 
-def weak_join(df: DataFrame, key: str, us: str, tie: str, payload: str, count: int, timeout_us: int | None = None, on_end: str = "flush") -> DataFrame:
-    """One row a group: (key, grp, size, first, complete, payload as a JSON array in arrival order). ``on_end='drop'`` leaves out incomplete last groups."""
+def weak_join(df: DataFrame, key: str, us: str, tie: str, payload: str, count: int, timeout_us: int | None = None, on_end: str = "flush", carry: Sequence[str] = ()) -> DataFrame:
+    """One row a group: (key, grp, size, first, complete, payload as a JSON array in arrival order, null where a payload is), then the
+    columns in ``carry`` of the group's first message. ``on_end='drop'`` leaves out incomplete last groups."""
     rows = weak_join_groups(df, key, us, tie, count, timeout_us)
     parts = F.sort_array(F.collect_list(F.struct(F.col(us).alias("t"), F.col(tie).alias("i"), as_json_element(F.col(payload)).alias("p"))))  # at most ``count`` elements
-    out = rows.groupBy(key, "grp").agg(F.count("*").alias("size"), F.min_by(tie, F.struct(us, tie)).alias("first"), parts.alias("parts"))
-    out = out.select(key, "grp", "size", "first", (F.col("size") >= count).alias("complete"), merged_array(F.transform("parts", lambda x: x["p"])).alias("payload"))
+    out = rows.groupBy(key, "grp").agg(F.count("*").alias("size"), F.min_by(F.struct(F.col(tie).alias("first"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]), F.struct(us, tie)).alias("f"), parts.alias("parts"))
+    out = out.select(key, "grp", "size", "f.first", (F.col("size") >= count).alias("complete"), merged_array(F.transform("parts", lambda x: x["p"])).alias("payload"), *[F.col(f"f.c{i}").alias(c) for i, c in enumerate(carry)])
     if on_end == "drop":
         last = F.max("grp").over(Window.partitionBy(key))
         out = out.withColumn("__last", last).where(F.col("complete") | (F.col("grp") < F.col("__last"))).drop("__last")

@@ -28,6 +28,7 @@ class Endpoint:
     options: Mapping[str, Any] = field(default_factory=dict)
     middlewares: tuple[tuple[str, Mapping[str, Any]], ...] = ()
     handler: Callable | None = None
+    sink: str = ""  # its name in a route, where it is a sink of one
 
     def with_handler(self, handler: Callable) -> Endpoint:
         return replace(self, handler=handler)
@@ -145,6 +146,31 @@ def tree(e: Endpoint) -> list[Endpoint]:
     return [e, *(x for c in children(e) for x in tree(c))]
 
 
+def title(e: Endpoint) -> str:
+    """What an endpoint is called: its type and what it is addressed by."""
+    o = e.options
+    return ":".join(str(x) for x in (e.kind, o.get("url"), o.get("topic") or o.get("queue") or o.get("path") or o.get("collection") or o.get("subject") or o.get("name") or o.get("value")) if x)
+
+
+def named(e: Endpoint, known: dict[str, int] | None = None) -> Endpoint:
+    """The same tree with a name for every sink, those of dead letters too: its title, and a number where others have the same.
+    So each place in the tree is a sink of its own."""
+    known = {} if known is None else known
+    options = dict(e.options)
+    if e.kind == "switch":
+        options["cases"] = {k: named(c, known) for k, c in options["cases"].items()}
+        options["default"] = named(options["default"], known) if options["default"] else None
+    elif e.kind == "fanout":
+        options["targets"] = [named(c, known) for c in options["targets"]]
+    middlewares = tuple((n, {**o, "endpoint": named(o["endpoint"], known)} if n == "dlq" else o) for n, o in e.middlewares)
+    name = ""
+    if not children(e) and e.kind != "null":
+        name = title(e)
+        known[name] = known.get(name, 0) + 1
+        name += f"#{known[name]}" if known[name] > 1 else ""
+    return replace(e, options=options, middlewares=middlewares, sink=name)
+
+
 def kinds(e: Endpoint) -> set[str]:
     return {x.kind for x in tree(e)}
 

@@ -419,12 +419,12 @@ def orders_cqrs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries():
-    from routeflow import broker_queries  # noqa: F401  registers its own
+    from routeflow import broker_queries, route_queries  # noqa: F401  register their own
 
     return dict(QUERIES)
 
 
 def oracle_sql():
-    from routeflow import broker_queries  # noqa: F401
+    from routeflow import broker_queries, route_queries  # noqa: F401
 
     return dict(ORACLES)
