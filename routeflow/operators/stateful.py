@@ -1,22 +1,19 @@
 """TTL deduplication and the weak join: what must see a key's messages one after another.
 
-Rows are range-partitioned by key and arrival, so that a hot key spreads. A pause of at least the TTL (or the timeout)
-between two messages of a key starts anew whatever came before, so a key falls into *sessions* between such pauses, which
-are folded apart from each other; a fold jumps from mark to mark instead of going row by row. Only a key without any such
-pause stays in one task, streaming. Without a TTL or a timeout, plain aggregates do.
+Which message is accepted, or opens a group, follows from the one before that was or did: :mod:`routeflow.operators.marking` finds
+them without bringing a key into one task. Without a TTL or a timeout, plain aggregates do.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from routeflow.functions.messages import as_json_element, merged_array
-from routeflow.operators.numbering import numbered, running_sum, with_previous
+from routeflow.operators.marking import Marks, marked  # noqa: F401  Marks folds one key's rows, here for streams
+from routeflow.operators.numbering import numbered
 
 
 def first_of_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -27,84 +24,13 @@ def first_of_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Da
     return out.select(*keys, "first.*").select(*df.columns) if rest else out.select(*keys)
 
 
-def _reached(values: np.ndarray, low: np.ndarray, high: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """For each range low..high of ascending values, where the target is reached first (high: nowhere)."""
-    low, high = low.copy(), high.copy()
-    while (open_ := low < high).any():
-        middle = (low + high) // 2
-        less = open_ & (values[np.minimum(middle, len(values) - 1)] < target)
-        low = np.where(less, middle + 1, low)
-        high = np.where(open_ & ~less, middle, high)
-    return low
-
-
-class Marks:
-    """Marks rows, session by session: the first row, and then each that lies ``step`` or more behind the last mark or
-    has ``most`` rows since it. Batches come one after another; a session may go on from one to the next."""
-
-    def __init__(self, step: int, most: int | None = None):
-        self.step, self.most, self.session, self.last, self.since = step, most, None, 0, 0
-
-    def of(self, sessions: np.ndarray, values: np.ndarray) -> np.ndarray:
-        n, marks = len(sessions), np.zeros(len(sessions), bool)
-        if not n:
-            return marks
-        starts = np.flatnonzero(np.append(True, sessions[1:] != sessions[:-1]))
-        ends, at = np.append(starts[1:], n), starts.copy()
-        if sessions[0] == self.session:  # goes on
-            first = int(np.searchsorted(values[: ends[0]], self.last + self.step))
-            at[0] = first if self.most is None else min(first, self.most - self.since)
-        while True:
-            open_ = at < ends
-            at, ends = at[open_], ends[open_]
-            if not len(at):
-                break
-            marks[at] = True
-            there = _reached(values, at, ends, values[at] + self.step)
-            at = there if self.most is None else np.minimum(there, at + self.most)
-        mine = np.flatnonzero(marks[starts[-1] :]) + starts[-1]
-        goes_on = sessions[-1] == self.session
-        if len(mine):
-            self.last, self.since = int(values[mine[-1]]), n - int(mine[-1])
-        elif goes_on:
-            self.since += n - int(starts[-1])
-        self.session = sessions[-1]
-        return marks
-
-
-def _sessions(df: DataFrame, keys: Sequence[str], order: Sequence[str], clock: Column, pause: int) -> DataFrame:
-    """Adds ``__clock`` and ``__session``, sorted by session and order; ``clock`` ascends along the order."""
-    rows = with_previous(df.withColumn("__clock", clock), keys, order, "__clock", "__before")
-    fresh = (F.col("__before").isNull() | (F.col("__clock") - F.col("__before") >= pause)).cast("long")
-    rows = running_sum(rows.withColumn("__fresh", fresh), [], [*keys, *order], "__fresh", "__session")
-    return rows.drop("__before", "__fresh").repartition("__session").sortWithinPartitions("__session", *order)
-
-
-def _schema(df: DataFrame, *more: str) -> str:
-    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields] + list(more))
-
-
-def _marked(rows: DataFrame, step: int, most: int | None = None) -> DataFrame:
-    """Rows of :func:`_sessions` with ``__mark``."""
-    session, clock, names = rows.columns.index("__session"), rows.columns.index("__clock"), [*rows.columns, "__mark"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = Marks(step, most)
-        for batch in batches:
-            found = marks.of(batch.column(session).to_numpy(), batch.column(clock).to_numpy())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=names)
-
-    return rows.mapInArrow(run, _schema(rows, "__mark boolean"))
-
-
 def dedup_ttl(df: DataFrame, keys: Sequence[str], us: str, tie: str, ttl_s: int) -> DataFrame:
     """A message is accepted if none of its key was, or the last accepted one is ``ttl_s`` whole seconds old. Duplicates
     refresh nothing; ``ttl_s`` 0 accepts everything. Null keys are a key; messages without a time have no place and go."""
     df = df.where(F.col(us).isNotNull())
     if ttl_s <= 0:
         return df
-    rows = _sessions(df, keys, [us, tie], F.floor(F.col(us) / 1_000_000).cast("long"), ttl_s)
-    return _marked(rows, ttl_s).where("__mark").select(*df.columns)
+    return marked(df, keys, [us, tie], F.floor(F.col(us) / 1_000_000).cast("long"), ttl_s, mark="__accepted", group="__grp").where("__accepted").select(*df.columns)
 
 
 def weak_join_groups(df: DataFrame, key: str, us: str, tie: str, count: int, timeout_us: int | None = None) -> DataFrame:
@@ -112,9 +38,8 @@ def weak_join_groups(df: DataFrame, key: str, us: str, tie: str, count: int, tim
     passed since the group's first one."""
     if timeout_us is None:
         return numbered(df, [key], [us, tie], "grp").withColumn("grp", F.floor((F.col("grp") - 1) / count).cast("long"))
-    rows = _marked(_sessions(df, [key], [us, tie], F.col(us), timeout_us), timeout_us, count)
-    rows = running_sum(rows.withColumn("__mark", F.col("__mark").cast("long")), [key], [us, tie], "__mark", "grp")
-    return rows.select(*df.columns, (F.col("grp") - 1).cast("long").alias("grp"))
+    clock = F.coalesce(F.col(us), F.lit(-(1 << 62)))  # messages without a time come first, as one moment
+    return marked(df, [key], [us, tie], clock, max(1, timeout_us), count, mark="__opens").drop("__opens")
 
 
 def weak_join(df: DataFrame, key: str, us: str, tie: str, payload: str, count: int, timeout_us: int | None = None, on_end: str = "flush", carry: Sequence[str] = ()) -> DataFrame:

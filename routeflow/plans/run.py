@@ -34,7 +34,7 @@ class Failed(RuntimeError):
 
 def _placed(df: DataFrame) -> DataFrame:
     """Messages of a topic with the time at which they came in and their place among all."""
-    return df.select("message_id", "payload", "metadata", F.unix_micros("stored_at").alias("arr_us"), F.struct("offset").alias(build.PLACE))
+    return df.select("message_id", "payload", "metadata", F.unix_micros("stored_at").alias("arr_us"), F.col("offset").alias(build.PLACE))
 
 
 def read(spark: SparkSession, e: Endpoint, route: str, root: str | None = None) -> DataFrame:
@@ -135,7 +135,7 @@ class Ledger:
         if source["kind"] == "log":
             topics.acknowledge(self.root, source["topic"], source["subscriber"], source["last"])
         elif source["last"] >= source["first"]:
-            topics.taken(self.spark, self.root, source["topic"], source["first"], source["last"], batch)
+            topics.taken(self.root, source["topic"], source["first"], source["last"], batch)
 
     def _close(self, batch: str, done: bool) -> None:
         def change(state: dict) -> dict | None:
@@ -157,7 +157,7 @@ class Ledger:
 
 
 def _at(rows: DataFrame):
-    return F.to_json(build.PLACE) if build.PLACE in rows.columns else F.lit("")
+    return F.to_json(F.struct(build.PLACE)) if build.PLACE in rows.columns else F.lit("")
 
 
 def _order(rows: DataFrame) -> list[str]:

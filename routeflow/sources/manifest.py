@@ -53,6 +53,13 @@ def put_once(store: fs.FileSystem, path: str, data: bytes) -> bool:
             store.delete_file(made)
 
 
+def delete(uri: str) -> None:
+    """Deletes a folder, if it is there."""
+    store, path = open_store(uri)
+    if store.get_file_info(path).type == fs.FileType.Directory:
+        store.delete_dir(path)
+
+
 class Manifest:
     def __init__(self, uri: str):
         self.store, self.path = open_store(uri)

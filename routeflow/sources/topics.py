@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from routeflow.functions.messages import MESSAGE
-from routeflow.functions.shared import remove, table
+from routeflow.functions.shared import table
 from routeflow.operators.event_log import AGE_S, SILENT_S
-from routeflow.sources.manifest import Manifest, State
+from routeflow.sources.manifest import Manifest, State, delete
 
 _COLUMNS = [f.name for f in MESSAGE.fields]
 #: A segment's columns: a message, its partition, and its place there in the lower bits of ``at``.
@@ -139,11 +139,11 @@ def _without_prefix(state: State, base: int) -> State:
     return state
 
 
-def _delete_segments(spark: SparkSession, root: str, topic: str, before: State, after: State) -> None:
+def _delete_segments(root: str, topic: str, before: State, after: State) -> None:
     stays = {s["id"] for s in after["segments"]}
     for s in before["segments"]:
         if s["id"] not in stays:
-            remove(spark, segment_path(root, topic, s["id"]))
+            delete(segment_path(root, topic, s["id"]))
 
 
 def window(root: str, topic: str, limit: int | None = None) -> tuple[int, int]:
@@ -153,7 +153,7 @@ def window(root: str, topic: str, limit: int | None = None) -> tuple[int, int]:
     return first, end if limit is None else min(end, first + limit - 1)
 
 
-def taken(spark: SparkSession, root: str, topic: str, first: int, last: int, commit: str, rejected: State | None = None) -> None:
+def taken(root: str, topic: str, first: int, last: int, commit: str, rejected: State | None = None) -> None:
     """Takes offsets ``first`` to ``last`` from a queue's head, and puts a staged segment of rejected messages at its tail. A commit of
     the same name is made once; if someone else has taken them, it is an error."""
     now, before = int(time.time() * 1000), {}
@@ -170,7 +170,7 @@ def taken(spark: SparkSession, root: str, topic: str, first: int, last: int, com
         return state if rejected is None else _attached(state, rejected, now)
 
     after = manifest(root, topic).update(change)
-    _delete_segments(spark, root, topic, before, after)
+    _delete_segments(root, topic, before, after)
 
 
 def drained(spark: SparkSession, root: str, topic: str, limit: int | None = None) -> tuple[DataFrame, Callable[..., None]]:
@@ -182,7 +182,7 @@ def drained(spark: SparkSession, root: str, topic: str, limit: int | None = None
     def done(rejected: DataFrame | None = None) -> None:
         if last >= first:
             back = None if rejected is None else stage(rejected, root, topic, ["offset"] if "offset" in rejected.columns else ["message_id"])
-            taken(spark, root, topic, first, last, uuid.uuid4().hex, back)
+            taken(root, topic, first, last, uuid.uuid4().hex, back)
 
     return rows, done
 
@@ -280,5 +280,5 @@ def collect_garbage(
     after = manifest(root, topic).update(change)
     if on_drop is not None:
         on_drop(gone)
-    _delete_segments(spark, root, topic, before, after)
+    _delete_segments(root, topic, before, after)
     return base - before["base"]

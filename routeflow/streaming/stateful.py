@@ -1,72 +1,158 @@
-"""Deduplication and the weak join on streams; batch and stream mean the same.
+"""Deduplication, the weak join and replies on streams; batch and stream mean the same.
 
-State is per key and ends by event time: once the watermark has passed, a key's memory or open group goes, also if nothing
-more arrives for it. Messages later than the watermark are dropped, so that no expired state is missed.
+State is per key, kept by RocksDB with the checkpoint, and ends by event time: once the watermark has passed, a timer clears a
+key's memory, or emits its open group, also if nothing more arrives for it. Messages later than the watermark are dropped,
+so that no expired state is missed. A batch that fails changes no state, so a message that is read again isn't taken for its
+own duplicate.
+
+A key's messages of one micro-batch are sorted in one task; what a micro-batch holds is bounded by its source's limit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from routeflow.operators.stateful import Marks
 
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def _timed(df: DataFrame, us: str, late: str) -> DataFrame:
     return df.withColumn("__ts", F.timestamp_micros(us)).withWatermark("__ts", late)
 
 
-def dedup_ttl(df: DataFrame, key: str, us: str, tie: str, ttl_s: int, late: str = "0 seconds") -> DataFrame:
+def _with_state(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
+    spark: SparkSession = rows.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    return rows.groupBy(key).transformWithStateInPandas(processor, schema, "append", "EventTime")
+
+
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+class _Dedup(StatefulProcessor):
     """State: the second at which the key's last message was accepted, until the TTL is over."""
-    columns = df.columns
 
-    def step(_, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(parts).sort_values([us, tie])
-        marks = Marks(ttl_s)
-        if state.exists:
-            marks.session, marks.last = 0, state.get[0]
-        seconds = rows[us].to_numpy() // 1_000_000
-        keep = marks.of(seconds * 0, seconds) if ttl_s > 0 else seconds == seconds
-        state.update((marks.last,))
-        state.setTimeoutTimestamp(max((marks.last + ttl_s) * 1000, state.getCurrentWatermarkMs() + 1))
-        yield rows[keep][columns]
+    def __init__(self, us: str, tie: str, ttl_s: int, columns: list[str]):
+        self.us, self.tie, self.ttl_s, self.columns = us, tie, ttl_s, columns
 
-    return _timed(df, us, late).groupBy(key).applyInPandasWithState(step, df.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "second long")
 
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        rows = _sorted(rows, self.us, self.tie)
+        seconds, marks = rows[self.us].to_numpy() // 1_000_000, Marks(self.ttl_s)
+        if self.last.exists():
+            marks.session, marks.last = 0, self.last.get()[0]
+        keep = marks.of(seconds * 0, seconds)
+        if keep.any():
+            self.last.update((int(marks.last),))
+            self.handle.registerTimer((int(marks.last) + self.ttl_s) * 1000)
+        yield rows[keep][self.columns]
 
-def weak_join(df: DataFrame, key: str, us: str, tie: str, payload: str, count: int, timeout_us: int, late: str = "0 seconds") -> DataFrame:
-    """State: the open group's payloads and its first time. Emits (key, size, payload array) when a group is full, or
-    overdue at a later arrival or as the watermark passes."""
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.last.exists() and (self.last.get()[0] + self.ttl_s) * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+            self.last.clear()  # else a later message has been accepted
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _sorted(rows: Iterator[pd.DataFrame], us: str, tie: str) -> pd.DataFrame:
+    return pd.concat(rows).sort_values([us, tie], kind="stable", ignore_index=True)
+
+
+def dedup_ttl(df: DataFrame, key: str, us: str, tie: str, ttl_s: int, late: str = "0 seconds") -> DataFrame:
+    """A message is accepted if none of its key was, or the last accepted one is ``ttl_s`` whole seconds old."""
+    if ttl_s <= 0:
+        return df
+    columns = [c for c in df.columns if c != key]
+    out = _with_state(_timed(df, us, late), key, _Dedup(us, tie, ttl_s, df.columns), _schema(df))
+    return out.select(key, *columns).select(*df.columns)
 
-    def step(k, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, start = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+
+class _Join(StatefulProcessor):
+    """State: the open group's messages, a list that only grows at its end, and the time of its first one and their number."""
+
+    def __init__(self, key: str, us: str, tie: str, columns: list[str], kinds: str, count: int, timeout_us: int):
+        self.key, self.us, self.tie, self.columns, self.kinds, self.count, self.timeout_us = key, us, tie, columns, kinds, count, timeout_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held, self.open = handle.getListState("held", self.kinds), handle.getValueState("open", "start long, n int")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        rows = _sorted(rows, self.us, self.tie)
+        times, marks = rows[self.us].to_numpy(), Marks(self.timeout_us, self.count)
+        start, n = self.open.get() if self.open.exists() else (0, 0)
+        if n:
+            marks.session, marks.last, marks.since = 0, start, n
+        first = marks.of(times * 0, times)
+        cuts = [0, *np.flatnonzero(first).tolist(), len(rows)]
         out = []
-        if state.hasTimedOut:
-            out.append((k[0], len(held), held))
-            held = []
-        else:
-            for t, p in pd.concat(parts).sort_values([us, tie])[[us, payload]].itertuples(index=False):
-                if held and t >= start + timeout_us:
-                    out.append((k[0], len(held), held))
-                    held = []
-                start = start if held else int(t)
-                held = [*held, p]
-                if len(held) >= count:
-                    out.append((k[0], len(held), held))
-                    held = []
-        if held:
-            state.update((held, start))
-            state.setTimeoutTimestamp(max((start + timeout_us) // 1000, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=[key, "size", "payloads"])
-
-    kind = df.schema[key].dataType.simpleString()
-    return _timed(df, us, late).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, size int, payloads array<string>", "held array<string>, start long", "append", GroupStateTimeout.EventTimeTimeout)
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            part = [tuple(x) for x in rows.iloc[a:b][self.columns].itertuples(index=False)]
+            if a < len(rows) and first[a] and n:  # what was open is overdue or full
+                out.append(self._group(key))
+                n = 0
+            if not part:
+                continue
+            start = int(times[a]) if not n else start
+            n += len(part)
+            self.held.appendList(part)
+            if n >= self.count:
+                out.append(self._group(key))
+                n = 0
+        if n:
+            self.open.update((start, n))
+            self.handle.registerTimer(-(-(start + self.timeout_us) // 1000))
+        elif self.open.exists():
+            self.open.clear()
+        yield pd.DataFrame(out, columns=[self.key, "size", "held"])
+
+    def _group(self, key) -> tuple:
+        found = [tuple(x) for x in self.held.get()]
+        self.held.clear()
+        return key[0], len(found), found
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if self.open.exists() and -(-(self.open.get()[0] + self.timeout_us) // 1000) <= expiredTimerInfo.getExpiryTimeInMs():
+            out = [self._group(key)]
+            self.open.clear()
+            yield pd.DataFrame(out, columns=[self.key, "size", "held"])
+
+    def close(self) -> None:
+        pass
+
+
+def grouped(df: DataFrame, key: str, us: str, tie: str, columns: list[str], count: int, timeout_us: int, late: str = "0 seconds") -> DataFrame:
+    """(key, size, held: the group's messages with ``columns``, in order). A group is emitted when it is full, or overdue at a later
+    arrival or as the watermark passes."""
+    fields = [df.schema[c] for c in columns]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    out = f"`{key}` {df.schema[key].dataType.simpleString()}, size int, held array<struct<{', '.join(f'`{f.name}`: {f.dataType.simpleString()}' for f in fields)}>>"
+    return _with_state(_timed(df, us, late), key, _Join(key, us, tie, columns, kinds, count, timeout_us), out)
+
+
+def weak_join(df: DataFrame, key: str, us: str, tie: str, payload: str, count: int, timeout_us: int, late: str = "0 seconds") -> DataFrame:
+    """(key, size, payload array) of each group; see :func:`grouped`."""
+    out = grouped(df.select(key, us, tie, payload), key, us, tie, [payload], count, timeout_us, late)
+    return out.select(key, "size", F.transform("held", lambda x: x[payload]).alias("payloads"))
+
+
+def replies(requests: DataFrame, answers: DataFrame, key: str, asked: str, answered: str, timeout_us: int, late: str = "0 seconds") -> DataFrame:
+    """Each request with the answers of its key within ``timeout_us``, as they arrive, or alone with nulls once the watermark shows
+    that none will; times are microseconds. A stream-stream outer join, whose state ends with the timeout."""
+    asks = requests.withColumn("__asked", F.timestamp_micros(asked)).withWatermark("__asked", late)
+    gives = answers.withColumnRenamed(key, "__of").withColumn("__answered", F.timestamp_micros(answered)).withWatermark("__answered", late)
+    span = F.expr(f"interval {int(timeout_us)} microseconds")
+    on = (F.col(key) == F.col("__of")) & (F.col("__answered") >= F.col("__asked")) & (F.col("__answered") <= F.col("__asked") + span)
+    return asks.join(gives, on, "leftOuter").withColumn("timed_out", F.col("__of").isNull()).drop("__asked", "__answered", "__of")

@@ -88,7 +88,7 @@ def test_commits_can_be_made_again(spark, tmp_path):
         topics.attach(root, "q", segment)
     assert topics.queued(spark, root, "q").count() == 4
     for _ in range(3):
-        topics.taken(spark, root, "q", 1, 3, "mine")
+        topics.taken(root, "q", 1, 3, "mine")
     assert _read(topics.queued(spark, root, "q")) == [(4, "p3")]
     topics.attach(root, "q", segment)
     assert topics.window(root, "q") == (4, 4)
@@ -235,7 +235,7 @@ def test_two_runs_on_one_batch(spark, tmp_path, monkeypatch):
 
     def slow(*a):
         out = stage(*a)
-        topics.taken(spark, root, "in", 1, 2, "other")
+        topics.taken(root, "in", 1, 2, "other")
         return out
 
     with monkeypatch.context() as patch:
