@@ -272,6 +272,23 @@ def nack_requeue_order(m, spark, sf_dir):
     return numbered(queue, ["kind"], ["turn", "place"], "pos").select("event_id", "kind", "turn", "pos")
 
 
+@register("""
+WITH --recursive
+a AS (SELECT grp, arr_us FROM m WHERE kind = 'purchase'),
+q AS (SELECT s.event_id, s.grp, s.arr_us, min(a.arr_us) AS answer FROM m s LEFT JOIN a ON a.grp = s.grp AND a.arr_us >= s.arr_us WHERE kind = 'view' GROUP BY ALL),
+o AS (SELECT *, least(coalesce(answer, arr_us + 21600000000), arr_us + 21600000000) AS until, row_number() OVER (PARTITION BY grp ORDER BY arr_us, event_id) AS rn FROM q),
+f AS (SELECT event_id, grp, rn, arr_us, answer, until AS busy, true AS waits FROM o WHERE rn = 1
+      UNION ALL SELECT o.event_id, o.grp, o.rn, o.arr_us, o.answer, CASE WHEN o.arr_us > f.busy THEN o.until ELSE f.busy END, o.arr_us > f.busy FROM f JOIN o ON o.grp = f.grp AND o.rn = f.rn + 1)
+SELECT event_id, CASE WHEN NOT waits THEN 'duplicate' WHEN answer <= arr_us + 21600000000 THEN 'answered' ELSE 'timed_out' END AS outcome,
+       CASE WHEN waits AND answer <= arr_us + 21600000000 THEN answer ELSE -1 END::BIGINT AS answered FROM f
+""")
+def exchanges_one_to_one(m, spark, sf_dir):
+    asks = m.where(F.col("kind") == "view").select("event_id", "grp", "arr_us")
+    gives = m.where(F.col("kind") == "purchase").select("grp", F.col("arr_us").alias("answered"))
+    out = delivery.exchanged(asks, gives, "grp", "arr_us", "answered", 6 * HOUR_US, "event_id")
+    return out.select("event_id", "outcome", F.coalesce("answered", F.lit(-1)).cast("long").alias("answered"))
+
+
 @register("""
 WITH a AS (SELECT grp, arr_us, event_id FROM m WHERE kind = 'purchase'), q AS (SELECT grp, arr_us, event_id FROM m WHERE kind = 'signup'),
 j AS (SELECT q.event_id, min(a.arr_us) AS t FROM q LEFT JOIN a ON a.grp = q.grp AND a.arr_us >= q.arr_us AND a.arr_us <= q.arr_us + 86400000000 GROUP BY 1)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from routeflow.functions.messages import ACK, NONRETRYABLE, RETRYABLE
-from routeflow.operators.numbering import numbered, running_sum
+from routeflow.operators.marking import marked
+from routeflow.operators.numbering import following, numbered, running_sum
 
 
 def batched(df: DataFrame, size: int, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -115,29 +116,45 @@ def requeue(batch: DataFrame, nack: Column, queue: DataFrame, order: str) -> Dat
     return queue.withColumns({"turn": F.lit(0), "place": F.col(order)}).unionByName(batch.where(nack).withColumns({"turn": F.lit(1), "place": F.col(order)}))
 
 
+def _first_answers(requests: DataFrame, answers: DataFrame, key: str, asked: str, answered: str) -> DataFrame:
+    """(__key, __at, q, n): each request as a struct with the first answer of its key from its time on, all in the order of the key."""
+    theirs = [c for c in answers.columns if c != key]
+    kind = answers.select(F.struct(*theirs).alias("a")).schema["a"].dataType
+    asks = requests.select(F.col(key).alias("__key"), F.col(asked).alias("__when"), F.lit(0).alias("__side"), F.struct(*requests.columns).alias("q"), F.lit(None).cast(kind).alias("a"))
+    gives = answers.select(F.col(key).alias("__key"), F.col(answered).alias("__when"), F.lit(1).alias("__side"), F.lit(None).cast(asks.schema["q"].dataType).alias("q"), F.struct(*theirs).alias("a"))
+    # no answer belongs to a null key; an answer at a request's very time counts; equal answers tie by their hash
+    known = asks.where(F.col("__key").isNotNull()).unionAll(gives.where(F.col("__key").isNotNull())).withColumn("__tie", F.xxhash64("a"))
+    found = following(known.withColumnRenamed("__when", "__time"), ["__key"], ["__time", "__side", "__tie"], "a", "n")
+    found = found.where(F.col("__side") == 0).select("__key", F.col("__time").alias("__when"), "q", "n")
+    return found.unionAll(asks.where(F.col("__key").isNull()).select("__key", "__when", "q", F.lit(None).cast(kind).alias("n")))
+
+
 def replies(requests: DataFrame, answers: DataFrame, key: str, asked: str, answered: str, timeout: int) -> DataFrame:
     """Each request with its first answer of the same correlation within ``timeout``: the request's columns, the answer's
-    but for the key (null where none came), and ``timed_out``. One ordered pass instead of a range join."""
+    but for the key (null where none came), and ``timed_out``. One ordered pass instead of a range join; an answer may serve several."""
     theirs = [c for c in answers.columns if c != key]
-    kind = answers.select(F.struct(*theirs).alias("a")).schema["a"].dataType
-    own = requests.schema.fields
-    asks = requests.select(F.col(key).alias("__key"), F.col(asked).alias("__at"), F.lit(1).alias("__side"), F.struct(*[F.col(f.name) for f in own]).alias("q"), F.lit(None).cast(kind).alias("a"))
-    gives = answers.select(F.col(key).alias("__key"), F.col(answered).alias("__at"), F.lit(0).alias("__side"), F.lit(None).cast(asks.schema["q"].dataType).alias("q"), F.struct(*theirs).alias("a"))
-    # from the last to the first: an answer at a request's very time counts, so it comes before; equal answers tie by their hash
-    # no answer belongs to a null key, so these are dealt by their hash
-    ahead = Window.partitionBy("__key", F.when(F.col("__key").isNull(), F.xxhash64("q", "a"))).orderBy(F.desc("__at"), "__side", F.xxhash64("a")).rowsBetween(Window.unboundedPreceding, 0)
-    found = asks.unionAll(gives).withColumn("n", F.last("a", ignorenulls=True).over(ahead)).where(F.col("__side") == 1)
-    fine = F.coalesce(F.col("__key").isNotNull() & (F.col(f"n.{answered}") <= F.col("__at") + timeout), F.lit(False))
-    return found.select("q.*", *[F.when(fine, F.col(f"n.{c}")).alias(c) for c in theirs], (~fine).alias("timed_out"))
+    fine = F.coalesce(F.col(f"n.{answered}") <= F.col("__when") + timeout, F.lit(False))
+    return _first_answers(requests, answers, key, asked, answered).select("q.*", *[F.when(fine, F.col(f"n.{c}")).alias(c) for c in theirs], (~fine).alias("timed_out"))
 
 
-def counters(df: DataFrame, route: str, ok: Column) -> DataFrame:
-    """Processed and failed messages of each route."""
-    return df.groupBy(route).agg(F.sum(ok.cast("long")).alias("processed"), F.sum((~ok).cast("long")).alias("failed"))
+#: Outcomes of a request.
+ANSWERED, TIMED_OUT, DUPLICATE = "answered", "timed_out", "duplicate"
 
 
-def delayed(df: DataFrame, us: str, ms: int) -> DataFrame:
-    return df.withColumn("emit_us", F.col(us) + ms * 1000)
+def exchanged(requests: DataFrame, answers: DataFrame, key: str, asked: str, answered: str, timeout: int, tie: str) -> DataFrame:
+    """Requests and answers one to one: of a correlation one request waits at a time, until its first answer or for ``timeout``. A
+    request that comes while another waits is a duplicate and waits for nothing; an answer serves the request that waits, or none.
+    The request's columns, the answer's but for the key, and ``outcome``. Requests of one time come in the order of ``tie``, all of
+    them before answers of that time; times are integers. Requests without a correlation time out."""
+    theirs = [c for c in answers.columns if c != key]
+    found = _first_answers(requests, answers, key, asked, answered)
+    end = F.least(F.coalesce(F.col(f"n.{answered}"), F.col("__when") + timeout), F.col("__when") + timeout)
+    rows = found.withColumns({"__tie": F.col(f"q.{tie}"), "__until": end.cast("long") + 1})
+    waits = marked(rows.where(F.col("__key").isNotNull()), ["__key"], ["__when", "__tie"], F.col("__when").cast("long"), timeout + 1, mark="__waits", group="__turn", reach=F.col("__until"))
+    alone = rows.where(F.col("__key").isNull()).withColumns({"__waits": F.lit(True), "__turn": F.lit(0).cast("long")})
+    fine = F.col("__waits") & F.coalesce(F.col(f"n.{answered}") <= F.col("__when") + timeout, F.lit(False))
+    outcome = F.when(fine, ANSWERED).when(F.col("__waits"), TIMED_OUT).otherwise(DUPLICATE)
+    return waits.unionByName(alone).select("q.*", *[F.when(fine, F.col(f"n.{c}")).alias(c) for c in theirs], outcome.alias("outcome"))
 
 
 def faulty(id_: Column, per_mille: int) -> Column:

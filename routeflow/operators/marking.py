@@ -1,5 +1,6 @@
 """Marks along each key's order: a key's first row, and then each row that lies ``step`` or more behind the last mark on the key's
-clock, or has ``most`` rows since it. A key of any length spreads, also one that never pauses.
+clock (or as far as the marked row itself says), or has ``most`` rows since it. A key of any length spreads, also one that never
+pauses.
 
 Which row is marked next depends on the last mark alone. Rows are range-partitioned by (key, order), sorted and written once.
 In a partition that a key enters from before, only rows of its first step can be the first marks there; for each of these
@@ -41,16 +42,22 @@ class Marks:
     """Marks rows, run by run. Batches come one after another; a run may go on from one to the next."""
 
     def __init__(self, step: int, most: int | None = None):
-        self.step, self.most, self.session, self.last, self.since = step, most, None, 0, 0
+        self.step, self.most, self.session, self.last, self.until, self.since = step, most, None, 0, 0, 0
 
-    def of(self, sessions: np.ndarray, values: np.ndarray) -> np.ndarray:
+    def resume(self, session: int, last: int, since: int = 0) -> None:
+        """Goes on in a run whose last mark was at ``last``, ``since`` rows ago."""
+        self.session, self.last, self.until, self.since = session, last, last + self.step, since
+
+    def of(self, sessions: np.ndarray, values: np.ndarray, reach: np.ndarray | None = None) -> np.ndarray:
+        """``reach``: for each row the value from which on the next mark may come, if it is one; else ``step`` more than its own."""
         n, marks = len(sessions), np.zeros(len(sessions), bool)
         if not n:
             return marks
+        reach = values + self.step if reach is None else reach
         starts = np.flatnonzero(np.append(True, sessions[1:] != sessions[:-1]))
         ends, at = np.append(starts[1:], n), starts.copy()
         if sessions[0] == self.session:  # goes on
-            first = int(np.searchsorted(values[: ends[0]], self.last + self.step))
+            first = int(np.searchsorted(values[: ends[0]], self.until))
             at[0] = first if self.most is None else min(first, self.most - self.since)
         while True:
             open_ = at < ends
@@ -58,22 +65,22 @@ class Marks:
             if not len(at):
                 break
             marks[at] = True
-            there = reached(values, at, ends, values[at] + self.step)
+            there = reached(values, at, ends, reach[at])
             at = there if self.most is None else np.minimum(there, at + self.most)
         mine = np.flatnonzero(marks[starts[-1] :]) + starts[-1]
         goes_on = sessions[-1] == self.session
         if len(mine):
-            self.last, self.since = int(values[mine[-1]]), n - int(mine[-1])
+            self.last, self.until, self.since = int(values[mine[-1]]), int(reach[mine[-1]]), n - int(mine[-1])
         elif goes_on:
             self.since += n - int(starts[-1])
         self.session = sessions[-1]
         return marks
 
 
-def chained(clock: np.ndarray, step: int, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+def chained(clock: np.ndarray, reach: np.ndarray, most: int | None) -> tuple[np.ndarray, np.ndarray]:
     """For each row of a run, were it marked: the run's last mark then, and how many marks there are from the row on."""
     at = np.arange(len(clock))
-    after = np.maximum(np.searchsorted(clock, clock + step), at + 1)
+    after = np.maximum(np.searchsorted(clock, reach), at + 1)
     if most is not None:
         after = np.minimum(after, at + most)
     last, marks = np.where(after < len(clock), after, at), (after < len(clock)).astype(np.int64)
@@ -132,17 +139,17 @@ def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str,
         yield whole()
 
 
-_EXITS = "part int, node long, start boolean, clock long, after long, marks long"
+_EXITS = "part int, node long, start boolean, reach long, after long, marks long"
 
 
 def _exits(parts: dict[int, Part], step: int, most: int | None) -> Arrow:
-    """For each row that may be a part's first mark of a key: the last mark it leads to here, by clock and by how many rows follow
+    """For each row that may be a part's first mark of a key: the last mark it leads to here, by its reach and by how many rows follow
     it, if the key goes on in the next part. And a row (node -1) about the run at the part's beginning: last clock and length."""
     names = [x.split()[0] for x in _EXITS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, x in _by_part(batches):
-            clock, at, p = x["__clock"], x["__at"], parts[part]
+            clock, reach, at, p = x["__clock"], x["__reach"], x["__at"], parts[part]
             fresh = np.flatnonzero(x["__fresh"][1:]) + 1
             end, last = int(fresh[0]) if len(fresh) else len(clock), int(fresh[-1]) if len(fresh) else 0
             out = [([part], [-1], [False], [clock[end - 1]], [end], [0])]
@@ -153,9 +160,9 @@ def _exits(parts: dict[int, Part], step: int, most: int | None) -> Arrow:
             elif p.goes_on:
                 found.append((last, last + 1, True))
             for a, b, start in found:
-                mark, marks = chained(clock[a:], step, most)
+                mark, marks = chained(clock[a:], reach[a:], most)
                 mark, marks = mark[: b - a] + a, marks[: b - a]
-                out.append(([part] * (b - a), at[a:b], [start] * (b - a), clock[mark], len(clock) - 1 - mark, marks))
+                out.append(([part] * (b - a), at[a:b], [start] * (b - a), reach[mark], len(clock) - 1 - mark, marks))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]), t) for k, t in enumerate((pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()))], names=names)
 
     return run
@@ -170,19 +177,19 @@ class _Runs(NamedTuple):
     chain_end: np.ndarray  # after the last part that the key at a part's end reaches
 
 
-def _located(runs: _Runs, step: int, most: int | None) -> Arrow:
+def _located(runs: _Runs, most: int | None) -> Arrow:
     """The part that holds the next mark, with the clock and the place there that it doesn't come before both of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part, node, start, clock, after, marks = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            part, node, start, reach, after, _ = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             for p in np.unique(part):
                 mine = part == p
                 k = int(np.searchsorted(runs.parts, p))
                 a, b = k + 1, int(runs.chain_end[k])
                 if a >= b:
                     continue
-                target = clock[mine] + step
+                target = reach[mine]
                 by_clock = np.searchsorted(runs.clock[a:b], target)
                 before = np.concatenate([[0], np.cumsum(runs.length[a:b])])
                 rest = np.full(mine.sum(), before[-1]) if most is None else most - after[mine] - 1
@@ -191,7 +198,7 @@ def _located(runs: _Runs, step: int, most: int | None) -> Arrow:
                 known = there < b - a
                 there = np.minimum(there, b - a - 1)
                 place = np.minimum(rest - before[there], runs.length[a:b][there])
-                yield pa.RecordBatch.from_arrays([pa.array(x[known], t) for x, t in ((runs.parts[a:b][there], pa.int32()), (target, pa.int64()), (place, pa.int64()), (node[mine], pa.int64()), (start[mine], pa.bool_()), (marks[mine], pa.int64()))], names=["__part", "__clock", "place", "node", "start", "marks"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[known], t) for x, t in ((runs.parts[a:b][there], pa.int32()), (target, pa.int64()), (place, pa.int64()), (node[mine], pa.int64()), (start[mine], pa.bool_()))], names=["__part", "__clock", "place", "node", "start"])
 
     return run
 
@@ -210,16 +217,16 @@ def _entries(placed: DataFrame, keys: Sequence[str], parts: list[Part], step: in
     spark, by = placed.sparkSession, {p.part: p for p in parts}
     chain = [p.part for p in parts if p.continues or p.goes_on]
     rows = placed.join(F.broadcast(spark.createDataFrame([(p,) for p in chain], "__part int")), "__part", "left_semi")  # a row for each task
-    narrow = _narrow(rows.select("__part", "__at", "__clock", *keys), keys).select("__part", "__at", "__clock", "__fresh")
+    narrow = _narrow(rows.select("__part", "__at", "__clock", "__reach", *keys), keys).select("__part", "__at", "__clock", "__reach", "__fresh")
     exits = table(narrow.mapInArrow(_exits(by, step, most), _EXITS), "mark-exits")
-    facts = sorted((r["part"], r["after"], r["clock"]) for r in exits.where("node = -1").collect())
+    facts = sorted((r["part"], r["after"], r["reach"]) for r in exits.where("node = -1").collect())
     through = [by[p].goes_on and length == by[p].rows for p, length, _ in facts]  # the key that comes in goes on behind the part
     ends = [k + 1 for k in range(len(facts))]
     for k in range(len(facts) - 2, -1, -1):
         if by[facts[k][0]].goes_on:
             ends[k] = ends[k + 1] if through[k + 1] else k + 2
     runs = _Runs(np.array([f[0] for f in facts]), np.array([f[1] for f in facts]), np.array([f[2] for f in facts]), np.array(ends))
-    asked = exits.where("node >= 0").mapInArrow(_located(runs, step, most), "__part int, __clock long, place long, node long, start boolean, marks long")
+    asked = exits.where("node >= 0").mapInArrow(_located(runs, most), "__part int, __clock long, place long, node long, start boolean")
     own = rows.select("__part", F.lit(0).alias("kind"), "__at", "__clock", *[F.lit(0).cast("long").alias(c) for c in ("place", "node")], F.lit(False).alias("start"))
     both = own.unionByName(asked.select("__part", F.lit(1).alias("kind"), F.col("node").alias("__at"), "__clock", "place", "node", "start"))
     both = both.repartition("__part").sortWithinPartitions("__part", "kind", "__at")
@@ -253,6 +260,7 @@ def _mark(parts: dict[int, Part], entry: dict[int, int], earlier: dict[int, int]
             if not n:
                 continue
             of, place, clock = batch.column(at["__part"]).to_numpy(), batch.column(at["__at"]).to_numpy() & _PLACE, batch.column(at["__clock"]).to_numpy()
+            reach = batch.column(at["__reach"]).to_numpy()
             fresh = batch.column(at["__fresh"]).to_numpy(zero_copy_only=False).copy()
             enters = np.append(of[0] != part, of[1:] != of[:-1])
             fresh |= enters
@@ -264,7 +272,7 @@ def _mark(parts: dict[int, Part], entry: dict[int, int], earlier: dict[int, int]
                 first = np.array([entry.get(int(p), _PLACE) for p in of[waits]]) if len(np.unique(of[waits])) > 1 else entry.get(int(of[waits][0]), _PLACE)
                 waits[waits] = place[waits] < first
             marks = np.zeros(n, bool)
-            marks[~waits] = fold.of((number + own)[~waits], clock[~waits])
+            marks[~waits] = fold.of((number + own)[~waits], clock[~waits], reach[~waits])
             seen = np.cumsum(marks)
             before = np.array([-count, *(int(seen[i] - marks[i]) - (earlier.get(int(of[i]), 0) if c else 0) for i, c in zip(begins, continues[1:], strict=True))])
             groups = seen - before[own]
@@ -274,16 +282,18 @@ def _mark(parts: dict[int, Part], entry: dict[int, int], earlier: dict[int, int]
     return run
 
 
-def marked(df: DataFrame, keys: Sequence[str], order: Sequence[str], clock: Column, step: int, most: int | None = None, mark: str = "mark", group: str = "grp") -> DataFrame:
+def marked(df: DataFrame, keys: Sequence[str], order: Sequence[str], clock: Column, step: int, most: int | None = None, mark: str = "mark", group: str = "grp", reach: Column | None = None) -> DataFrame:
     """Adds ``mark``, and ``grp``: how many marks of its key come before a row's last one. ``clock`` is a long that ascends along the
-    order, ``step`` is positive. Null keys are a key. Rows are written once, and move twice."""
-    placed = _placed(df.withColumn("__clock", clock), keys, order)
+    order, ``step`` is positive. With ``reach`` each row says how far on the clock the next mark is at least if it is one, which is
+    more than its own clock and ``step`` behind it at most. Null keys are a key. Rows are written once, and move twice."""
+    rows = df.withColumn("__clock", clock)
+    placed = _placed(rows.withColumn("__reach", F.col("__clock") + step if reach is None else reach), keys, order)
     parts = _parts(placed, keys)
     by = {p.part: p for p in parts}
     entry, earlier = _entries(placed, keys, parts, step, most) if any(p.continues for p in parts) else ({}, {})
     rows = _narrow(placed, keys)
     names = [*rows.columns, "__mark", "__grp"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + ["__mark boolean", "__grp long"])
-    at = {c: rows.columns.index(c) for c in ("__part", "__at", "__clock", "__fresh")}
+    at = {c: rows.columns.index(c) for c in ("__part", "__at", "__clock", "__reach", "__fresh")}
     out = rows.mapInArrow(_mark(by, entry, earlier, step, most, at, names), schema)
     return out.select(*[c for c in df.columns if c not in (mark, group)], F.col("__mark").alias(mark), F.col("__grp").alias(group))

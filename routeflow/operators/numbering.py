@@ -46,15 +46,20 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str], value: s
     return rows.select(*[c for c in df.columns if c != name], (F.sum(amount).over(here) + F.col("__earlier")).alias(name))
 
 
-def with_previous(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
-    """Adds ``name``: ``value`` of the row before in the key's order; null for a key's first row."""
+def following(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, name: str) -> DataFrame:
+    """Adds ``name``: the first ``value`` that isn't null, of this row or those behind it in the key's order."""
     placed = _placed(df, by, order)
-    here = Window.partitionBy(*by, "__part").orderBy("__at")
-    edges = placed.groupBy(*by, "__part").agg(F.max_by(value, "__at").alias("__end"))
-    before = Window.partitionBy(*by).orderBy("__part")
-    edges = edges.select(*[F.col(b).alias(f"__by{i}") for i, b in enumerate(by)], F.col("__part").alias("__in"), F.lag("__end").over(before).alias("__end"))
+    here = Window.partitionBy(*by, "__part").orderBy("__at").rowsBetween(0, Window.unboundedFollowing)
+    firsts = placed.where(F.col(value).isNotNull()).groupBy(*by, "__part").agg(F.min_by(value, "__at").alias("__first"))
+    runs = placed.select(*by, "__part").distinct()
+    same = runs["__part"] == firsts["__part"]
+    for b in by:
+        same &= runs[b].eqNullSafe(firsts[b])
+    runs = runs.join(firsts, same, "left").select(*[runs[b].alias(f"__by{i}") for i, b in enumerate(by)], runs["__part"].alias("__in"), "__first")
+    behind = Window.partitionBy(*[f"__by{i}" for i in range(len(by))]).orderBy("__in").rowsBetween(1, Window.unboundedFollowing)
+    runs = runs.withColumn("__later", F.first("__first", ignorenulls=True).over(behind)).drop("__first")
     same = F.col("__part") == F.col("__in")
     for i, b in enumerate(by):
         same &= F.col(b).eqNullSafe(F.col(f"__by{i}"))
-    rows = placed.join(edges, same).withColumn("__lag", F.lag(value).over(here)).withColumn("__place", F.row_number().over(here))
-    return rows.select(*[c for c in df.columns if c != name], F.when(F.col("__place") == 1, F.col("__end")).otherwise(F.col("__lag")).alias(name))
+    rows = placed.withColumn("__own", F.first(value, ignorenulls=True).over(here)).join(runs, same)
+    return rows.select(*[c for c in df.columns if c != name], F.coalesce("__own", "__later").alias(name))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,12 +61,6 @@ def dispatch(df: DataFrame, kind: Column, handlers: Mapping[str, tuple[Column, C
     return df.select("*", status.alias("status"), result.alias("result"), error.alias("error"))
 
 
-def apply_each(df: DataFrame, functions: Iterable[Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    for f in functions:
-        df = df.transform(f)
-    return df
-
-
 def check_policy(kinds: Iterable[str], allowed: Iterable[str]) -> None:
     """Raises for endpoint types outside the allow-list; core types always pass."""
     bad = sorted(set(kinds) - set(allowed) - set(CORE))

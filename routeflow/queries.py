@@ -352,12 +352,6 @@ def retry_schedule(m, spark, sf_dir):
     return m.select("event_id", n.cast("long").alias("failures"), F.array_join(delivery.retry_delays(n).cast("array<string>"), ",").alias("sleeps"))
 
 
-@register("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 1 ELSE least(event_id % 5 + 1, 3) END AS attempts, CASE WHEN event_id % 5 = 0 THEN 'primary' WHEN event_id % 7 = 0 THEN 'dlq' WHEN event_id % 5 < 3 THEN 'primary' ELSE 'dlq' END AS destination FROM m")
-def retry_then_dlq(m, spark, sf_dir):
-    used, status = delivery.retried(F.col("event_id") % 5, F.col("event_id") % 7 != 0, 3)
-    return m.select("event_id", used.cast("long").alias("attempts"), F.when(status == M.ACK, "primary").otherwise("dlq").alias("destination"))
-
-
 @register(f"""
 WITH b AS (SELECT event_id, event_id // 10 AS batch, {SQL_STATUS} AS status FROM m)
 SELECT event_id, CASE WHEN event_id > min(CASE WHEN status = 'retryable' THEN event_id END) OVER (PARTITION BY batch) THEN 'retryable' ELSE status END AS final FROM b
@@ -372,21 +366,11 @@ def batching_sizes(m, spark, sf_dir):
     return _batches(m.select("grp", "arr_us", "event_id"), 128).groupBy("grp", "batch").agg(F.count("*").alias("size"))
 
 
-@register(f"SELECT {SQL_ROUTE} AS route, (count(*) FILTER (WHERE event_id % 17 <> 0))::BIGINT AS processed, (count(*) FILTER (WHERE event_id % 17 = 0))::BIGINT AS failed FROM m GROUP BY 1")
-def metrics_counters(m, spark, sf_dir):
-    return delivery.counters(routing.switch(m, F.col("kind"), CASES, "rest"), "route", F.col("event_id") % 17 != 0)
-
-
 @register("SELECT event_id FROM m WHERE event_id % 1000 < 100")
 def fault_injection(m, spark, sf_dir):
     return m.where(delivery.faulty(F.col("event_id"), 100)).select("event_id")
 
 
-@register("SELECT event_id, arr_us + 100000 AS emit_us FROM m")
-def delay_shift(m, spark, sf_dir):
-    return delivery.delayed(m, "arr_us", 100).select("event_id", "emit_us")
-
-
 @register(SQL_BATCH.format(n=10) + " SELECT event_id, batch AS chunk FROM c")
 def sqs_chunks(m, spark, sf_dir):
     return _batches(m, 10).select("event_id", F.col("batch").alias("chunk"))

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from routeflow.broker_queries import _messages, number
 from routeflow.functions import messages as M
-from routeflow.functions.shared import folder
+from routeflow.functions.shared import folder, table
 from routeflow.plans import build, config, run
-from routeflow.queries import HOUR_US, SQL_WEAK, register
+from routeflow.queries import HOUR_US, SQL_ROUTE, SQL_WEAK, register
 from routeflow.sources import topics
+from routeflow.streaming import routes, runtime, stateful
 
 ARRIVAL = ["arr_us", "event_id"]
 SQL_ORDER = "o AS (SELECT *, row_number() OVER (ORDER BY arr_us, event_id)::BIGINT AS n FROM m)"
@@ -183,3 +184,115 @@ def route_subscriber(m, spark, sf_dir):
     run.run(spark, "r", r, root)
     rows = topics.queued(spark, root, "out")
     return rows.select(_event(rows), F.col("offset").alias("n"), F.when(F.col("offset") <= first, "first").otherwise("second").alias("read"))
+
+
+@register("SELECT event_id, arr_us + 100000 AS emit_us FROM m")
+def delay_shift(m, spark, sf_dir):
+    r = config.load("r: {input: {memory: {topic: i}}, output: {memory: {topic: o}, middlewares: [{delay: {delay_ms: 100}}]}}", {})["r"]
+    return build.plan(_messages(m), r).select("event_id", F.col("arr_us").alias("emit_us"))
+
+
+RETRIED = "r: {input: {memory: {topic: i}}, output: {memory: {topic: primary}, middlewares: [{retry: {max_attempts: 3}}, {dlq: {endpoint: {memory: {topic: dlq}}}}]}}"
+
+
+@register("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 1 ELSE least(event_id % 5 + 1, 3) END AS attempts, CASE WHEN event_id % 5 = 0 THEN 'primary' WHEN event_id % 7 = 0 THEN 'dlq' WHEN event_id % 5 < 3 THEN 'primary' ELSE 'dlq' END AS destination FROM m")
+def retry_then_dlq(m, spark, sf_dir):
+    """A handler that fails as often as the event's number says, for good at every 7th."""
+    fails = lambda df, n: df.withColumn("status", F.when(number() % 5 == 0, M.ACK).when(number() % 7 == 0, M.NONRETRYABLE).when(number() % 5 >= n, M.RETRYABLE).otherwise(M.ACK))
+    out = build.plan(_messages(m), config.load(RETRIED, {})["r"].with_handler(fails))
+    return out.select("event_id", F.col("attempts").cast("long").alias("attempts"), F.substring_index("sink", ":", -1).alias("destination"))
+
+
+METERED = """
+r:
+  input: {memory: {topic: in}}
+  output:
+    switch:
+      metadata_key: kind
+      cases: {purchase: {memory: {topic: orders}, middlewares: [metrics]}, error: {memory: {topic: alerts}, middlewares: [metrics]}}
+      default: {memory: {topic: rest}, middlewares: [metrics]}
+    middlewares: [{dlq: {endpoint: {memory: {topic: dead}}}}]
+"""
+
+
+@register(f"SELECT {SQL_ROUTE} AS route, (count(*) FILTER (WHERE event_id % 17 <> 0))::BIGINT AS processed, (count(*) FILTER (WHERE event_id % 17 = 0))::BIGINT AS failed FROM m GROUP BY 1")
+def metrics_counters(m, spark, sf_dir):
+    """What the metrics middleware of three sinks has counted once the route has run; their handlers reject every 17th event."""
+    root, metrics = _root(spark), {}
+    topics.publish(_messages(m), root, "in", order=ARRIVAL)
+    r = config.load(METERED, {})["r"]
+    rejects = lambda df: df.withColumn("status", F.when(_event(df) % 17 == 0, M.NONRETRYABLE).otherwise(M.ACK))
+    with_handler = lambda e: e.with_handler(rejects)
+    o = r.output.options
+    output = config.Endpoint("switch", {**o, "cases": {k: with_handler(e) for k, e in o["cases"].items()}, "default": with_handler(o["default"])}, r.output.middlewares)
+    run.run(spark, "r", config.Route(r.input, output), root, metrics)
+    rows = [(n.rpartition(":")[2], x.get["processed"], x.get["failed"]) for n, x in metrics.items()]
+    return spark.createDataFrame([r for r in rows if r[1] + r[2]], "route string, processed long, failed long")
+
+
+CUSTOM = "r: {input: {event_table: {}, middlewares: [{upper_case: {of: view}}]}, output: {switch: {metadata_key: kind, cases: {click: null}, default: {response: {}}}}}"
+
+
+@register("SELECT event_id, CASE WHEN kind = 'view' THEN upper(payload) ELSE payload END AS body FROM m WHERE kind <> 'click'")
+def route_custom_parts(m, spark, sf_dir):
+    """A registered source and middleware, a sink that drops, and one that answers."""
+    config.SOURCES["event_table"] = lambda s, _: _messages(m).drop("event_id")
+    config.CUSTOM_MIDDLEWARE["upper_case"] = lambda df, o: df.withColumn("payload", F.when(F.col("metadata")[M.KIND] == o["of"], F.encode(F.upper(M.payload_text(F.col("payload"))), "UTF-8")).otherwise(F.col("payload")))
+    answers = run.run(spark, "r", config.load(CUSTOM, {})["r"], _root(spark))
+    return answers["response"].select(_event(m), M.payload_text(F.col("payload")).alias("body"))
+
+
+@register(f"WITH {SQL_ORDER} SELECT event_id, 'log' AS place, n FROM o")
+def stream_route(m, spark, sf_dir):
+    """A route deployed as a stream, which ends when its queue is handled: all events in a log, in the queue's order."""
+    root = _root(spark)
+    topics.publish(_messages(m), root, "in", order=ARRIVAL)
+    name = f"stream-route-{root[-8:]}"
+    routes.deploy(spark, name, config.load(LOGGED.replace("r:", f"{name}:", 1), {})[name], root, once=True).awaitTermination()
+    return _placed(topics.read_log(spark, root, "log"), "log")
+
+
+def _streamed(rows: DataFrame, transform, name: str) -> DataFrame:
+    """What a stream over a stored table emits until all of it is handled."""
+    spark, root = rows.sparkSession, _root(rows.sparkSession)
+    rows.write.parquet(f"{root}/in")
+    out = transform(spark.readStream.schema(rows.schema).parquet(f"{root}/in"))
+    runtime.deploy(f"{name}-{root[-8:]}", out, lambda batch, n: batch.write.mode("overwrite").parquet(f"{root}/out/batch={n}"), f"{root}/checkpoint", once=True).awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
+@register("""
+WITH --recursive
+o AS (SELECT *, row_number() OVER (PARTITION BY grp, kind ORDER BY arr_us, event_id) AS rn, arr_us // 1000000 AS s FROM m),
+f AS (SELECT grp, kind, rn, event_id, s AS last, true AS ok FROM o WHERE rn = 1
+      UNION ALL SELECT o.grp, o.kind, o.rn, o.event_id, CASE WHEN o.s - f.last >= 3600 THEN o.s ELSE f.last END, o.s - f.last >= 3600
+      FROM f JOIN o ON o.grp = f.grp AND o.kind = f.kind AND o.rn = f.rn + 1)
+SELECT event_id FROM f WHERE ok
+""")
+def stream_dedup_ttl_1h(m, spark, sf_dir):
+    rows = m.select("event_id", F.concat_ws("/", "grp", "kind").alias("key"), "arr_us")
+    return _streamed(rows, lambda s: stateful.dedup_ttl(s, "key", "arr_us", "event_id", 3600), "dedup").select("event_id")
+
+
+@register(SQL_WEAK + """
+SELECT grp, '[' || string_agg(event_id, ',' ORDER BY arr_us, event_id) || ']' AS ids FROM f GROUP BY grp, g HAVING count(*) = 3
+""")
+def stream_weak_join(m, spark, sf_dir):
+    """Full groups that a stream has emitted."""
+    rows = m.select("event_id", "grp", "arr_us", F.col("event_id").cast("string").alias("p"))
+    out = _streamed(rows, lambda s: stateful.weak_join(s, "grp", "arr_us", "event_id", "p", 3, 6 * HOUR_US), "weak-join")
+    return out.where("size = 3").select("grp", M.merged_array(F.col("payloads")).alias("ids"))
+
+
+@register("SELECT event_id FROM m")
+def stream_lines_consumed(m, spark, sf_dir):
+    """A file of envelopes as a route's input, read as a stream: every line arrives once."""
+    root = _root(spark)
+    path = f"{root.removeprefix('file://')}/lines"
+    M.to_envelope(_messages(m)).coalesce(1).write.text(path)
+    name, file = f"lines-{root[-8:]}", next(f for f in spark.read.text(path).inputFiles())
+    r = config.load(f"{name}: {{input: {{file: '{file.removeprefix('file://')}'}}, output: {{memory: {{topic: out}}}}, batch_size: 4000}}", {})[name]
+    routes.deploy(spark, name, r, root, once=True).awaitTermination()
+    while topics.queued(spark, root, "out").count() < m.count():
+        routes.deploy(spark, name, r, root, once=True).awaitTermination()  # a run handles a batch
+    return topics.queued(spark, root, "out").select(_event(m))

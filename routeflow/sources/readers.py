@@ -52,11 +52,6 @@ def from_kafka(rows: DataFrame) -> DataFrame:
     return rows.select(M.kafka_id(F.col("key"), header, F.col("partition"), F.col("offset")).alias("message_id"), F.col("value").alias("payload"), metadata.alias("metadata"))
 
 
-def claimable(rows: DataFrame, now_ms: int, limit: int) -> DataFrame:
-    """Documents of a claim queue: unlocked or with an expired lease, in the order of their id."""
-    return rows.where(F.col("locked_until").isNull() | (F.col("locked_until") < now_ms)).orderBy("_id").limit(limit)
-
-
 class TailReader(SimpleDataSourceStreamReader):
     """Lines appended to a file since the last offset, a byte position; a file that shrank is read from its start."""
 

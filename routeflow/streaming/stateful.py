@@ -50,7 +50,7 @@ class _Dedup(StatefulProcessor):
         rows = _sorted(rows, self.us, self.tie)
         seconds, marks = rows[self.us].to_numpy() // 1_000_000, Marks(self.ttl_s)
         if self.last.exists():
-            marks.session, marks.last = 0, self.last.get()[0]
+            marks.resume(0, self.last.get()[0])
         keep = marks.of(seconds * 0, seconds)
         if keep.any():
             self.last.update((int(marks.last),))
@@ -94,7 +94,7 @@ class _Join(StatefulProcessor):
         times, marks = rows[self.us].to_numpy(), Marks(self.timeout_us, self.count)
         start, n = self.open.get() if self.open.exists() else (0, 0)
         if n:
-            marks.session, marks.last, marks.since = 0, start, n
+            marks.resume(0, start, n)
         first = marks.of(times * 0, times)
         cuts = [0, *np.flatnonzero(first).tolist(), len(rows)]
         out = []
