@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from routeflow.llm.storage import memos
 
 #: Entries of the memo, and the length up to which words enter it.
-MEMO, LONGEST = 400_000, 48
+MEMO, LONGEST = 240_000, 48
 #: Characters whose lower case and whose place in the pattern are the same to any library; ``<`` may begin a special token.
 _PLAIN = "^[!-;=-~À-ÖØ-öø-ÿ]*$"
 #: Begins what stands in place of a word and isn't cut or lowered; no chunk holds a line break.

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,9 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+from routeflow.functions.shared import folder as shared_folder
+from routeflow.functions.shared import table as stored  # noqa: F401  written once and read back, so that the rows survive executors
+
 #: Rows and bytes of an Arrow batch at most, besides its last row: whole texts are long, and the JVM and Python both hold a batch.
 RECORDS, BYTES = 1000, 16 << 20
 #: Functions that empty a module's memos; each module adds its own.
@@ -18,36 +20,10 @@ memos: list[Callable[[], None]] = []
 _working = [""]
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """URI of the folder named by ``spark.checkpoint.dir``.
-
-    Only a single-process local session may go without the setting (tests do); it then gets a temporary folder.
-    """
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        known = sc._jsc.sc().getCheckpointDir()
-        folder = known.get() if known.isDefined() else None
-    if not folder:
-        if not (sc.master == "local" or sc.master.startswith("local[")):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="routeflow-")
-        sc.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: this cuts the lineage, and the rows survive executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
     """File system and inner path of a URI, for tasks that read or write files of their own."""
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else "file://" + uri)
@@ -92,11 +68,13 @@ def in_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Itera
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = RECORDS, size: int = BYTES // 4) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches of ``size`` bytes or one row, so that few texts are Python objects at a time."""
+    """The same rows in smaller batches of ``size`` bytes or one row, so that few texts are Python objects at a time. What a batch
+    took goes back to the machine before the next one, for the executor's other processes."""
     for batch in batches:
         share = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
         for a in range(0, batch.num_rows, share):
             yield batch.slice(a, share)
+            pa.default_memory_pool().release_unused()
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
