@@ -10,8 +10,10 @@ The resulting log-likelihood ratios, one for each n-gram and context, stay whole
 gathers about ``CHUNK`` symbols of texts, reads through the tables once for the distinct n-grams among them, and scores
 those texts: no n-gram is dropped or taken for another, and what a task holds has a fixed size besides its longest text.
 
-A text's toxic and ordinary log-likelihoods are compared normalised by length, that is a symbol: over the whole text, its
-best window of ``WINDOW`` words, its best word, and by how much its words exceed each of ``BARS``. A logistic function makes
+A text's toxic and ordinary log-likelihoods are compared normalised by length, over its distinct words: a symbol's mean over all
+of them, a symbol's mean in the best word, and how far words' best beginnings (sums of log-likelihood ratios from a word's first
+symbol on, since an expression may go on with ordinary letters) exceed each of ``BARS``, over the root of the number of words;
+and the means of the ``BEST`` best beginnings. None of these grows with the text. A logistic function makes
 of these the score. It is fitted on a bounded sample of training
 rows (``CALIBRATION`` in expectation, at most one in ``HELD_BACK``) with ratios from the counts of all others; the ratios
 that texts are scored with then come from the counts of every training row, those of the sample too.
@@ -38,12 +40,12 @@ from pyspark.sql import functions as F
 from routeflow.llm.langid import is_letter
 from routeflow.llm.storage import fresh_path, in_arrow, open_fs, slices, stored
 
-ORDER, DISCOUNT, WINDOW, CALIBRATION = 7, 0.75, 8, 20_000
+ORDER, DISCOUNT, CALIBRATION = 7, 0.75, 20_000
 #: Symbols of the texts that a task scores together, and of those whose n-grams are sorted together.
 CHUNK, PART = 1 << 24, 1 << 20
-#: How far a word's log-likelihood ratio a symbol must exceed its peers' to add to a feature.
-BARS = (0.125, 0.25, 0.5, 0.75)
-FEATURES = 3 + len(BARS)
+#: How far the log-likelihood ratio of a word's best beginning must go to add to a feature, and of how many of the best the mean counts.
+BARS, BEST = (1.0, 2.0, 3.0), (1, 2, 4)
+FEATURES = 2 + len(BARS) + len(BEST)
 #: Every how manyth training row calibrates at most, left out of the counts until then.
 HELD_BACK = 5
 
@@ -119,16 +121,28 @@ class Model(NamedTuple):
     weights: np.ndarray  # of the features, the constant last
 
 
+def distinct(keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same n-grams, each word once, in the order of its first occurrence. Words are told apart by 64 bits."""
+    if not len(keys):
+        return keys, starts
+    mixed = (keys ^ keys >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    _, first = np.unique(np.add.reduceat(mixed ^ mixed >> np.uint64(32), starts), return_index=True)
+    first.sort()
+    sizes = np.diff(np.append(starts, len(keys)))[first]
+    begins = np.cumsum(sizes) - sizes
+    return keys[np.repeat(starts[first] - begins, sizes) + np.arange(sizes.sum())], begins
+
+
 def features(ratio: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Toxic less ordinary log-likelihood a symbol: of the whole text, the best window, the best word; what words exceed the bars by."""
+    """What the ratios of a text's distinct words say; see above."""
     if not len(ratio):
         return np.zeros(FEATURES)
-    words, sizes = np.add.reduceat(ratio, starts), np.diff(np.append(starts, len(ratio)))
-    sums, lengths = np.cumsum(np.append(0, words)), np.cumsum(np.append(0, sizes))
-    w = min(WINDOW, len(words))
-    window = ((sums[w:] - sums[:-w]) / (lengths[w:] - lengths[:-w])).max()
+    ratio = ratio.astype(np.float64)
+    words, sizes, sums = np.add.reduceat(ratio, starts), np.diff(np.append(starts, len(ratio))), np.cumsum(ratio)
     each = words / (sizes + 1)  # one symbol more, lest the shortest words stand out
-    return np.array([sums[-1] / lengths[-1], window, each.max(), *(np.log1p(np.maximum(each - bar, 0).sum()) for bar in BARS)])
+    begins = np.maximum.reduceat(sums - np.repeat(np.append(0, sums)[starts], sizes), starts)
+    best = np.sort(begins)[::-1]
+    return np.array([words.sum() / len(ratio), each.max(), *(np.maximum(begins - bar, 0).sum() / np.sqrt(len(words)) for bar in BARS), *(best[:n].mean() for n in BEST)])
 
 
 class _Part(NamedTuple):
@@ -150,7 +164,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[_Part]:
         found, size, at = [], 0, 0
         carried = batch.select(range(1, batch.num_columns))
         for i, text in enumerate(batch.column(0).to_pylist()):
-            own = grams(text)
+            own = distinct(*grams(text))
             if found and size + len(own[0]) > PART:
                 yield _part(found, carried.slice(at, i - at))
                 found, size, at = [], 0, i
@@ -280,7 +294,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     seen, contexts = (kept(x, "toxicity-ratios") for x in log_ratios(stored(both, "toxicity-grams")))
     x, y = np.array([r["f"] for r in rows]).reshape(-1, FEATURES), np.array([r["toxic"] for r in rows], float)
     if not 0 < y.sum() < len(y):  # too few rows to calibrate: a word twice as likely a letter when toxic is the border
-        return Model(seen, contexts, np.zeros(FEATURES), np.ones(FEATURES), np.array([0, 0, 4.0, *[0] * len(BARS), -4 * np.log(2)]))
+        return Model(seen, contexts, np.zeros(FEATURES), np.ones(FEATURES), np.array([0, 4.0, *[0] * (FEATURES - 2), -4 * np.log(2)]))
     mean, scale = x.mean(0), x.std(0) + 1e-6
     return Model(seen, contexts, mean, scale, _logistic((x - mean) / scale, y))
 
