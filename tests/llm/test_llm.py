@@ -291,8 +291,13 @@ def test_packing_is_whole_gapless_and_tight(spark, docs, none):
             assert offset == at
             at += length
         assert at <= 2048
-    bound = -(-sum(r["length"] for r in out) // 2048)
-    assert len(by) <= bound + 4
+    blocks = defaultdict(list)
+    for r in out:
+        if r["sequence_id"] >= 0:
+            blocks[r["sequence_id"] >> 32].append(r["length"])
+    assert len(blocks) > 1
+    for block, lengths in blocks.items():
+        assert len({i for i in by if i >= 0 and i >> 32 == block}) <= packing.lower_bound(lengths, 2048) + 1
     assert packing.pack(none, vocabulary()).count() == 0
 
 
@@ -303,6 +308,26 @@ def test_packing_spreads_null_and_repeated_ids(spark):
     assert len(out) == 1200 and len(sizes) == 10 and max(sizes.values()) < 256
 
 
+def _fewest_bins(lengths, capacity):
+    """By all subsets: (bins, room taken in the last one), the least for each."""
+    best = [(0, capacity)] + [(len(lengths) + 1, 0)] * ((1 << len(lengths)) - 1)
+    for held in range(1 << len(lengths)):
+        bins, fill = best[held]
+        for i, n in enumerate(lengths):
+            if not held >> i & 1:
+                best[held | 1 << i] = min(best[held | 1 << i], (bins, fill + n) if fill + n <= capacity else (bins + 1, n))
+    return best[-1][0]
+
+
+def test_evolution_finds_the_fewest_bins():
+    rng = np.random.default_rng(11)
+    for case in range(40):
+        lengths = rng.integers(1, 100 if case % 2 else 60, int(rng.integers(1, 12))).tolist()
+        got = packing.evolve(lengths, 100, f"case {case}", [])
+        assert got.bins == _fewest_bins(lengths, 100), lengths
+        assert max(np.bincount(got.assignment, lengths)) <= 100
+
+
 def test_evolution_never_loses_items_and_meets_bound():
     rng = np.random.default_rng(7)
     lengths = [int(x) for x in rng.integers(1, 100, 200)]
@@ -337,7 +362,8 @@ def test_license_scan_matches_brute_force(spark, docs, none):
     texts = [t[1] for t in TEXTS] + [f"{filler} this work is licensed under the gnu general public license version 3 {filler}", "MIT\nlicense", "mit license mit license", "Licensed under CC BY-NC 4.0.", "All rights\nreserved", "free of charge, to any person obtaining a copy of this software permission is granted hereby"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in licenses.scan(df).collect():
-        assert r["labels"] == ",".join(sorted(licenses.brute_force(texts[r["doc_id"]]))), texts[r["doc_id"]]
+        labels, numbers = licenses.brute_force(texts[r["doc_id"]])
+        assert (r["labels"], r["templates"]) == (",".join(sorted(labels)), sorted(numbers)), texts[r["doc_id"]]
     got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
     n = len(TEXTS)
     assert (got[n + 1]["n_base"], got[n + 1]["first_word"]) == (1, 0) and (got[n + 2]["n_base"], got[n + 2]["last_word"]) == (2, 2)
@@ -356,7 +382,7 @@ def test_license_statements_across_lines(spark):
     rows = [(label, f"{before}{text}{after}") for label, text in wrapped.items() for before, after in (("", ""), (f"{filler}\n", f"\n{filler}"))]
     df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
     for r in licenses.scan(df).collect():
-        assert r["labels"] == rows[r["doc_id"]][0] == ",".join(licenses.brute_force(rows[r["doc_id"]][1])), rows[r["doc_id"]]
+        assert r["labels"] == rows[r["doc_id"]][0] == ",".join(licenses.brute_force(rows[r["doc_id"]][1])[0]), rows[r["doc_id"]]
 
 
 def test_license_scan_gives_every_label(spark):
@@ -367,7 +393,59 @@ def test_license_scan_gives_every_label(spark):
     }
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {list(texts)[r["doc_id"]]: r["labels"] for r in licenses.scan(df).collect()}
-    assert got == texts == {t: ",".join(sorted(licenses.brute_force(t))) for t in texts}
+    assert got == texts == {t: ",".join(sorted(licenses.brute_force(t)[0])) for t in texts}
+    met = {list(texts)[r["doc_id"]]: r["templates"] for r in licenses.scan(df).collect()}
+    assert met == {t: sorted(licenses.brute_force(t)[1]) for t in texts}
+    # a block that meets the threshold is listed, also where it lacks the word that tells the license
+    assert met["Licensed under the Mozilla Public License"] == [2] and licenses.TEMPLATES[2][1] == "Licensed under the MIT License"
+
+
+def _wrapped(text, width):
+    out, line = [], ""
+    for w in text.split():
+        if len(line) + len(w) > width:
+            out.append(line)
+            line = ""
+        line = f"{line} {w}".strip()
+    return "\n".join([*out, line])
+
+
+def test_whole_license_texts(spark):
+    """Full texts and headers, wrapped, between other text, with a fifth of their words changed or none."""
+    rng = random.Random(7)
+    filler = " ".join(f"word{i % 311}" for i in range(2000))
+    rows = []
+    for k, (label, text) in enumerate(licenses.TEMPLATES):
+        words = text.split()
+        if len(words) < 30:
+            continue
+        some = [w if rng.random() > 0.08 else "changed" for w in words]
+        few = [w if rng.random() > 0.5 else "changed" for w in words]
+        rows += [(k, label, f"{filler}\n{_wrapped(' '.join(some), 60)}\n{filler}", True), (k, label, _wrapped(" ".join(some), 72), True), (k, label, " ".join(some), True), (k, label, f"{filler} {' '.join(few)} {filler}", False)]
+    df = spark.createDataFrame([(i, r[2]) for i, r in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
+    assert {"mit", "isc", "bsd", "zlib", "apache", "gpl", "mpl"} <= {r[1] for r in rows}
+    for i, (k, label, text, whole) in enumerate(rows):
+        labels, numbers = licenses.brute_force(text)
+        assert (got[i]["labels"], got[i]["templates"]) == (",".join(sorted(labels)), sorted(numbers))
+        assert (k in numbers) == whole and (not whole or label in labels or k == 21)
+
+
+def test_templates_from_a_table(spark, docs):
+    table = spark.createDataFrame([("own", "released to all of you by the makers"), ("own", "released to all of you by the makers"), ("none", ""), (None, "x"), ("y", None), ("big", " ".join(f"clause{i}" for i in range(400)))], "label string, text string")
+    texts = ["It is released to all of you by its makers.", " ".join(f"clause{i}" for i in range(30, 400)) + " end", "nothing"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    templates = licenses.from_table(table)
+    assert [t[0] for t in templates] == ["big", "none", "own"]
+    got = {r["doc_id"]: (r["labels"], r["templates"]) for r in licenses.scan(df, table).collect()}
+    assert got == {i: (",".join(sorted(licenses.brute_force(t, templates)[0])), sorted(licenses.brute_force(t, templates)[1])) for i, t in enumerate(texts)}
+    assert got == {0: ("own", [2]), 1: ("big", [0]), 2: ("", [])}
+    small, licenses.TABLE = licenses.TABLE, 100
+    try:
+        with pytest.raises(ValueError, match="bytes of templates"):
+            licenses.from_table(table)
+    finally:
+        licenses.TABLE = small
 
 
 def test_mixing_targets_and_copies(spark, docs, none):
