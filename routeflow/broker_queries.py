@@ -48,6 +48,22 @@ def nats_rows(m, spark, sf_dir):
     return brokers.from_nats(rows).select("message_id", M.payload_text(F.col("payload")).alias("body"), F.element_at("metadata", "tags").alias("header"))
 
 
+@register("SELECT message_id, payload AS body, kind, 's.' || kind AS subject FROM m")
+def nats_roundtrip(m, spark, sf_dir):
+    sent = brokers.to_nats(_messages(m), F.concat(F.lit("s."), F.col("metadata")[M.KIND]))
+    subject = F.concat(F.lit("s."), F.col("metadata")[M.KIND])
+    return brokers.from_nats(sent.withColumn("sequence", F.lit(None).cast("long"))).select("message_id", M.payload_text(F.col("payload")).alias("body"), F.col("metadata")[M.KIND].alias("kind"), subject.alias("subject"))
+
+
+@register("SELECT md5('receipt-' || event_id) AS message_id, payload AS body, kind FROM m WHERE event_id % 9 <> 0")
+def sqs_roundtrip(m, spark, sf_dir):
+    """Bodies that can be sent, received again under receipts of the queue; what is no UTF-8 isn't sent."""
+    rows = _messages(m).withColumn("payload", F.when(number() % 9 == 0, F.unhex(F.lit("FF00"))).otherwise(F.col("payload")))
+    sent = brokers.to_sqs(rows).where(F.col("status").isNull())
+    receipt = F.concat(F.lit("receipt-"), F.conv("message_id", 16, 10))
+    return brokers.from_sqs(sent.select(receipt.alias("receipt"), "body", "attributes")).select("message_id", M.payload_text(F.col("payload")).alias("body"), F.col("metadata")[M.KIND].alias("kind"))
+
+
 @register(f"SELECT CASE event_id % 3 WHEN 0 THEN {SQL_HEX} ELSE lpad(lower(to_hex(event_id + 5)), 32, '0') END AS message_id, payload AS body, kind, 'c' || event_id AS correlation, CASE WHEN event_id % 2 = 0 THEN 'answers' END AS reply_to FROM m")
 def amqp_rows(m, spark, sf_dir):
     native = F.when(number() % 3 == 0, number().cast("string")).when(number() % 3 == 1, "no number")
@@ -172,9 +188,9 @@ def log_commit_batches(m, spark, sf_dir):
 SELECT l.kind, event_id, "offset" FROM l LEFT JOIN f ON f.kind = l.kind WHERE first IS NULL OR "offset" < first""")
 def log_dropped(m, spark, sf_dir):
     log = _log(m).withColumn("stored_s", F.floor(F.col("arr_us") / 1_000_000))
-    now = log.agg(F.max("stored_s")).first()[0] or 0
-    subscribers = log.select("kind").distinct().withColumns({"last_ack": F.lit(40), "seen_s": F.lit(now)})
-    return event_log.marked_garbage(log, "kind", subscribers, F.lit(now), "stored_s").where("removable").select("kind", "event_id", "offset")
+    now = log.agg(F.max("stored_s")).scalar()
+    subscribers = log.select("kind").distinct().withColumns({"last_ack": F.lit(40), "seen_s": now})
+    return event_log.marked_garbage(log, "kind", subscribers, now, "stored_s").where("removable").select("kind", "event_id", "offset")
 
 
 @register("SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN payload END AS reply FROM m")

@@ -46,6 +46,13 @@ def from_nats(rows: DataFrame) -> DataFrame:
     return rows.select(found.alias("message_id"), "payload", metadata.alias("metadata"))
 
 
+def to_nats(messages: DataFrame, subject: Column) -> DataFrame:
+    """(subject, headers, payload): the metadata and the id as headers of one value each."""
+    headers = F.transform_values(_without(F.col("metadata"), M.CARRIED_ID), lambda _, v: F.array(v))
+    carried = F.create_map(F.lit(M.CARRIED_ID), F.array("message_id"))
+    return messages.select(subject.alias("subject"), F.map_concat(headers, carried).alias("headers"), "payload")
+
+
 def from_amqp(rows: DataFrame) -> DataFrame:
     """(message_id, delivery_tag, correlation_id, reply_to, headers, payload): the property if it is a UUID or a number, else the tag."""
     native = F.col("message_id")

@@ -206,26 +206,32 @@ def deliver(rows: DataFrame, name: str, r: Route, root: str, batch: str, source:
     planned = once(build.settled(build.send(rows, output, "arr_us", metrics, once)).select(*columns))
     answers, of = {}, leaves(output)
     reached = {x["sink"] for x in planned.select("sink").distinct().collect()}
-    here = {sink: planned.where(F.col("sink") == sink).drop("sink") for sink in of if sink in reached or of[sink].endpoint.kind in ("response", "static", "custom")}
-    for sink in [s for s in here if of[s].endpoint.kind in SENDING]:
-        leaf, pending = of[sink], ledger.unsent(here[sink], sink)
+    here = {sink: planned.where(F.col("sink") == sink).drop("sink") for sink in of if sink in reached or of[sink].endpoint.kind in ("response", "static")}
+    sending = [(s, rows) for s, rows in here.items() if of[s].endpoint.kind in SENDING]
+    for sink, rows in sending:  # dead letters for sinks that send come at its end
+        leaf, pending = of[sink], ledger.unsent(rows, sink)
         if r.concurrency > 1 and leaf.endpoint.kind == "http":
             pending = pending.coalesce(r.concurrency)  # so many senders at most
         found = _sent(pending, leaf, name)
         if found is not None:
             answers[sink] = found
-        if leaf.endpoint.kind == "http":
-            lost = dead_letters(pending, found)
-            retryable = found.where(F.col("status") == M.RETRYABLE)
-            if leaf.dead is None and not retryable.isEmpty():
-                ledger.note_sent(pending.join(found.where(~build.failed()).select("message_id"), "message_id", "left_semi"), sink)
+        if leaf.endpoint.kind != "http":
+            ledger.note_sent(pending, sink)
+            continue
+        lost, retryable = dead_letters(pending, found), found.where(F.col("status") == M.RETRYABLE)
+        # what has failed is not noted: should another sink fail, it is tried again with the rest of its batch
+        ledger.note_sent(pending.join(lost.select("message_id"), "message_id", "left_anti"), sink)
+        if leaf.dead is None:
+            if not retryable.isEmpty():
                 raise Failed(f"{sink}: {retryable.count()} messages could not be sent, the first because of {retryable.first()['error']}")
-            if leaf.dead is not None:
-                dead = once(build.settled(build.send(lost.drop("status", "error"), leaf.dead, "arr_us", None, once)).select(*columns))
-                for x in dead.select("sink").distinct().collect():
-                    more = dead.where(F.col("sink") == x["sink"]).drop("sink")
-                    here[x["sink"]] = here[x["sink"]].unionByName(more) if x["sink"] in here else more
-        ledger.note_sent(pending, sink)
+            continue
+        dead = once(build.settled(build.send(lost.drop("status", "error"), leaf.dead, "arr_us", None, once)).select(*columns))
+        for x in dead.select("sink").distinct().collect():
+            more = dead.where(F.col("sink") == x["sink"]).drop("sink")
+            if of[x["sink"]].endpoint.kind in SENDING:
+                sending.append((x["sink"], more))
+            else:
+                here[x["sink"]] = here[x["sink"]].unionByName(more) if x["sink"] in here else more
     parts = []
     try:
         for sink, mine in here.items():

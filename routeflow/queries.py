@@ -263,8 +263,7 @@ SELECT kind, event_id, "offset" FROM k JOIN b USING (kind) WHERE "offset" >= fir
 def log_gc_min_ack(m, spark, sf_dir):
     log = _log(m).withColumn("stored_s", F.floor(F.col("arr_us") / 1_000_000))
     subscribers = log.groupBy("kind", "grp").agg(F.max("offset").alias("last_ack"), F.max("stored_s").alias("seen_s"))
-    clock = log.agg(F.max("stored_s").alias("now_s"))
-    now = F.lit(clock.first()["now_s"] or 0)
+    now = log.agg(F.max("stored_s")).scalar()
     return event_log.collect_garbage(log, "kind", subscribers, now, "stored_s").select("kind", "event_id", "offset")
 
 

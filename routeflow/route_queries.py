@@ -5,6 +5,7 @@ All rows of ``events`` are published to a topic in the order of their arrival; e
 
 from __future__ import annotations
 
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame
@@ -15,7 +16,7 @@ from routeflow.functions import messages as M
 from routeflow.functions.shared import folder, table
 from routeflow.plans import build, config, run
 from routeflow.queries import HOUR_US, SQL_ROUTE, SQL_WEAK, register
-from routeflow.sources import topics
+from routeflow.sources import streams, topics
 from routeflow.streaming import routes, runtime, stateful
 
 ARRIVAL = ["arr_us", "event_id"]
@@ -102,6 +103,10 @@ def route_failing_sink(m, spark, sf_dir):
     return out
 
 
+class _Crash(BaseException):
+    """The driver is gone."""
+
+
 RESTARTED = "r: {input: {memory: {topic: in}}, output: {fanout: [{memory: {topic: a}}, {memory: {topic: log, subscribe_mode: true}}]}}"
 
 
@@ -115,13 +120,13 @@ def route_restarted(m, spark, sf_dir):
     def crash(*a):
         calls.append(a)
         if len(calls) == 2:
-            raise KeyboardInterrupt
+            raise _Crash
         return whole(*a)
 
     topics.attach = crash
     try:
         run.run(spark, "r", r, root)
-    except KeyboardInterrupt:
+    except _Crash:
         pass
     finally:
         topics.attach = whole
@@ -284,6 +289,27 @@ def stream_weak_join(m, spark, sf_dir):
     return out.where("size = 3").select("grp", M.merged_array(F.col("payloads")).alias("ids"))
 
 
+@register("SELECT event_id, 1 AS run FROM m WHERE event_id % 2 = 0 UNION ALL SELECT event_id, 2 FROM m WHERE event_id % 2 = 1")
+def stream_lines_tailed(m, spark, sf_dir):
+    """A file that two batches are appended to, tailed twice: each run sees what is new, and the file keeps its lines."""
+    root = _root(spark)
+    path, out = f"{root.removeprefix('file://')}/lines", []
+    for side in (0, 1):
+        M.to_envelope(_messages(m.where(number() % 2 == side))).coalesce(1).write.text(f"{path}-{side}")
+    first, second = (next(f for f in spark.read.text(f"{path}-{side}").inputFiles()) for side in (0, 1))
+    streams.register(spark)
+    for run_, file in ((1, first), (2, second)):
+        if run_ == 2:
+            with open(first.removeprefix("file://"), "ab") as f, open(file.removeprefix("file://"), "rb") as more:
+                shutil.copyfileobj(more, f)
+        stream = spark.readStream.format("lines").options(path=first.removeprefix("file://"), consume="false").load()
+        sink = lambda batch, n, run_=run_: M.from_lines(batch).write.mode("overwrite").parquet(f"{root}/out/run={run_}/batch={n}")
+        runtime.deploy(f"tail-{root[-8:]}", stream, sink, f"{root}/checkpoint", once=True).awaitTermination()
+        out.append(f"{root}/out/run={run_}")
+    rows = spark.read.option("basePath", f"{root}/out").parquet(*out)
+    return rows.select(_event(rows), F.col("run").cast("int").alias("run"))
+
+
 @register("SELECT event_id FROM m")
 def stream_lines_consumed(m, spark, sf_dir):
     """A file of envelopes as a route's input, read as a stream: every line arrives once."""
@@ -296,3 +322,19 @@ def stream_lines_consumed(m, spark, sf_dir):
     while topics.queued(spark, root, "out").count() < m.count():
         routes.deploy(spark, name, r, root, once=True).awaitTermination()  # a run handles a batch
     return topics.queued(spark, root, "out").select(_event(m))
+
+
+PANICS = "r: {input: {memory: {topic: in}}, output: {memory: {topic: out}, middlewares: [{random_panic: {probability: 0.05}}]}}"
+
+
+@register(f"WITH {SQL_ORDER} SELECT event_id, 'in' AS place, n FROM o")
+def route_random_panic(m, spark, sf_dir):
+    """Faults strike some messages of a batch: the route stops, nothing is written, the queue keeps all."""
+    root = _root(spark)
+    topics.publish(_messages(m), root, "in", order=ARRIVAL)
+    try:
+        run.run(spark, "r", config.load(PANICS, {})["r"], root)
+    except Exception as e:
+        if "injected fault" not in str(e):
+            raise
+    return _placed(topics.queued(spark, root, "in"), "in").unionByName(_placed(topics.queued(spark, root, "out"), "out"))

@@ -229,8 +229,11 @@ def subscribed(spark: SparkSession, root: str, topic: str, subscriber: str, limi
     """What a subscriber hasn't acknowledged yet, the last offset of that, and a function that acknowledges it."""
     ack = register(root, topic, subscriber)
     state = manifest(root, topic).state()
+    if ack and ack + 1 < state["base"]:
+        raise Gap(f"gap in {topic}: {ack + 1} was asked for, {state['base']} is the first left")
     last = state["next"] - 1 if limit is None else min(state["next"] - 1, max(ack, state["base"] - 1) + limit)
-    return read_log(spark, root, topic, ack, limit), last, lambda: acknowledge(root, topic, subscriber, last)
+    rows = _between(spark, root, topic, state, ack + 1, last) if last > ack else _between(spark, root, topic, {}, 1)
+    return rows, last, lambda: acknowledge(root, topic, subscriber, last)
 
 
 def droppable(state: State, keep: int | None, now_s: float, age_s: float | None, silent_s: float) -> int:

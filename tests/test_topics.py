@@ -191,6 +191,33 @@ def test_dead_letters_into_a_tree(spark, tmp_path):
     assert len(web.posts) == 8 and {x["attempts"] for df in answers.values() for x in df.collect()} == {2}
 
 
+def test_dead_letters_for_a_sink_that_sends(spark, tmp_path):
+    """A second server takes the dead letters of the first; while a third is down, nobody forgets them."""
+    root, web = f"file://{tmp_path}", _Server(["/down", "/third"])
+    topics.publish(_messages(spark, range(3)), root, "in", order="came")
+    first = {"http": {"url": f"{web.url}/down"}, "middlewares": [{"dlq": {"endpoint": {"fanout": [{"http": {"url": f"{web.url}/dead"}}, {"memory": {"topic": "dead"}}]}}}]}
+    r = config.load(json.dumps({"r": {"input": {"memory": {"topic": "in"}}, "output": {"fanout": [first, {"http": {"url": f"{web.url}/third"}}]}}}), {})["r"]
+    with pytest.raises(run.Failed, match="third"):
+        run.run(spark, "r", r, root)
+    assert topics.queued(spark, root, "dead").count() == 0 and topics.queued(spark, root, "in").count() == 3
+    web.down.discard("/third")
+    run.run(spark, "r", r, root)
+    assert [p for _, p in _read(topics.queued(spark, root, "dead"))] == ["p0", "p1", "p2"] and topics.queued(spark, root, "in").count() == 0
+    assert web.of("/dead") == ["p0", "p1", "p2"] and len(web.of("/third")) == 6
+
+
+def test_a_subscriber_sees_what_it_acknowledges(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    topics.publish(_messages(spark, range(3)), root, "log", "log", "came")
+    rows, last, ack = topics.subscribed(spark, root, "log", "s")
+    topics.publish(_messages(spark, range(3, 5)), root, "log", "log", "came")  # before the rows are read
+    assert rows.count() == last == 3
+    ack()
+    assert [p for _, p in _read(topics.subscribed(spark, root, "log", "s")[0])] == ["p3", "p4"]
+    topics.subscribed(spark, root, "log", "s")[2]()
+    assert topics.subscribed(spark, root, "log", "s")[0].count() == 0
+
+
 def test_retryable_handlers_stop_the_route(spark, tmp_path):
     root = f"file://{tmp_path}"
     topics.publish(_messages(spark, range(4)), root, "in", order="came")
