@@ -53,7 +53,7 @@ def test_long_and_nested_runs():
     rng = np.random.default_rng(3)
     block = rng.integers(0, 500, 700).tolist()
     nested = ([1, 2] * 5 + [3]) * 5
-    texts = [block * 6 + block[:11], [7] * 3000, [], nested, rng.integers(0, 2, 3000).tolist(), rng.integers(0, 9, 2).tolist()]
+    texts = [block * 6 + block[:11], [7] * 3000, [], nested, rng.integers(0, 2, 400).tolist(), rng.integers(0, 9, 2).tolist()]
     got = _found(texts)
     assert got[0] == [(0, 4211, 700)] and got[1] == [(0, 3000, 1)] and got[2] == [] and got[3] == _brute_force(nested) and (0, 55, 11) in got[3]
     assert got[4] == _brute_force(texts[4]) and got[5] == []
