@@ -9,6 +9,7 @@ and not sent again with the next try.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Callable
 from typing import Any, NamedTuple
@@ -61,7 +62,8 @@ def read(spark: SparkSession, e: Endpoint, route: str, root: str | None = None)
 
 def received(spark: SparkSession, e: Endpoint, route: str, root: str, limit: int | None = None) -> tuple[DataFrame, dict[str, Any] | None]:
     """A batch of the input, of at most ``limit`` messages from topics, and what takes it from there once it is delivered. A
-    subscriber's name defaults to the route's; with a ``cursor`` it reads from there and acknowledges nothing."""
+    subscriber's name defaults to the route's; with a ``cursor`` it reads from there and acknowledges nothing. With ``retention``, a map
+    of ``keep``, ``age_s``, ``silent_s`` and ``archive`` (or an empty one), each acknowledgement drops what the log needn't keep."""
     o = e.options
     if e.kind != "memory" or (o.get("subscribe_mode") and "cursor" in o):
         return read(spark, e, route, root), None
@@ -69,7 +71,7 @@ def received(spark: SparkSession, e: Endpoint, route: str, root: str, limit: int
     if o.get("subscribe_mode"):
         who = o.get("subscriber", route)
         rows, last, _ = topics.subscribed(spark, root, topic, who, limit)
-        return _placed(rows), {"kind": "log", "topic": topic, "subscriber": who, "last": last}
+        return _placed(rows), {"kind": "log", "topic": topic, "subscriber": who, "last": last, "retention": o.get("retention")}
     first, last = topics.window(root, topic, limit)
     return _placed(topics.queued(spark, root, topic, max(0, last - first + 1))), {"kind": "queue", "topic": topic, "first": first, "last": last}
 
@@ -134,6 +136,9 @@ class Ledger:
             return
         if source["kind"] == "log":
             topics.acknowledge(self.root, source["topic"], source["subscriber"], source["last"])
+            if source.get("retention") is not None:
+                with contextlib.suppress(topics.Taken):  # another collector was first
+                    topics.collect_garbage(self.spark, self.root, source["topic"], **source["retention"])
         elif source["last"] >= source["first"]:
             topics.taken(self.root, source["topic"], source["first"], source["last"], batch)
 

@@ -125,6 +125,20 @@ def test_log_retention(spark, tmp_path):
     assert topics.read_log(spark, root, "log").count() == 0 and topics.manifest(root, "log").state()["base"] == 31
 
 
+def test_acknowledgements_of_a_route_let_the_log_go(spark, tmp_path):
+    root = f"file://{tmp_path}"
+    topics.publish(_messages(spark, range(4)), root, "log", "log", "came")
+    r = config.load(json.dumps({"r": {"input": {"memory": {"topic": "log", "subscribe_mode": True, "retention": {"archive": f"{tmp_path}/archive"}}}, "output": {"memory": {"topic": "out"}}}}), {})["r"]
+    topics.register(root, "log", "other")
+    run.run(spark, "r", r, root)
+    assert topics.read_log(spark, root, "log").count() == 4  # the other one has acknowledged nothing
+    topics.acknowledge(root, "log", "other", 2)
+    topics.publish(_messages(spark, [4]), root, "log", "log", "came")
+    run.run(spark, "r", r, root)
+    assert _read(topics.read_log(spark, root, "log")) == [(3, "p2"), (4, "p3"), (5, "p4")]
+    assert spark.read.parquet(f"{tmp_path}/archive/*").count() == 2 and len(_read(topics.queued(spark, root, "out"))) == 5
+
+
 def test_subscribers_go_on_where_they_were(spark, tmp_path):
     root = f"file://{tmp_path}"
     topics.publish(_messages(spark, range(5)), root, "log", "log", "came")
