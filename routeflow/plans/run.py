@@ -10,6 +10,7 @@ and not sent again with the next try.
 from __future__ import annotations
 
 import contextlib
+import os
 import uuid
 from collections.abc import Callable
 from typing import Any, NamedTuple
@@ -22,7 +23,7 @@ from routeflow.functions.shared import exists, folder, move_into, remove, table
 from routeflow.operators.sending import dead_letters, send_with_retry
 from routeflow.plans import build
 from routeflow.plans.config import SINKS, SOURCES, Endpoint, Route, children, named, title
-from routeflow.sources import readers, topics, writers
+from routeflow.sources import readers, streams, topics, writers
 from routeflow.sources.manifest import Manifest
 
 #: Sinks that deliver at once; what they got can't be taken back.
@@ -61,10 +62,19 @@ def read(spark: SparkSession, e: Endpoint, route: str, root: str | None = None)
 
 
 def received(spark: SparkSession, e: Endpoint, route: str, root: str, limit: int | None = None) -> tuple[DataFrame, dict[str, Any] | None]:
-    """A batch of the input, of at most ``limit`` messages from topics, and what takes it from there once it is delivered. A
+    """A batch of the input, of at most ``limit`` messages from topics or a file that the driver shares with the executors, and what takes
+    it from there once it is delivered: lines are cut off the file, unless it is only subscribed to. A
     subscriber's name defaults to the route's; with a ``cursor`` it reads from there and acknowledges nothing. With ``retention``, a map
     of ``keep``, ``age_s``, ``silent_s`` and ``archive`` (or an empty one), each acknowledgement drops what the log needn't keep."""
     o = e.options
+    if e.kind == "file" and not o.get("subscribe_mode") and os.path.isfile(path := o.get("path", route)):
+        streams.register(spark)
+        file = streams.LineFile(path)
+        first = file.cut()
+        last = file.end_of_lines(first, limit)
+        lines = spark.read.format("lines").options(path=path, start=first, end=last).load()
+        rows = M.from_lines(lines.select("value", F.col("position").alias(build.PLACE)), keep=[build.PLACE])
+        return rows.withColumn("arr_us", F.unix_micros(F.current_timestamp())), {"kind": "lines", "path": path, "first": first, "last": last}
     if e.kind != "memory" or (o.get("subscribe_mode") and "cursor" in o):
         return read(spark, e, route, root), None
     topic = o.get("topic", route)
@@ -134,7 +144,9 @@ class Ledger:
     def _take(self, source: dict | None, batch: str) -> None:
         if source is None:
             return
-        if source["kind"] == "log":
+        if source["kind"] == "lines":
+            streams.LineFile(source["path"]).take(source["first"], source["last"], batch)
+        elif source["kind"] == "log":
             topics.acknowledge(self.root, source["topic"], source["subscriber"], source["last"])
             if source.get("retention") is not None:
                 with contextlib.suppress(topics.Taken):  # another collector was first

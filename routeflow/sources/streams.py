@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from routeflow.sources import topics
 from routeflow.sources.manifest import Manifest, open_store
@@ -130,7 +130,8 @@ class LineFile:
         if not (plan := state.get("plan")):
             return state.get("cut", 0)
         done = os.path.exists(self.path) and os.stat(self.path).st_ino == plan["file"]
-        return self.manifest.update(lambda s: s | {"cut": plan["to"] if done else s.get("cut", 0), "plan": None} if s.get("plan") == plan else None).get("cut", 0)
+        now = {"cut": plan["to"], "by": plan["by"], "plan": None} if done else {"plan": None}
+        return self.manifest.update(lambda s: s | now if s.get("plan") == plan else None).get("cut", 0)
 
     def size(self) -> int:
         return self.cut() + (os.path.getsize(self.path) if os.path.exists(self.path) else 0)
@@ -168,7 +169,16 @@ class LineFile:
                 yield at, line[:-1]
                 at += len(line)
 
-    def cut_to(self, position: int) -> None:
+    def take(self, first: int, last: int, commit: str) -> None:
+        """Removes what lies between two positions from the file's beginning. A commit of the same name is made once; if someone else
+        has taken the lines, it is an error."""
+        cut, by = self.cut(), self.manifest.state().get("by")
+        if last > first and not (cut == last and by == commit):
+            if cut != first:
+                raise topics.Taken(f"{self.path}: {first} to {last} were read, but {cut} is the first left")
+            self.cut_to(last, commit)
+
+    def cut_to(self, position: int, by: str = "") -> None:
         """Removes all before ``position``. What others append meanwhile is copied too, as long as it comes before the swap."""
         cut = self.cut()
         if position <= cut or not os.path.exists(self.path):
@@ -180,7 +190,7 @@ class LineFile:
                 new.write(data)
             new.flush()
             os.fsync(new.fileno())
-            self.manifest.update(lambda s: s | {"cut": cut, "plan": {"to": position, "file": os.fstat(new.fileno()).st_ino}})
+            self.manifest.update(lambda s: s | {"cut": cut, "plan": {"to": position, "by": by, "file": os.fstat(new.fileno()).st_ino}})
             while data := old.read(1 << 20):
                 new.write(data)
             new.flush()
@@ -220,8 +230,26 @@ class LineReader(DataSourceStreamReader):
             self.file.cut_to(end["position"])
 
 
+class LineBatch(DataSourceReader):
+    """The lines between two positions."""
+
+    def __init__(self, path: str, split: int, start: str | None, end: str | None):
+        self.file, self.split = LineFile(path), split
+        self.start = self.file.cut() if start is None else int(start)
+        self.end = self.file.end_of_lines(self.start, None) if end is None else int(end)
+
+    def partitions(self) -> Sequence[InputPartition]:
+        return [_Range(a, min(a + self.split, self.end), first=self.end) for a in range(self.start, self.end, self.split)] or [_Range(self.start, self.start)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        if partition.high > partition.low:
+            for at, line in self.file.lines(partition.low, partition.high, partition.first):
+                yield line.decode("utf-8", "replace"), at
+
+
 class LineSource(DataSource):
-    """Options ``path`` (a file that driver and executors share), ``limit``, ``split`` (bytes) and ``consume``: with ``false`` lines stay."""
+    """Options ``path`` (a file that driver and executors share), ``limit``, ``split`` (bytes) and ``consume``: with ``false`` lines stay. A
+    batch reads from ``start`` to ``end`` (positions), or all whole lines, and takes nothing away."""
 
     @classmethod
     def name(cls) -> str:
@@ -230,6 +258,9 @@ class LineSource(DataSource):
     def schema(self) -> str:
         return "value string, position long"
 
+    def reader(self, schema) -> DataSourceReader:
+        return LineBatch(self.options["path"], int(self.options.get("split", SPLIT)), self.options.get("start"), self.options.get("end"))
+
     def streamReader(self, schema) -> DataSourceStreamReader:
         o = self.options
         return LineReader(o["path"], int(o["limit"]) if o.get("limit") else None, int(o.get("split", SPLIT)), str(o.get("consume", "true")).lower() != "false")

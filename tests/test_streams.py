@@ -222,6 +222,40 @@ def test_a_file_route_consumes_its_lines(spark, tmp_path):
     _wait(lambda: path.read_text() == "")
 
 
+def test_batch_routes_consume_lines_too(spark, tmp_path):
+    root, path = f"file://{tmp_path}/t", tmp_path / "in.txt"
+    path.write_text("a\nb\nc\nhalf")
+    text = f"r: {{input: {{file: '{path}'}}, output: {{fanout: [{{memory: {{topic: out}}}}, {{broken: {{}}}}]}}}}"
+    r, down = config.load(text, {})["r"], [True]
+
+    def sink(rows, _):
+        if down[0]:
+            raise ValueError("down")
+
+    config.SINKS["broken"] = sink
+    with pytest.raises(ValueError, match="down"):
+        run.run(spark, "r", r, root)
+    assert path.read_text() == "a\nb\nc\nhalf" and topics.queued(spark, root, "out").count() == 0
+    down[0] = False
+    run.run(spark, "r", r, root, limit=2)
+    assert path.read_text() == "c\nhalf" and _payloads(topics.queued(spark, root, "out")) == ["a", "b"]
+    with path.open("a") as f:
+        f.write(" full\n")
+    run.run(spark, "r", r, root)
+    assert path.read_text() == "" and _payloads(topics.queued(spark, root, "out")) == ["a", "b", "c", "half full"]
+    run.run(spark, "r", r, root)
+    file = streams.LineFile(str(path))
+    path.write_text("x\ny\n")
+    file.take(file.cut(), file.cut() + 2, "mine")
+    file.take(file.cut() - 2, file.cut(), "mine")  # once more
+    with pytest.raises(topics.Taken):
+        file.take(file.cut() - 2, file.cut(), "other")
+    assert path.read_text() == "y\n"
+    kept = config.load(f"r: {{input: {{file: {{path: '{path}', subscribe_mode: true}}}}, output: {{memory: {{topic: kept}}}}}}", {})["r"]
+    run.run(spark, "k", kept, root)
+    assert path.read_text() == "y\n" and _payloads(topics.queued(spark, root, "kept")) == ["y"]
+
+
 def test_stream_and_batch_agree_after_restarts(spark, tmp_path):
     rng = random.Random(5)
     rows, at = [], 1_000
