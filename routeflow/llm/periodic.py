@@ -105,7 +105,7 @@ class Extension:
 
     def __init__(self, levels: list[np.ndarray], cuts: np.ndarray):
         self.rank = levels[-1]
-        self.table = [lcp(levels, cuts)]
+        self.table = [lcp(levels, cuts).astype(np.int32)]
         longest = int(np.diff(cuts).max(initial=1))
         while 1 << len(self.table) <= longest:  # ranges stay within a text
             row, half = self.table[-1], 1 << (len(self.table) - 1)
