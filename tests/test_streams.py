@@ -187,7 +187,7 @@ def test_a_deployed_route_that_fails_is_supervised(spark, tmp_path):
     assert _payloads(topics.queued(spark, root, "a"))[4:] == ["p7"]
     with pytest.raises(Exception, match="broker is down"):
         failures[0] = 9
-        topics.publish(_messages(spark, [9]), root, "in", order="came")
+        topics.publish(_messages(spark, [9], lambda i: {"k": "1"}), root, "in", order="came")
         runtime.supervise(lambda: routes.deploy(spark, "r", r, root, once=True), tries=2, pause_s=0.01)
 
 
