@@ -65,7 +65,7 @@ class TopicReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
         state, (low, high) = self._state(), (start["offset"], end["offset"])
-        if self.limit is not None:
+        if (self.limit is not None or self.consumer) and state.get("planned", {}).get(self.consumer) != high:
             topics.manifest(self.root, self.topic).update(lambda s: s | {"planned": s.get("planned", {}) | {self.consumer: high}} if s else None)
         base = state.get("base", 1)
         if self.subscriber is not None and low < base and state["subscribers"].get(self.subscriber, {"ack": 0})["ack"] + 1 < base:

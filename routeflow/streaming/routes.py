@@ -4,7 +4,9 @@ A micro-batch has a name made of its query's id and its number, and the route's
 have. So a batch that Spark runs again after a crash is not written again. Once Spark has committed a batch, its messages are
 taken from the source; until then it holds them, and a route that starts anew with the same checkpoint goes on behind them.
 
-``batch_size`` times ``concurrency`` bounds what a micro-batch reads from a topic or line file, where ``batch_size`` is above 1.
+``batch_size`` times ``concurrency`` bounds what a micro-batch of a route that keeps running reads from a topic or line file, where
+``batch_size`` is above 1. A run that ends reads all that is there when it starts: Spark asks these sources once in such a run, so
+a bound would leave the rest, and a run for each part would cost a start for every few messages.
 """
 
 from __future__ import annotations
@@ -113,9 +115,12 @@ def limit_of(r: Route) -> int | None:
     return r.batch_size * r.concurrency if r.batch_size > 1 else None
 
 
-def read_stream(spark: SparkSession, e: Endpoint, name: str, root: str, limit: int | None = None) -> tuple[DataFrame, tuple[str, ...]]:
-    """The input as a stream of messages with ``arr_us``, and ``arr_at`` where it has an order; and what handled ones are taken from."""
+def read_stream(spark: SparkSession, e: Endpoint, name: str, root: str, limit: int | None = None, once: bool = False) -> tuple[DataFrame, tuple[str, ...]]:
+    """The input as a stream of messages with ``arr_us``, and ``arr_at`` where it has an order; and what handled ones are taken from.
+    ``limit`` bounds a micro-batch; with ``once`` not that of a topic or line file, whose runs that end have only one."""
     o, source = e.options, ("",)
+    if once and e.kind in ("memory", "file"):
+        limit = None
     streams.register(spark)
     if e.kind == "memory":
         topic = o.get("topic", name)
@@ -186,7 +191,7 @@ def deploy(spark: SparkSession, name: str, r: Route, root: str | None = None, ch
     root = root or folder(spark)
     stop(spark, name)
     run.Ledger(spark, name, root).finish()
-    stream, source = read_stream(spark, r.input, name, root, limit_of(r))
+    stream, source = read_stream(spark, r.input, name, root, limit_of(r), once)
     rows = consume(stream, r.input)
 
     def batch(df: DataFrame, number: int) -> None:

@@ -222,6 +222,30 @@ def test_a_file_route_consumes_its_lines(spark, tmp_path):
     _wait(lambda: path.read_text() == "")
 
 
+
+@pytest.mark.parametrize("kind", ["file", "topic"])
+def test_a_run_that_ends_handles_all_that_is_there(spark, tmp_path, kind):
+    root, path = f"file://{tmp_path}/t", tmp_path / "in.jsonl"
+    path.write_text("".join(f"p{i}\n" for i in range(7)))
+    topics.publish(_messages(spark, range(7)), root, "in", order="came")
+    source = f"{{file: '{path}'}}" if kind == "file" else "{memory: {topic: in}}"
+    r = config.load(f"r: {{input: {source}, output: {{memory: {{topic: out}}}}, batch_size: 2}}", {})["r"]
+    routes.deploy(spark, "all", r, root, once=True).awaitTermination()
+    assert _payloads(topics.queued(spark, root, "out")) == [f"p{i}" for i in range(7)]
+    _wait(lambda: not path.read_text() if kind == "file" else topics.window(root, "in")[0] == 8)
+    if kind == "file":
+        path.write_text("p7\np8\np9\n")
+    else:
+        topics.publish(_messages(spark, range(7, 10)), root, "in", order="came")
+    query = routes.deploy(spark, "all", r, root)  # goes on with bounded micro-batches
+    try:
+        _wait(lambda: topics.window(root, "out")[1] == 10, 60)
+        assert [s["rows"] for s in topics.manifest(root, "out").state()["segments"]] == [7, 2, 1] and query.isActive
+    finally:
+        routes.stop(spark, "all")
+    assert _payloads(topics.queued(spark, root, "out")) == [f"p{i}" for i in range(10)]
+
+
 def test_batch_routes_consume_lines_too(spark, tmp_path):
     root, path = f"file://{tmp_path}/t", tmp_path / "in.txt"
     path.write_text("a\nb\nc\nhalf")
