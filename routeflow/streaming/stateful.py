@@ -3,23 +3,21 @@
 State is per key, kept by RocksDB with the checkpoint, and ends by event time: once the watermark has passed, a timer clears a
 key's memory, or emits its open group, also if nothing more arrives for it. Messages later than the watermark are dropped,
 so that no expired state is missed. A batch that fails changes no state, so a message that is read again isn't taken for its
-own duplicate.
+own duplicate. What a micro-batch begins and ends within itself never enters the state: each access is a round trip to the JVM.
+Keys are handled by rows, since most have a few in a micro-batch, for which a frame each costs more than the work.
 
 A key's messages of one micro-batch are sorted in one task; what a micro-batch holds is bounded by its source's limit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from operator import itemgetter
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from routeflow.operators.stateful import Marks
-
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -30,7 +28,7 @@ def _timed(df: DataFrame, us: str, late: str) -> DataFrame:
 def _with_state(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
     spark: SparkSession = rows.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    return rows.groupBy(key).transformWithStateInPandas(processor, schema, "append", "EventTime")
+    return rows.groupBy(key).transformWithState(processor, schema, "append", "EventTime")
 
 
 def _schema(df: DataFrame) -> str:
@@ -40,25 +38,28 @@ def _schema(df: DataFrame) -> str:
 class _Dedup(StatefulProcessor):
     """State: the second at which the key's last message was accepted, until the TTL is over."""
 
-    def __init__(self, us: str, tie: str, ttl_s: int, columns: list[str]):
-        self.us, self.tie, self.ttl_s, self.columns = us, tie, ttl_s, columns
+    def __init__(self, us: str, tie: str, ttl_s: int):
+        self.us, self.tie, self.ttl_s = us, tie, ttl_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle, self.last = handle, handle.getValueState("last", "second long")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        rows = _sorted(rows, self.us, self.tie)
-        seconds, marks = rows[self.us].to_numpy() // 1_000_000, Marks(self.ttl_s)
-        if self.last.exists():
-            marks.resume(0, self.last.get()[0])
-        keep = marks.of(seconds * 0, seconds)
-        if keep.any():
-            self.last.update((int(marks.last),))
-            self.handle.registerTimer((int(marks.last) + self.ttl_s) * 1000)
-        yield rows[keep][self.columns]
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.last.exists() and (self.last.get()[0] + self.ttl_s) * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        known = self.last.get()
+        last, kept = known[0] if known else None, []
+        for (us, *_), row in _sorted(rows, self.us, self.tie):
+            second = us // 1_000_000
+            if last is None or second >= last + self.ttl_s:
+                last = second
+                kept.append(row)
+        if kept:
+            self.last.update((last,))
+            self.handle.registerTimer((last + self.ttl_s) * 1000)
+        return iter(kept)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        known = self.last.get()
+        if known and (known[0] + self.ttl_s) * 1000 <= expiredTimerInfo.getExpiryTimeInMs():
             self.last.clear()  # else a later message has been accepted
         return iter(())
 
@@ -66,8 +67,11 @@ class _Dedup(StatefulProcessor):
         pass
 
 
-def _sorted(rows: Iterator[pd.DataFrame], us: str, tie: str) -> pd.DataFrame:
-    return pd.concat(rows).sort_values([us, tie], kind="stable", ignore_index=True)
+def _sorted(rows: Iterator[Row], us: str, tie: str) -> list[tuple[tuple, Row]]:
+    """Each row behind what it is sorted by: its time, and its tie, nulls last."""
+    found = list(rows)
+    i, k = found[0].__fields__.index(us), found[0].__fields__.index(tie)
+    return sorted([((row[i], row[k] is None, row[k]), row) for row in found], key=itemgetter(0))
 
 
 def dedup_ttl(df: DataFrame, key: str, us: str, tie: str, ttl_s: int, late: str = "0 seconds") -> DataFrame:
@@ -75,12 +79,13 @@ def dedup_ttl(df: DataFrame, key: str, us: str, tie: str, ttl_s: int, late: str
     if ttl_s <= 0:
         return df
     columns = [c for c in df.columns if c != key]
-    out = _with_state(_timed(df, us, late), key, _Dedup(us, tie, ttl_s, df.columns), _schema(df))
+    out = _with_state(_timed(df, us, late), key, _Dedup(us, tie, ttl_s), _schema(df))
     return out.select(key, *columns).select(*df.columns)
 
 
 class _Join(StatefulProcessor):
-    """State: the open group's messages, a list that only grows at its end, and the time of its first one and their number."""
+    """State: the open group's messages, a list that only grows at its end, and the time of its first one and their number. Groups that
+    begin and end within a micro-batch never enter it."""
 
     def __init__(self, key: str, us: str, tie: str, columns: list[str], kinds: str, count: int, timeout_us: int):
         self.key, self.us, self.tie, self.columns, self.kinds, self.count, self.timeout_us = key, us, tie, columns, kinds, count, timeout_us
@@ -89,45 +94,48 @@ class _Join(StatefulProcessor):
         self.handle = handle
         self.held, self.open = handle.getListState("held", self.kinds), handle.getValueState("open", "start long, n int")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         rows = _sorted(rows, self.us, self.tie)
-        times, marks = rows[self.us].to_numpy(), Marks(self.timeout_us, self.count)
-        start, n = self.open.get() if self.open.exists() else (0, 0)
-        if n:
-            marks.resume(0, start, n)
-        first = marks.of(times * 0, times)
-        cuts = [0, *np.flatnonzero(first).tolist(), len(rows)]
-        out = []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            part = [tuple(x) for x in rows.iloc[a:b][self.columns].itertuples(index=False)]
-            if a < len(rows) and first[a] and n:  # what was open is overdue or full
-                out.append(self._group(key))
-                n = 0
-            if not part:
-                continue
-            start = int(times[a]) if not n else start
-            n += len(part)
-            self.held.appendList(part)
+        places = [rows[0][1].__fields__.index(c) for c in self.columns]
+        known = self.open.get()
+        stored = known is not None  # the open group's beginning is in the state
+        start, n = known or (0, 0)
+        fresh, out = [], []  # the open group's messages of this batch, and groups that have ended
+        for (us, *_), row in rows:
+            if n and us >= start + self.timeout_us:  # what was open is overdue
+                out.append(self._group(key, stored, fresh))
+                stored, fresh, n = False, [], 0
+            if not n:
+                start = us
+            fresh.append(tuple(row[i] for i in places))
+            n += 1
             if n >= self.count:
-                out.append(self._group(key))
-                n = 0
-        if n:
+                out.append(self._group(key, stored, fresh))
+                stored, fresh, n = False, [], 0
+        if fresh:
+            self.held.appendList(fresh)
             self.open.update((start, n))
-            self.handle.registerTimer(-(-(start + self.timeout_us) // 1000))
-        elif self.open.exists():
+        if n and not stored:
+            self.handle.registerTimer(self._due(start))
+        elif not n and known:
             self.open.clear()
-        yield pd.DataFrame(out, columns=[self.key, "size", "held"])
+        return iter(out)
+
+    def _due(self, start: int) -> int:
+        return -(-(start + self.timeout_us) // 1000)
 
-    def _group(self, key) -> tuple:
-        found = [tuple(x) for x in self.held.get()]
-        self.held.clear()
-        return key[0], len(found), found
+    def _group(self, key, stored: bool, fresh: Sequence[tuple] = ()) -> Row:
+        found = [*(map(tuple, self.held.get()) if stored else ()), *fresh]
+        if stored:
+            self.held.clear()
+        return Row(**{self.key: key[0], "size": len(found), "held": [dict(zip(self.columns, x, strict=True)) for x in found]})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.open.exists() and -(-(self.open.get()[0] + self.timeout_us) // 1000) <= expiredTimerInfo.getExpiryTimeInMs():
-            out = [self._group(key)]
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        known, out = self.open.get(), []
+        if known and self._due(known[0]) <= expiredTimerInfo.getExpiryTimeInMs():
+            out.append(self._group(key, True))
             self.open.clear()
-            yield pd.DataFrame(out, columns=[self.key, "size", "held"])
+        return iter(out)
 
     def close(self) -> None:
         pass

@@ -300,6 +300,24 @@ def test_stream_and_batch_agree_after_restarts(spark, tmp_path):
     assert got <= want and len(got) == len(joined) and len(want - got) <= 2  # each key's last group is open still
 
 
+
+def _state_of(spark, out, checkpoint):
+    """A run that ends: the rows it emits, and what its first batch did to the state."""
+    rows = []
+    query = runtime.deploy("state", out, lambda b, _: rows.extend(b.collect()), checkpoint, once=True)
+    query.awaitTermination()
+    return rows, query.recentProgress[0]["stateOperators"][0]
+
+
+def test_groups_within_a_batch_stay_out_of_the_state(spark, tmp_path):
+    df = spark.createDataFrame([("ab"[i % 2], (1 + i) * 1_000_000, i, f"p{i}") for i in range(202)], "k string, us long, id long, p string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
+    rows, state = _state_of(spark, streaming.weak_join(stream, "k", "us", "id", "p", 2, 10**12), f"{tmp_path}/c")
+    assert sorted((r["k"], tuple(r["payloads"])) for r in rows) == sorted(("ab"[k], (f"p{i}", f"p{i + 2}")) for k in (0, 1) for i in range(k, 200, 4))
+    assert (state["numRowsUpdated"], state["numRowsRemoved"]) == (4, 0)  # the two groups that are open in the end: a message, and a beginning
+
+
 def test_replies_on_streams(spark, tmp_path):
     asks = spark.createDataFrame([("a", 1_000_000, "q1"), ("b", 2_000_000, "q2"), ("c", 90_000_000, "late")], "k string, asked long, q string")
     gives = spark.createDataFrame([("a", 3_000_000, "r1"), ("b", 40_000_000, "too late"), ("z", 95_000_000, "clock")], "k string, answered long, r string")
