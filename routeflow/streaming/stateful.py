@@ -6,7 +6,8 @@ so that no expired state is missed. A batch that fails changes no state, so a me
 own duplicate. What a micro-batch begins and ends within itself never enters the state: each access is a round trip to the JVM.
 Keys are handled by rows, since most have a few in a micro-batch, for which a frame each costs more than the work.
 
-A key's messages of one micro-batch are sorted in one task; what a micro-batch holds is bounded by its source's limit.
+A key's messages of one micro-batch are handled in one task: deduplication holds one for each second, the weak join sorts all. What a
+micro-batch holds is bounded by its source's limit.
 """
 
 from __future__ import annotations
@@ -46,15 +47,19 @@ class _Dedup(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         known = self.last.get()
-        last, kept = known[0] if known else None, []
-        for (us, *_), row in _sorted(rows, self.us, self.tie):
-            second = us // 1_000_000
-            if last is None or second >= last + self.ttl_s:
-                last = second
-                kept.append(row)
+        free, firsts, kept = known[0] + self.ttl_s if known else None, {}, []
+        for row in rows:  # of a second only the first message can be accepted; so many are held, however many there are
+            at = _place(row, self.us, self.tie)
+            second = at[0] // 1_000_000
+            if (free is None or second >= free) and (second not in firsts or at < firsts[second][0]):
+                firsts[second] = at, row
+        for second in sorted(firsts):
+            if free is None or second >= free:
+                kept.append(firsts[second][1])
+                free = second + self.ttl_s
         if kept:
-            self.last.update((last,))
-            self.handle.registerTimer((last + self.ttl_s) * 1000)
+            self.last.update((free - self.ttl_s,))
+            self.handle.registerTimer(free * 1000)
         return iter(kept)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -67,11 +72,9 @@ class _Dedup(StatefulProcessor):
         pass
 
 
-def _sorted(rows: Iterator[Row], us: str, tie: str) -> list[tuple[tuple, Row]]:
-    """Each row behind what it is sorted by: its time, and its tie, nulls last."""
-    found = list(rows)
-    i, k = found[0].__fields__.index(us), found[0].__fields__.index(tie)
-    return sorted([((row[i], row[k] is None, row[k]), row) for row in found], key=itemgetter(0))
+def _place(row: Row, us: str, tie: str) -> tuple:
+    """What a message is sorted by: its time, and its tie, nulls last."""
+    return row[us], row[tie] is None, row[tie]
 
 
 def dedup_ttl(df: DataFrame, key: str, us: str, tie: str, ttl_s: int, late: str = "0 seconds") -> DataFrame:
@@ -95,19 +98,18 @@ class _Join(StatefulProcessor):
         self.held, self.open = handle.getListState("held", self.kinds), handle.getValueState("open", "start long, n int")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        rows = _sorted(rows, self.us, self.tie)
-        places = [rows[0][1].__fields__.index(c) for c in self.columns]
+        rows = sorted([(_place(row, self.us, self.tie), tuple(row[c] for c in self.columns)) for row in rows], key=itemgetter(0))
         known = self.open.get()
         stored = known is not None  # the open group's beginning is in the state
         start, n = known or (0, 0)
         fresh, out = [], []  # the open group's messages of this batch, and groups that have ended
-        for (us, *_), row in rows:
+        for (us, *_), message in rows:
             if n and us >= start + self.timeout_us:  # what was open is overdue
                 out.append(self._group(key, stored, fresh))
                 stored, fresh, n = False, [], 0
             if not n:
                 start = us
-            fresh.append(tuple(row[i] for i in places))
+            fresh.append(message)
             n += 1
             if n >= self.count:
                 out.append(self._group(key, stored, fresh))

@@ -318,6 +318,69 @@ def test_groups_within_a_batch_stay_out_of_the_state(spark, tmp_path):
     assert (state["numRowsUpdated"], state["numRowsRemoved"]) == (4, 0)  # the two groups that are open in the end: a message, and a beginning
 
 
+
+class _Calls:
+    """A state variable and a handle that count what they are asked."""
+
+    def __init__(self, value=None):
+        self.value, self.calls = value, []
+
+    def getValueState(self, *_):
+        return self
+
+    def get(self):
+        self.calls.append("get")
+        return self.value
+
+    def update(self, value):
+        self.calls.append("update")
+        self.value = value
+
+    def clear(self):
+        self.calls.append("clear")
+        self.value = None
+
+    def registerTimer(self, at):
+        self.calls.append(at)
+
+    def getExpiryTimeInMs(self):
+        return 50_000
+
+
+def test_a_key_of_a_deduplication_costs_few_calls_and_one_row_a_second():
+    rng, state = random.Random(8), _Calls()
+    dedup, of = streaming._Dedup("us", "id", 10), streaming.Row("us", "id", "x")
+    dedup.init(state)
+    at, held = [rng.randrange(40_000_000) for _ in range(3000)], []
+
+    class Key(int):  # what is alive of the rows' ties
+        def __new__(cls, i):
+            held.append(1)
+            return int.__new__(cls, i)
+
+        def __del__(self):
+            most[0] = max(most[0], len(held))
+            held.pop()
+
+    most, last, want = [0], None, []
+    for us, i in sorted((us, i) for i, us in enumerate(at)):
+        if last is None or us // 1_000_000 >= last + 10:
+            last = us // 1_000_000
+            want.append(i)
+    got = list(dedup.handleInputRows(("k",), (of(us, Key(i), None) for i, us in enumerate(at)), None))
+    assert [int(r["id"]) for r in got] == want and most[0] < 50
+    assert state.calls == ["get", "update", (last + 10) * 1000] and state.value == (last,)
+    assert list(dedup.handleInputRows(("k",), iter([of((last + 9) * 1_000_000, 0, None)]), None)) == [] and state.calls[3:] == ["get"]
+    assert list(dedup.handleExpiredTimer(("k",), None, state)) == [] and state.calls[4:] == ["get", "clear"] and state.value is None
+
+
+def test_deduplication_keeps_long_numbers_beside_nulls(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1_000_000, 1, None), ("b", 2_000_000, 2, 2**60 + 1), (None, 3_000_000, 3, 2**60 + 3), (None, 3_000_001, 4, 5)], "k string, us long, id long, big long")
+    df.coalesce(1).write.parquet(f"{tmp_path}/in")
+    rows, _ = _state_of(spark, streaming.dedup_ttl(spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in"), "k", "us", "id", 60), f"{tmp_path}/c")
+    assert {(r["k"], r["id"], r["big"]) for r in rows} == {("a", 1, None), ("b", 2, 2**60 + 1), (None, 3, 2**60 + 3)}
+
+
 def test_replies_on_streams(spark, tmp_path):
     asks = spark.createDataFrame([("a", 1_000_000, "q1"), ("b", 2_000_000, "q2"), ("c", 90_000_000, "late")], "k string, asked long, q string")
     gives = spark.createDataFrame([("a", 3_000_000, "r1"), ("b", 40_000_000, "too late"), ("z", 95_000_000, "clock")], "k string, answered long, r string")
